@@ -1 +1 @@
-"""The library's operators as queries over the driver's star-schema tables, with SQL to check them."""
+"""The library's operators as queries over star-schema tables, with SQL to check them."""

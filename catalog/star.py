@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.profiles import PROFILES, Profile
 
+# The columns used here, with the types of the given tables: no job is run to infer them.
+COLUMNS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_brand STRING, p_type STRING, p_size INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
 CARIBBEAN_NATIONS = ("NATION_2", "NATION_7")
 CENTRAL_NATIONS = ("NATION_3", "NATION_8", "NATION_13", "NATION_18", "NATION_23")
 
@@ -29,7 +41,7 @@ CENTRAL_AMERICA_BY_COUNTRY = _scoped("central_america_by_country", "EUROPE", CEN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def indicator_of_part() -> Column:

@@ -1,7 +1,7 @@
 """Joins in which missing keys match missing keys.
 
-No join carries a broadcast hint. Spark broadcasts a side only when its size, from file statistics or
-measured by adaptive execution, is under its threshold, and otherwise shuffles and splits skewed
+No join carries a broadcast hint. Spark broadcasts a side only when its size, from file statistics
+or measured by adaptive execution, is under its threshold, and otherwise shuffles and splits skewed
 partitions. Null-safe equality is still a hash or sort-merge key.
 """
 

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import fiscal_label, not_in, percent_text, ratio, round_half_even, year_name
+from plumbline.functions import (
+    fiscal_label,
+    not_in,
+    percent_text,
+    ratio,
+    round_half_even,
+    year_name,
+)
 from plumbline.operators import (
     absent_after_zero,
     bind_rows,
@@ -44,7 +51,19 @@ def reported_sums(
         matched = match_or_supplement(raw, adjusted, profile.supplement)
     else:
         matched = match_mapping(raw, adjusted)
-    return sum_by(matched, [*profile.places, *DETAIL], profile.measures)
+    sums = sum_by(matched, [*profile.places, *DETAIL], profile.measures)
+    return refuse_year(sums, profile) if profile.shared_year == "error" else sums
+
+
+def refuse_year(sums: DataFrame, profile: Profile) -> DataFrame:
+    """Stop the query if the results hold the plan year.
+
+    The check sits on a measure, so that filters on the year still reach the scan.
+    """
+    measure = profile.measures[0]
+    message = F.raise_error(F.lit(f"the results already hold {profile.plan_year}"))
+    in_plan_year = F.col("fiscal_year") == profile.plan_year
+    return sums.withColumn(measure, F.when(in_plan_year, message).otherwise(F.col(measure)))
 
 
 def planned_sums(plan: DataFrame, hierarchy: DataFrame | None, profile: Profile) -> DataFrame:

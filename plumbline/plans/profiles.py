@@ -48,6 +48,8 @@ class Profile:
     ``years`` become columns; the last two are compared. ``duplicates`` says what to do with two
     disaggregates of one indicator, population and year: ``"sum"`` them or stop with ``"error"``.
     ``change`` is ``"fraction"`` (rounded to 2 digits) or ``"percent"`` (whole percent as text).
+    ``shared_year`` says what to do with results that already hold the plan year: ``"keep"`` them
+    beside the plan or stop with ``"error"``.
     """
 
     title: str
@@ -62,6 +64,7 @@ class Profile:
     duplicates: str = "error"
     change: str = "percent"
     drop_zero_and_absent: bool = True
+    shared_year: str = "keep"
     supplement: Supplement | None = None
     labels: dict[str, str] = field(default_factory=dict, hash=False)
     key_labels: dict[str, str] = field(default_factory=dict, hash=False)
@@ -71,6 +74,8 @@ class Profile:
             raise ValueError(f"unknown duplicates rule: {self.duplicates}")
         if self.change not in ("fraction", "percent"):
             raise ValueError(f"unknown change form: {self.change}")
+        if self.shared_year not in ("keep", "error"):
+            raise ValueError(f"unknown shared year rule: {self.shared_year}")
         if len(self.years) < 2 or list(self.years) != sorted(set(self.years)):
             raise ValueError("years must be two or more, ascending")
         if self.by_country and len(self.measures) > 1:

@@ -41,7 +41,8 @@ def total_sums(
     rows = results.where(
         F.col("indicator").isin(*indicators) & (F.col("standardizeddisaggregate") == total)
     )
-    return rename(sum_by(rows, ["fiscal_year", "indicator"], ["targets"]), total_numerator="targets")
+    sums = sum_by(rows, ["fiscal_year", "indicator"], ["targets"])
+    return rename(sums, total_numerator="targets")
 
 
 def disagg_completeness(

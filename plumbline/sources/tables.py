@@ -1,7 +1,7 @@
 """Readers of the input tables.
 
-Columns are taken by name. Those the library uses must exist and get their declared type; others pass
-through untouched and cost nothing until something selects them.
+Columns are taken by name. Those the library uses must exist and get their declared type; others
+pass through untouched and cost nothing until something selects them.
 """
 
 from __future__ import annotations

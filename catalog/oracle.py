@@ -516,7 +516,7 @@ ORACLE = {
     ),
     "indicator_total_of_plan": with_views(
         f"""SELECT {DETAIL}, coalesce(sum(targets), 0) AS targets FROM plan_all
-          WHERE {AMERICA} AND indicator = 'TX_CURR' AND standardizeddisaggregate = 'Age/Sex'
+          WHERE {AMERICA} AND indicator = 'HTS_TST' AND standardizeddisaggregate = 'Age/Sex'
             AND fiscal_year = 2024 GROUP BY {DETAIL}"""
     ),
     "disagg_completeness": with_views(completeness(CHECKED, "AND source_name = 'DATIM'")),

@@ -25,6 +25,9 @@ COLUMNS = {
     "l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
 }
 
+# A line shipped in 1997 counts for fiscal year 2023.
+YEARS_AHEAD = 26
+
 CARIBBEAN_NATIONS = ("NATION_2", "NATION_7")
 CENTRAL_NATIONS = ("NATION_3", "NATION_8", "NATION_13", "NATION_18", "NATION_23")
 
@@ -77,6 +80,10 @@ def _disaggregate() -> Column:
     )
 
 
+def _new_year(fiscal_year: int) -> Column:
+    return F.lit(f"{fiscal_year - YEARS_AHEAD}-01-01").cast("timestamp_ntz")
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as a site: operating unit, country, name and id."""
     customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
@@ -92,12 +99,23 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fact(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame:
+def fact(
+    spark: SparkSession,
+    sf_dir: str,
+    located: bool = True,
+    first_year: int | None = None,
+    last_year: int | None = None,
+) -> DataFrame:
     """One row per order line. Without ``located``, sites are left out and not joined.
 
-    Orders meet their sites before the lines, so a filter on places shrinks the largest join.
+    Year bounds become bounds on the ship date, which reach the scan. Orders meet their sites before
+    the lines, so a filter on places shrinks the largest join.
     """
     lines, orders, part = (table(spark, sf_dir, name) for name in ("lineitem", "orders", "part"))
+    if first_year is not None:
+        lines = lines.where(F.col("l_shipdate") >= _new_year(first_year))
+    if last_year is not None:
+        lines = lines.where(F.col("l_shipdate") < _new_year(last_year + 1))
     if located:
         orders = orders.join(sites(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     indicators = part.select("p_partkey", "p_brand", indicator_of_part().alias("indicator"))
@@ -105,7 +123,7 @@ def fact(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame:
         indicators, F.col("l_partkey") == F.col("p_partkey")
     )
     returned, status, line = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
-    year = (F.year("l_shipdate") + 26).cast("int")
+    year = (F.year("l_shipdate") + YEARS_AHEAD).cast("int")
     unknown = (F.col("indicator") == "GEND_GBV") | (
         (F.col("indicator") == "VMMC_CIRC") & (year < 2024)
     )
@@ -126,8 +144,7 @@ def fact(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame:
     """Reported rows: fiscal years up to 2023."""
-    rows = fact(spark, sf_dir, located).where(F.col("fiscal_year") <= 2023)
-    return rows.drop("c_mktsegment")
+    return fact(spark, sf_dir, located, last_year=2023).drop("c_mktsegment")
 
 
 def plan(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
@@ -139,9 +156,8 @@ def plan(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
         & (F.col("numeratordenom") == "N")
         & (disaggregate == "Age/Sex/HIVStatus")
     )
-    rows = fact(spark, sf_dir).where(
+    rows = fact(spark, sf_dir, first_year=2024).where(
         (F.col("operatingunit") == profile.operatingunit)
-        & (F.col("fiscal_year") >= 2024)
         & (indicator != "GEND_GBV")
         & (disaggregate.isin("Age/Sex", "KeyPop", "KeyPopAbr") | prep_by_status)
     )

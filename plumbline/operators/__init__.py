@@ -7,7 +7,7 @@ from plumbline.operators.columns import (
     rename,
     select_any_of,
 )
-from plumbline.operators.joins import left_join, semi_join, unique_lookup
+from plumbline.operators.joins import broadcast_if_small, left_join, semi_join, unique_lookup
 from plumbline.operators.reshape import pivot_wider, unpivot_years
 from plumbline.operators.rows import (
     absent_after_zero,
@@ -22,6 +22,7 @@ from plumbline.operators.unions import bind_rows, union_strict
 __all__ = [
     "absent_after_zero",
     "bind_rows",
+    "broadcast_if_small",
     "derive",
     "drop_columns",
     "exclude_pairs",

@@ -1,6 +1,6 @@
 """Joins in which missing keys match missing keys.
 
-No join carries a broadcast hint. Spark broadcasts a side only when its size, from file statistics
+The joins carry no broadcast hint. Spark broadcasts a side only when its size, from file statistics
 or measured by adaptive execution, is under its threshold, and otherwise shuffles and splits skewed
 partitions. Null-safe equality is still a hash or sort-merge key.
 """
@@ -8,12 +8,17 @@ partitions. Null-safe equality is still a hash or sort-merge key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import require_columns
 
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 2**20
+
 
 def _right_keys(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[Column], list[str]]:
     require_columns(right, keys)
@@ -43,6 +48,24 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(right, match, "left").drop(*extra)
 
 
+def broadcast_if_small(lookup: DataFrame) -> DataFrame:
+    """Hint a broadcast of a lookup whose size, measured here by a small job, is within bounds.
+
+    For joins of whole tables to a lookup that is computed and so has no file size: without the hint
+    Spark would shuffle the table before it learns how small the lookup is. A larger one
+    is left to a shuffle join.
+    """
+    lengths = [F.octet_length(F.col(name).cast("string")) for name in lookup.columns]
+    width = reduce(add, [F.coalesce(length, F.lit(0)) for length in lengths])
+    size = (
+        lookup.limit(BROADCAST_ROWS + 1)
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(width).alias("n_bytes"))
+        .first()
+    )
+    small = size.n_rows <= BROADCAST_ROWS and (size.n_bytes or 0) <= BROADCAST_BYTES
+    return F.broadcast(lookup) if small else lookup
+
+
 def unique_lookup(
     df: DataFrame, keys: Sequence[str], value: str, duplicates: str = "error"
 ) -> DataFrame:

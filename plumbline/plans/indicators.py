@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import remove_first, trim_whitespace
 from plumbline.operators import (
+    broadcast_if_small,
     derive,
     drop_columns,
     exclude_within,
@@ -86,7 +87,7 @@ def harmonise_results(
 ) -> DataFrame:
     """Site-level result rows in scope, named as in the plan."""
     rows = scoped_columns(results, plan_columns, profile)
-    return match_mapping(rows, adjust_mapping(mapping))
+    return match_mapping(rows, broadcast_if_small(adjust_mapping(mapping)))
 
 
 def _is_supplement(supplement: Supplement) -> Column:

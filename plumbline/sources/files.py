@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
     """Path of the newest file in a folder whose name contains a regex match.
 
-    Only names and times are read, never contents. Of files equally new, the last by name wins.
+    Only names and times are read, never contents. Empty files do not count; of files equally new,
+    the last by name wins.
     """
     listing = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
     matching = listing.where(F.element_at(F.split("path", "/"), -1).rlike(pattern))

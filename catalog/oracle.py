@@ -174,8 +174,8 @@ placed AS (
 
 
 def round_two(x: str) -> str:
-    """Two digits: the nearer neighbouring double, the even one on a tie."""
-    low, high = f"(floor(({x}) * 100) / 100)", f"(ceil(({x}) * 100) / 100)"
+    """Two digits: the nearer neighbouring double, the even one on a tie; adding 0.0 unsigns zero."""
+    low, high = f"(floor(({x}) * 100) / 100)", f"(ceil(({x}) * 100) / 100 + 0.0)"
     return f"""CASE WHEN ({x}) IS NULL OR isnan({x}) OR isinf({x}) THEN ({x})
       WHEN ({x}) - {low} < {high} - ({x}) THEN {low}
       WHEN ({x}) - {low} > {high} - ({x}) THEN {high}

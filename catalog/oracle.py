@@ -174,7 +174,7 @@ placed AS (
 
 
 def round_two(x: str) -> str:
-    """Two digits: the nearer neighbouring double, the even one on a tie; adding 0.0 unsigns zero."""
+    """Two digits: the nearer neighbouring double, the even one on a tie; 0.0 takes zero's sign."""
     low, high = f"(floor(({x}) * 100) / 100)", f"(ceil(({x}) * 100) / 100 + 0.0)"
     return f"""CASE WHEN ({x}) IS NULL OR isnan({x}) OR isinf({x}) THEN ({x})
       WHEN ({x}) - {low} < {high} - ({x}) THEN {low}
@@ -315,6 +315,9 @@ def completeness(indicators: str, source: str) -> str:
 CUMULATIVE_SUM = "coalesce(sum(cumulative), 0)"
 
 ORACLE = {
+    "newest_source": (
+        "SELECT o_orderpriority, count(*) AS n_orders FROM orders GROUP BY o_orderpriority"
+    ),
     "column_listing": with_views(
         f"SELECT operatingunit, country, psnu, psnuuid, {TRIPLE}, fiscal_year, targets FROM results"
     ),

@@ -48,6 +48,7 @@ from plumbline.plans import indicators, quality, report
 from plumbline.plans.compare import combine, planned_sums, reported_sums, year_change
 from plumbline.plans.indicators import DETAIL, SITE, TRIPLE
 from plumbline.plans.profiles import CAREGIVERS, COUNTRY_REPORT_EXCLUSIONS, TB_STATUS
+from plumbline.sources import latest_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +92,16 @@ def yearly_wide(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Sources
+
+
+@query
+def newest_source(spark, sf):
+    path = latest_file(spark, sf, r"^orders\.parquet$")
+    orders = spark.read.schema(star.COLUMNS["orders"]).parquet(path)
+    return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
 # Projections
 
 

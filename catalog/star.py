@@ -47,37 +47,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def indicator_of_part() -> Column:
-    kind, large = F.col("p_type"), F.col("p_size") > 45
-    return (
-        F.when((kind == "ECONOMY") & large, "VMMC_CIRC")
-        .when(kind == "ECONOMY", "HTS_TST")
-        .when(kind == "LARGE", "PrEP_NEW")
-        .when((kind == "MEDIUM") & large, "TB_STAT")
-        .when(kind == "MEDIUM", "KP_PREV")
-        .when((kind == "PROMO") & large, "GEND_GBV")
-        .when(kind == "PROMO", "HTS_SELF")
-        .when(kind == "SMALL", "PrEP_CT")
-        .when((kind == "STANDARD") & large, "TX_CURR")
-        .when(kind == "STANDARD", "OVC_SERV")
-    )
-
-
-def _disaggregate() -> Column:
-    priority, indicator = F.col("o_orderpriority"), F.col("indicator")
-    return (
-        F.when((priority == "1-URGENT") & (indicator == "PrEP_NEW"), "KeyPopAbr")
-        .when(priority == "1-URGENT", "KeyPop")
-        .when(priority == "2-HIGH", "KeyPop/HIVStatus")
-        .when(priority == "3-MEDIUM", "Age/Sex")
-        .when(
-            (priority == "4-NOT SPECIFIED") & (indicator == "OVC_SERV"),
-            "Age/Sex/ProgramStatusCaregiver",
-        )
-        .when((priority == "4-NOT SPECIFIED") & (indicator == "HTS_SELF"), "Age/Sex/HIVSelfTest")
-        .when(priority == "4-NOT SPECIFIED", "Age/Sex/HIVStatus")
-        .when((priority == "5-LOW") & (F.col("o_orderstatus") != "P"), "Total Numerator")
-    )
+INDICATOR_OF_PART = """
+  CASE WHEN p_type = 'ECONOMY' AND p_size > 45 THEN 'VMMC_CIRC'
+       WHEN p_type = 'ECONOMY' THEN 'HTS_TST'
+       WHEN p_type = 'LARGE' THEN 'PrEP_NEW'
+       WHEN p_type = 'MEDIUM' AND p_size > 45 THEN 'TB_STAT'
+       WHEN p_type = 'MEDIUM' THEN 'KP_PREV'
+       WHEN p_type = 'PROMO' AND p_size > 45 THEN 'GEND_GBV'
+       WHEN p_type = 'PROMO' THEN 'HTS_SELF'
+       WHEN p_type = 'SMALL' THEN 'PrEP_CT'
+       WHEN p_type = 'STANDARD' AND p_size > 45 THEN 'TX_CURR'
+       WHEN p_type = 'STANDARD' THEN 'OVC_SERV' END AS indicator
+"""
+YEAR = f"CAST(year(l_shipdate) + {YEARS_AHEAD} AS INT)"
+REPORTED_LINE = (
+    "indicator",
+    "CASE WHEN l_linestatus = 'F' THEN 'D' WHEN l_returnflag <> 'R' THEN 'N' END AS numeratordenom",
+    """
+    CASE WHEN o_orderpriority = '1-URGENT' AND indicator = 'PrEP_NEW' THEN 'KeyPopAbr'
+         WHEN o_orderpriority = '1-URGENT' THEN 'KeyPop'
+         WHEN o_orderpriority = '2-HIGH' THEN 'KeyPop/HIVStatus'
+         WHEN o_orderpriority = '3-MEDIUM' THEN 'Age/Sex'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' AND indicator = 'OVC_SERV'
+           THEN 'Age/Sex/ProgramStatusCaregiver'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' AND indicator = 'HTS_SELF'
+           THEN 'Age/Sex/HIVSelfTest'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Age/Sex/HIVStatus'
+         WHEN o_orderpriority = '5-LOW' AND o_orderstatus <> 'P' THEN 'Total Numerator'
+    END AS standardizeddisaggregate
+    """,
+    f"{YEAR} AS fiscal_year",
+    f"""
+    CASE WHEN indicator = 'GEND_GBV' OR (indicator = 'VMMC_CIRC' AND {YEAR} < 2024) THEN NULL
+         ELSE l_quantity END AS targets
+    """,
+    "CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS cumulative",
+    "p_brand AS funding_agency",
+    "CAST(l_suppkey AS STRING) AS mech_code",
+    """
+    CASE WHEN l_linenumber <= 3 THEN 'DATIM' WHEN l_linenumber <= 5 THEN 'Derived' END
+      AS source_name
+    """,
+)
 
 
 def _new_year(fiscal_year: int) -> Column:
@@ -88,14 +99,14 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as a site: operating unit, country, name and id."""
     customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
     countries = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return customer.join(countries, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return customer.join(countries, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
         "c_custkey",
         "c_acctbal",
         "c_mktsegment",
-        F.col("r_name").alias("operatingunit"),
-        F.col("n_name").alias("country"),
-        F.col("c_name").alias("psnu"),
-        F.col("c_custkey").cast("string").alias("psnuuid"),
+        "r_name AS operatingunit",
+        "n_name AS country",
+        "c_name AS psnu",
+        "CAST(c_custkey AS STRING) AS psnuuid",
     )
 
 
@@ -118,28 +129,12 @@ def fact(
         lines = lines.where(F.col("l_shipdate") < _new_year(last_year + 1))
     if located:
         orders = orders.join(sites(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    indicators = part.select("p_partkey", "p_brand", indicator_of_part().alias("indicator"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        indicators, F.col("l_partkey") == F.col("p_partkey")
-    )
-    returned, status, line = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
-    year = (F.year("l_shipdate") + YEARS_AHEAD).cast("int")
-    unknown = (F.col("indicator") == "GEND_GBV") | (
-        (F.col("indicator") == "VMMC_CIRC") & (year < 2024)
+        part.selectExpr("p_partkey", "p_brand", INDICATOR_OF_PART),
+        F.col("l_partkey") == F.col("p_partkey"),
     )
     place = ["operatingunit", "country", "psnu", "psnuuid", "c_mktsegment"] if located else []
-    return joined.select(
-        *place,
-        "indicator",
-        F.when(status == "F", "D").when(returned != "R", "N").alias("numeratordenom"),
-        _disaggregate().alias("standardizeddisaggregate"),
-        year.alias("fiscal_year"),
-        F.when(~unknown, F.col("l_quantity")).alias("targets"),
-        F.when(returned != "R", F.col("l_quantity")).alias("cumulative"),
-        F.col("p_brand").alias("funding_agency"),
-        F.col("l_suppkey").cast("string").alias("mech_code"),
-        F.when(line <= 3, "DATIM").when(line <= 5, "Derived").alias("source_name"),
-    )
+    return joined.selectExpr(*place, *REPORTED_LINE)
 
 
 def results(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame:
@@ -149,33 +144,27 @@ def results(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame
 
 def plan(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
     """Planned rows of one region: from 2024, few disaggregates, and site names not yet clean."""
-    segment, psnu = F.col("c_mktsegment"), F.col("psnu")
-    disaggregate, indicator = F.col("standardizeddisaggregate"), F.col("indicator")
-    prep_by_status = (
-        (indicator == "PrEP_CT")
-        & (F.col("numeratordenom") == "N")
-        & (disaggregate == "Age/Sex/HIVStatus")
-    )
     rows = fact(spark, sf_dir, first_year=2024).where(
         (F.col("operatingunit") == profile.operatingunit)
-        & (indicator != "GEND_GBV")
-        & (disaggregate.isin("Age/Sex", "KeyPop", "KeyPopAbr") | prep_by_status)
+        & F.expr(
+            """indicator <> 'GEND_GBV'
+            AND (standardizeddisaggregate IN ('Age/Sex', 'KeyPop', 'KeyPopAbr')
+              OR (indicator = 'PrEP_CT' AND numeratordenom = 'N'
+                  AND standardizeddisaggregate = 'Age/Sex/HIVStatus'))"""
+        )
     )
     if profile.countries:
         rows = rows.where(F.col("country").isin(*profile.countries))
-    return rows.select(
+    return rows.selectExpr(
         "operatingunit",
         "country",
-        F.when(segment == "MACHINERY", F.concat(psnu, F.lit("_Military")))
-        .when(segment == "BUILDING", F.concat(F.lit(" "), psnu, F.lit("\t")))
-        .otherwise(psnu)
-        .alias("psnu"),
+        """CASE WHEN c_mktsegment = 'MACHINERY' THEN psnu || '_Military'
+                WHEN c_mktsegment = 'BUILDING' THEN ' ' || psnu || '\t' ELSE psnu END AS psnu""",
         "psnuuid",
         "indicator",
         "numeratordenom",
-        F.when(disaggregate == "KeyPopAbr", "KeyPop")
-        .otherwise(disaggregate)
-        .alias("standardizeddisaggregate"),
+        """CASE WHEN standardizeddisaggregate = 'KeyPopAbr' THEN 'KeyPop'
+                ELSE standardizeddisaggregate END AS standardizeddisaggregate""",
         "fiscal_year",
         "targets",
         "cumulative",
@@ -201,9 +190,10 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         triple("N", "Age/Sex/HIVStatus", "PrEP_CT"),
         triple("N", "Age/Sex/HIVSelfTest", "HTS_SELF"),
     )
-    indicators = table(spark, sf_dir, "part").select(indicator_of_part().alias("indicator"))
     return (
-        indicators.distinct()
+        table(spark, sf_dir, "part")
+        .selectExpr(INDICATOR_OF_PART)
+        .distinct()
         .withColumn("triple", F.explode(F.array_compact(triples)))
         .select("indicator", "triple.numeratordenom", "triple.standardizeddisaggregate")
     )

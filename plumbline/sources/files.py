@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+SCHEME_AND_HOST = r"^(?:[^:/]+:)?(?://[^/]*)?"
+
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
     """Path of the newest file in a folder whose name contains a regex match.
 
-    Only names and times are read, never contents. Empty files do not count; of files equally new,
-    the last by name wins.
+    A directory counts as one file, as new as the newest file in it. Only names and times are read,
+    never contents. Empty files do not count; of files equally new, the last by name wins.
     """
-    listing = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
-    matching = listing.where(F.element_at(F.split("path", "/"), -1).rlike(pattern))
-    newest = matching.agg(F.max(F.struct("modificationTime", "path")).alias("newest"))
-    path = newest.select("newest.path").first().path
+    inside = re.sub(SCHEME_AND_HOST, "", folder).rstrip("/")
+    if not inside.startswith("/"):
+        raise ValueError(f"not an absolute folder: {folder}")
+    entry = rf"{SCHEME_AND_HOST}\Q{inside}\E/([^/]+)"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    named = files.select(
+        "modificationTime",
+        F.regexp_extract("path", entry, 0).alias("path"),
+        F.regexp_extract("path", entry, 1).alias("name"),
+    )
+    newest = F.max(F.struct("modificationTime", "path")).alias("newest")
+    path = named.where(F.col("name").rlike(pattern)).agg(newest).select("newest.path").first().path
     if path is None:
         raise FileNotFoundError(f"no file matching {pattern!r} in {folder}")
     return path

@@ -18,14 +18,27 @@ def made(path, text="x", age=0):
 
 
 def test_newest_matching_file(spark, tmp_path):
-    made(tmp_path / "MER_PSNU_IM_FY22.txt", age=500)
-    newest = made(tmp_path / "MER_PSNU_IM_FY23 (1).txt", age=100)
-    made(tmp_path / "MER_SITE_IM_FY23.txt")
-    made(tmp_path / "MER_PSNU_IM_empty.txt", text="")
-    assert latest_file(spark, str(tmp_path), "PSNU_IM").endswith(newest.name)
-    assert latest_file(spark, str(tmp_path), r"^MER_.*FY22\.txt$").endswith("FY22.txt")
-    with pytest.raises(FileNotFoundError, match="OU_IM"):
-        latest_file(spark, str(tmp_path), "OU_IM")
+    made(tmp_path / "Reported_SITES_FY22.txt", age=500)
+    newest = made(tmp_path / "Reported_SITES_FY23 (1).txt", age=100)
+    made(tmp_path / "Reported_UNITS_FY23.txt")
+    made(tmp_path / "Reported_SITES_empty.txt", text="")
+    assert latest_file(spark, str(tmp_path), "SITES").endswith(newest.name)
+    assert latest_file(spark, str(tmp_path), r"^Reported_.*FY22\.txt$").endswith("FY22.txt")
+    with pytest.raises(FileNotFoundError, match="OTHER"):
+        latest_file(spark, str(tmp_path), "OTHER")
+    with pytest.raises(ValueError, match="absolute"):
+        latest_file(spark, "data", "SITES")
+
+
+def test_newest_dataset(spark, tmp_path):
+    older, newer = tmp_path / "plan_a", tmp_path / "plan_b (final)"
+    for age, folder in ((300, older), (50, newer)):
+        (folder / "year=2024").mkdir(parents=True)
+        made(folder / "year=2024" / "plan_part.parquet", age=age)
+    made(tmp_path / "results.txt", age=0)
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        assert latest_file(spark, folder, "^plan") == f"file:{newer}"
+        assert latest_file(spark, folder, "part|a$") == f"file:{older}"
 
 
 HEADER = (

@@ -59,22 +59,25 @@ INDICATOR_OF_PART = """
        WHEN p_type = 'STANDARD' AND p_size > 45 THEN 'TX_CURR'
        WHEN p_type = 'STANDARD' THEN 'OVC_SERV' END AS indicator
 """
+DISAGGREGATE_OF_ORDER = """
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'KeyPop'
+       WHEN o_orderpriority = '2-HIGH' THEN 'KeyPop/HIVStatus'
+       WHEN o_orderpriority = '3-MEDIUM' THEN 'Age/Sex'
+       WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Age/Sex/HIVStatus'
+       WHEN o_orderpriority = '5-LOW' AND o_orderstatus <> 'P' THEN 'Total Numerator'
+  END AS disaggregate
+"""
 YEAR = f"CAST(year(l_shipdate) + {YEARS_AHEAD} AS INT)"
 REPORTED_LINE = (
     "indicator",
     "CASE WHEN l_linestatus = 'F' THEN 'D' WHEN l_returnflag <> 'R' THEN 'N' END AS numeratordenom",
     """
-    CASE WHEN o_orderpriority = '1-URGENT' AND indicator = 'PrEP_NEW' THEN 'KeyPopAbr'
-         WHEN o_orderpriority = '1-URGENT' THEN 'KeyPop'
-         WHEN o_orderpriority = '2-HIGH' THEN 'KeyPop/HIVStatus'
-         WHEN o_orderpriority = '3-MEDIUM' THEN 'Age/Sex'
-         WHEN o_orderpriority = '4-NOT SPECIFIED' AND indicator = 'OVC_SERV'
+    CASE WHEN disaggregate = 'KeyPop' AND indicator = 'PrEP_NEW' THEN 'KeyPopAbr'
+         WHEN disaggregate = 'Age/Sex/HIVStatus' AND indicator = 'OVC_SERV'
            THEN 'Age/Sex/ProgramStatusCaregiver'
-         WHEN o_orderpriority = '4-NOT SPECIFIED' AND indicator = 'HTS_SELF'
+         WHEN disaggregate = 'Age/Sex/HIVStatus' AND indicator = 'HTS_SELF'
            THEN 'Age/Sex/HIVSelfTest'
-         WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Age/Sex/HIVStatus'
-         WHEN o_orderpriority = '5-LOW' AND o_orderstatus <> 'P' THEN 'Total Numerator'
-    END AS standardizeddisaggregate
+         ELSE disaggregate END AS standardizeddisaggregate
     """,
     f"{YEAR} AS fiscal_year",
     f"""
@@ -127,6 +130,7 @@ def fact(
         lines = lines.where(F.col("l_shipdate") >= _new_year(first_year))
     if last_year is not None:
         lines = lines.where(F.col("l_shipdate") < _new_year(last_year + 1))
+    orders = orders.selectExpr("o_orderkey", "o_custkey", DISAGGREGATE_OF_ORDER)
     if located:
         orders = orders.join(sites(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(

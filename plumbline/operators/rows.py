@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +19,23 @@ def in_year(year: Column, wanted: int | str) -> Column:
 def exclude_pairs(first: Column, second: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Condition that drops the given value pairs.
 
-    A missing ``second`` beside a listed ``first`` makes the condition NULL and drops the row, which
-    an anti-join would keep. Pairs are grouped by their second value: the cheap comparison
-    comes first and most rows need nothing else.
+    A missing value beside a listed one drops the row too, which an anti-join would keep. However
+    many pairs there are, each column occurs only a few times: Spark copies a column's definition to
+    every occurrence when it moves the filter towards the scan.
     """
     if not pairs:
         return F.lit(True)
-    by_second: dict[str, list[str]] = {}
+    partners: dict[str, list[str]] = {}
     for one, other in pairs:
-        by_second.setdefault(other, []).append(one)
-    return reduce(
-        and_, [~((second == other) & first.isin(*ones)) for other, ones in by_second.items()]
-    )
+        partners.setdefault(other, []).append(one)
+    if len(partners) == 1:
+        return ~((second == pairs[0][1]) & first.isin(*[one for one, _ in pairs]))
+    entries = [(F.lit(key), F.array(*map(F.lit, ones))) for key, ones in partners.items()]
+    listed = F.element_at(F.create_map(*chain(*entries)), second)
+    # ``listed`` is NULL for a second value in no pair, and such a row stays.
+    beside_listed = F.coalesce(~F.array_contains(listed, first), listed.isNull())
+    any_first = first.isin(*dict.fromkeys(one for one, _ in pairs))
+    return F.when(second.isNull(), ~any_first).otherwise(beside_listed)
 
 
 def exclude_within(

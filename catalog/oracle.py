@@ -321,18 +321,18 @@ ORACLE = {
     "column_listing": with_views(
         f"SELECT operatingunit, country, psnu, psnuuid, {TRIPLE}, fiscal_year, targets FROM results"
     ),
-    "select_any_of_columns": with_views(
+    "select_any_of": with_views(
         "SELECT country, indicator, mech_code, targets, funding_agency FROM results"
     ),
     "strict_select": with_views("SELECT * FROM hierarchy"),
-    "drop_column": with_views(
+    "drop_columns": with_views(
         f"SELECT country, psnu, psnuuid, {TRIPLE}, fiscal_year, targets FROM plan_all WHERE {ASIA}"
     ),
-    "rename_column": with_views(
+    "rename": with_views(
         "SELECT operatingunit, countryname AS country, psnu AS site, psnuuid FROM hierarchy"
     ),
-    "relocate_column": with_views('SELECT psnu, indicator, "FY23", "FY24" FROM wide'),
-    "derived_columns": with_views(
+    "relocate": with_views('SELECT psnu, indicator, "FY23", "FY24" FROM wide'),
+    "derive": with_views(
         """SELECT mech_code, indicator, targets, cumulative,
           'Western Hemisphere Region' AS operatingunit, targets - cumulative AS gap,
           (targets - cumulative) * 2 AS double_gap FROM results"""
@@ -348,7 +348,7 @@ ORACLE = {
         f"""SELECT {UNSCOPED} FROM results WHERE source_name IS DISTINCT FROM 'Derived'
           AND indicator IS DISTINCT FROM 'TB_STAT' AND indicator IS DISTINCT FROM 'TB_STAT_D'"""
     ),
-    "exclude_listed_pairs": with_views(
+    "exclude_pairs": with_views(
         f"""SELECT {UNSCOPED}
           FROM (SELECT * REPLACE ({CLEAN} AS indicator) FROM results)
           WHERE {no_pairs(COUNTRY_REPORT_EXCLUSIONS)}"""
@@ -394,7 +394,7 @@ ORACLE = {
     "bind_rows_fill": with_views(
         f"{sums_of('N', CUMULATIVE_SUM)} UNION ALL {sums_of('D', 'NULL')}"
     ),
-    "union_same_columns": with_views(
+    "union_strict": with_views(
         f"{sums_of('N', CUMULATIVE_SUM)} UNION ALL {sums_of('D', CUMULATIVE_SUM)}"
     ),
     "pivot_one": with_views('SELECT psnu, indicator, "FY23", "FY24" FROM wide'),
@@ -419,7 +419,7 @@ ORACLE = {
           CASE WHEN cumulative IS NULL THEN 'missing' WHEN targets > 25 THEN 'large' END AS size
           FROM results"""
     ),
-    "fiscal_labels": with_views(
+    "fiscal_label": with_views(
         """SELECT regexp_replace(CAST(fiscal_year AS VARCHAR), '20', 'FY') AS label,
           count(*) AS n_rows FROM fact GROUP BY ALL"""
     ),
@@ -440,10 +440,10 @@ ORACLE = {
           {round_two("share")} AS two_digits, {percent("share")} AS as_percent
           FROM (SELECT psnu, indicator, "FY24" / 8.0::DOUBLE AS share FROM wide)"""
     ),
-    "format_integers": with_views(
+    "format_integer": with_views(
         f"""SELECT psnu, indicator, {whole('"FY24" * 1234.5::DOUBLE')} AS shown FROM wide"""
     ),
-    "format_percents": with_views(
+    "format_percent": with_views(
         f"""SELECT psnu, indicator,
           CASE WHEN fraction IS NULL OR isnan(fraction) THEN NULL
             WHEN isinf(fraction) THEN CASE WHEN fraction > 0 THEN 'Inf%' ELSE '-Inf%' END
@@ -545,7 +545,7 @@ ORACLE = {
           GROUP BY ALL""",
         placed(ASIA, "ASIA"),
     ),
-    "compare_dominican_republic": with_views("SELECT * FROM compared", country_views()),
+    "compare_dr": with_views("SELECT * FROM compared", country_views()),
     "compare_caribbean": with_views("SELECT * FROM compared", CARIBBEAN),
     "compare_caribbean_by_country": with_views("SELECT * FROM compared", CARIBBEAN_BY_COUNTRY),
     "compare_central_america": with_views("SELECT * FROM compared", CENTRAL_AMERICA),

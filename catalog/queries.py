@@ -9,41 +9,8 @@ from pyspark.sql import functions as F
 
 from catalog import star
 from plumbline import compare
-from plumbline.functions import (
-    drop_nan,
-    fiscal_label,
-    format_integer,
-    format_percent,
-    is_missing,
-    not_in,
-    percent_text,
-    ratio,
-    remove_first,
-    replace_first,
-    round_half_even,
-    trim_whitespace,
-)
-from plumbline.operators import (
-    absent_after_zero,
-    bind_rows,
-    broadcast_if_small,
-    derive,
-    drop_columns,
-    exclude_pairs,
-    exclude_within,
-    in_year,
-    left_join,
-    order_rows,
-    pivot_wider,
-    relocate,
-    rename,
-    select_any_of,
-    semi_join,
-    sum_by,
-    union_strict,
-    unique_lookup,
-    unpivot_years,
-)
+from plumbline import functions as fx
+from plumbline import operators as ops
 from plumbline.plans import indicators, quality, report
 from plumbline.plans.compare import combine, planned_sums, reported_sums, year_change
 from plumbline.plans.indicators import DETAIL, SITE, TRIPLE
@@ -81,13 +48,13 @@ def comparison(spark: SparkSession, sf: str, profile) -> DataFrame:
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
     """Target sums per site, indicator and year from 2022 on: many numbers to round and format."""
     rows = star.fact(spark, sf, first_year=2022, last_year=2024)
-    return sum_by(rows, ["psnu", "indicator", "fiscal_year"], ["targets"]).withColumn(
-        "fiscal_year", fiscal_label(F.col("fiscal_year"))
+    return ops.sum_by(rows, ["psnu", "indicator", "fiscal_year"], ["targets"]).withColumn(
+        "fiscal_year", fx.fiscal_label(F.col("fiscal_year"))
     )
 
 
 def yearly_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return pivot_wider(
+    return ops.pivot_wider(
         yearly(spark, sf), ["psnu", "indicator"], "fiscal_year", ["FY23", "FY24"], ["targets"]
     )
 
@@ -112,9 +79,9 @@ def column_listing(spark, sf):
 
 
 @query
-def select_any_of_columns(spark, sf):
+def select_any_of(spark, sf):
     wanted = ["country", "sitename", "indicator", "country", "mech_code", "targets"]
-    return select_any_of(star.results(spark, sf), wanted, must=indicators.MUST_EXIST)
+    return ops.select_any_of(star.results(spark, sf), wanted, must=indicators.MUST_EXIST)
 
 
 @query
@@ -123,30 +90,30 @@ def strict_select(spark, sf):
 
 
 @query
-def drop_column(spark, sf):
-    return drop_columns(star.plan(spark, sf, star.CARIBBEAN), "operatingunit", "cumulative")
+def drop_columns(spark, sf):
+    return ops.drop_columns(star.plan(spark, sf, star.CARIBBEAN), "operatingunit", "cumulative")
 
 
 @query
-def rename_column(spark, sf):
-    return rename(star.hierarchy(spark, sf), country="countryname", site="psnu")
+def rename(spark, sf):
+    return ops.rename(star.hierarchy(spark, sf), country="countryname", site="psnu")
 
 
 @query
-def relocate_column(spark, sf):
-    wide = pivot_wider(
+def relocate(spark, sf):
+    wide = ops.pivot_wider(
         yearly(spark, sf),
         ["psnu", "indicator"],
         "fiscal_year",
         ["FY24", "FY23"],
         ["targets"],
     )
-    return relocate(wide, "FY23", after=2)
+    return ops.relocate(wide, "FY23", after=2)
 
 
 @query
-def derived_columns(spark, sf):
-    return derive(
+def derive(spark, sf):
+    return ops.derive(
         unlocated(spark, sf).select("mech_code", "indicator", "targets", "cumulative"),
         {
             "operatingunit": F.lit("Western Hemisphere Region"),
@@ -159,7 +126,7 @@ def derived_columns(spark, sf):
 @query
 def unpivot_plan(spark, sf):
     wide = yearly_wide(spark, sf)
-    return unpivot_years(wide, {"FY23": 2023, "FY24": 2024}, drop_missing=True)
+    return ops.unpivot_years(wide, {"FY23": 2023, "FY24": 2024}, drop_missing=True)
 
 
 # Filters
@@ -182,7 +149,7 @@ def filter_scope(spark, sf):
 
 @query
 def filter_year_text(spark, sf):
-    return _unscoped(unlocated(spark, sf).where(in_year(F.col("fiscal_year"), "2023")))
+    return _unscoped(unlocated(spark, sf).where(ops.in_year(F.col("fiscal_year"), "2023")))
 
 
 @query
@@ -199,14 +166,14 @@ def filter_membership(spark, sf):
 
 @query
 def filter_not_in_null_safe(spark, sf):
-    rows = unlocated(spark, sf).where(not_in(F.col("source_name"), ["Derived"]))
-    return _unscoped(rows.where(not_in(F.col("indicator"), TB_STATUS)))
+    rows = unlocated(spark, sf).where(fx.not_in(F.col("source_name"), ["Derived"]))
+    return _unscoped(rows.where(fx.not_in(F.col("indicator"), TB_STATUS)))
 
 
 @query
-def exclude_listed_pairs(spark, sf):
+def exclude_pairs(spark, sf):
     rows = indicators.clean_indicator(unlocated(spark, sf))
-    kept = exclude_pairs(
+    kept = ops.exclude_pairs(
         F.col("indicator"), F.col("standardizeddisaggregate"), COUNTRY_REPORT_EXCLUSIONS
     )
     return _unscoped(rows.where(kept))
@@ -214,7 +181,7 @@ def exclude_listed_pairs(spark, sf):
 
 @query
 def guarded_exclusion(spark, sf):
-    kept = exclude_within(
+    kept = ops.exclude_within(
         F.col("indicator"),
         "HTS_SELF",
         F.col("standardizeddisaggregate"),
@@ -232,7 +199,7 @@ def substring_filter(spark, sf):
 @query
 def zero_and_absent_filter(spark, sf):
     wide = yearly_wide(spark, sf)
-    return wide.where(~absent_after_zero(F.col("FY23"), F.col("FY24")))
+    return wide.where(~ops.absent_after_zero(F.col("FY23"), F.col("FY24")))
 
 
 # Joins
@@ -240,21 +207,21 @@ def zero_and_absent_filter(spark, sf):
 
 @query
 def semi_join_mapping(spark, sf):
-    listed = broadcast_if_small(adjusted(spark, sf))
-    return _unscoped(semi_join(unlocated(spark, sf), listed, TRIPLE))
+    listed = ops.broadcast_if_small(adjusted(spark, sf))
+    return _unscoped(ops.semi_join(unlocated(spark, sf), listed, TRIPLE))
 
 
 @query
 def left_join_hierarchy(spark, sf):
     sites = indicators.clean_site(star.plan(spark, sf, star.CARIBBEAN), "ASIA")
-    lookup = unique_lookup(star.hierarchy(spark, sf), SITE, "countryname")
-    return left_join(sites, lookup, SITE).select(*SITE, "countryname", *DETAIL, "targets")
+    lookup = ops.unique_lookup(star.hierarchy(spark, sf), SITE, "countryname")
+    return ops.left_join(sites, lookup, SITE).select(*SITE, "countryname", *DETAIL, "targets")
 
 
 @query
 def left_join_totals(spark, sf):
     rows = unlocated(spark, sf)
-    joined = left_join(
+    joined = ops.left_join(
         quality.disaggregate_sums(rows, source=None),
         quality.total_sums(rows, ["HTS_SELF", "PrEP_NEW"]),
         ["fiscal_year", "indicator"],
@@ -267,19 +234,19 @@ def left_join_totals(spark, sf):
 
 @query
 def na_sum_one(spark, sf):
-    return sum_by(star.results(spark, sf), ["country", *DETAIL], ["targets"])
+    return ops.sum_by(star.results(spark, sf), ["country", *DETAIL], ["targets"])
 
 
 @query
 def na_sum_many(spark, sf):
-    return sum_by(unlocated(spark, sf), [*TRIPLE, "fiscal_year"], ["targets", "cumulative"])
+    return ops.sum_by(unlocated(spark, sf), [*TRIPLE, "fiscal_year"], ["targets", "cumulative"])
 
 
 @query
 def resum_coarser(spark, sf):
-    fine = sum_by(unlocated(spark, sf), DETAIL, ["targets", "cumulative"])
+    fine = ops.sum_by(unlocated(spark, sf), DETAIL, ["targets", "cumulative"])
     coarse = ["indicator", "fiscal_year", "all_or_KP"]
-    return sum_by(indicators.classify_population(fine), coarse, ["targets", "cumulative"])
+    return ops.sum_by(indicators.classify_population(fine), coarse, ["targets", "cumulative"])
 
 
 @query
@@ -292,20 +259,20 @@ def distinct_hierarchy(spark, sf):
 
 def _sums_of(spark, sf, kind, measures):
     rows = unlocated(spark, sf).where(F.col("numeratordenom") == kind)
-    return sum_by(rows, DETAIL, measures)
+    return ops.sum_by(rows, DETAIL, measures)
 
 
 @query
 def bind_rows_fill(spark, sf):
-    return bind_rows(
+    return ops.bind_rows(
         _sums_of(spark, sf, "N", ["targets", "cumulative"]), _sums_of(spark, sf, "D", ["targets"])
     )
 
 
 @query
-def union_same_columns(spark, sf):
+def union_strict(spark, sf):
     both = ["targets", "cumulative"]
-    return union_strict(_sums_of(spark, sf, "N", both), _sums_of(spark, sf, "D", both))
+    return ops.union_strict(_sums_of(spark, sf, "N", both), _sums_of(spark, sf, "D", both))
 
 
 # Reshaping
@@ -319,9 +286,9 @@ def pivot_one(spark, sf):
 @query
 def pivot_two(spark, sf):
     rows = indicators.classify_population(unlocated(spark, sf)).withColumn(
-        "fiscal_year", fiscal_label(F.col("fiscal_year"))
+        "fiscal_year", fx.fiscal_label(F.col("fiscal_year"))
     )
-    return pivot_wider(
+    return ops.pivot_wider(
         rows,
         ["indicator", "all_or_KP"],
         "fiscal_year",
@@ -333,8 +300,8 @@ def pivot_two(spark, sf):
 
 @query
 def sort_nulls_last(spark, sf):
-    sums = sum_by(star.results(spark, sf), ["country", *TRIPLE], ["targets"])
-    return order_rows(sums, "country", *TRIPLE)
+    sums = ops.sum_by(star.results(spark, sf), ["country", *TRIPLE], ["targets"])
+    return ops.order_rows(sums, "country", *TRIPLE)
 
 
 # Scalar functions
@@ -343,15 +310,15 @@ def sort_nulls_last(spark, sf):
 @query
 def case_when_without_default(spark, sf):
     rows = unlocated(spark, sf)
-    missing, large = is_missing(F.col("cumulative")), F.col("targets") > 25
+    missing, large = fx.is_missing(F.col("cumulative")), F.col("targets") > 25
     flagged = F.when(missing, "missing").when(large, "large")
     return rows.select("mech_code", "indicator", "targets", "cumulative", flagged.alias("size"))
 
 
 @query
-def fiscal_labels(spark, sf):
+def fiscal_label(spark, sf):
     rows = star.fact(spark, sf, located=False)
-    label = fiscal_label(F.col("fiscal_year")).alias("label")
+    label = fx.fiscal_label(F.col("fiscal_year")).alias("label")
     return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -359,50 +326,50 @@ def fiscal_labels(spark, sf):
 def replace_first_match(spark, sf):
     return star.hierarchy(spark, sf).select(
         "psnuuid",
-        replace_first(F.col("psnu"), "0", "FY").alias("replaced"),
-        remove_first(F.col("psnu"), "00").alias("removed"),
+        fx.replace_first(F.col("psnu"), "0", "FY").alias("replaced"),
+        fx.remove_first(F.col("psnu"), "00").alias("removed"),
     )
 
 
 @query
 def trim_site_names(spark, sf):
     sites = star.plan(spark, sf, star.CENTRAL_AMERICA).select("psnuuid", "psnu").distinct()
-    cleaned = trim_whitespace(remove_first(F.col("psnu"), "_Military"))
+    cleaned = fx.trim_whitespace(fx.remove_first(F.col("psnu"), "_Military"))
     return sites.select("psnuuid", F.length("psnu").alias("length"), cleaned.alias("cleaned"))
 
 
 @query
 def ieee_ratio(spark, sf):
     wide = yearly_wide(spark, sf).where(F.col("FY23").isNotNull() & F.col("FY24").isNotNull())
-    change = ratio(F.col("FY24") - F.col("FY23"), F.col("FY23"))
+    change = fx.ratio(F.col("FY24") - F.col("FY23"), F.col("FY23"))
     return wide.select("psnu", "indicator", change.alias("change"))
 
 
 @query
 def rounded_ratio(spark, sf):
     wide = yearly_wide(spark, sf)
-    share = ratio(F.col("FY24"), F.lit(8.0))
+    share = fx.ratio(F.col("FY24"), F.lit(8.0))
     return wide.select(
         "psnu",
         "indicator",
-        round_half_even(share).alias("whole"),
-        round_half_even(share, 2).alias("two_digits"),
-        percent_text(round_half_even(share)).alias("as_percent"),
+        fx.round_half_even(share).alias("whole"),
+        fx.round_half_even(share, 2).alias("two_digits"),
+        fx.percent_text(fx.round_half_even(share)).alias("as_percent"),
     )
 
 
 @query
-def format_integers(spark, sf):
+def format_integer(spark, sf):
     wide = yearly_wide(spark, sf)
-    larger = format_integer(drop_nan(F.col("FY24")) * 1234.5)
+    larger = fx.format_integer(fx.drop_nan(F.col("FY24")) * 1234.5)
     return wide.select("psnu", "indicator", larger.alias("shown"))
 
 
 @query
-def format_percents(spark, sf):
+def format_percent(spark, sf):
     wide = yearly_wide(spark, sf)
-    fraction = round_half_even(ratio(F.col("FY24") - F.col("FY23"), F.col("FY23")), 2)
-    return wide.select("psnu", "indicator", format_percent(fraction).alias("shown"))
+    fraction = fx.round_half_even(fx.ratio(F.col("FY24") - F.col("FY23"), F.col("FY23")), 2)
+    return wide.select("psnu", "indicator", fx.format_percent(fraction).alias("shown"))
 
 
 # Domain steps
@@ -446,7 +413,7 @@ def aggregate_plan(spark, sf):
 
 @query
 def assign_country(spark, sf):
-    next_year = in_year(F.col("fiscal_year"), 2024)
+    next_year = ops.in_year(F.col("fiscal_year"), 2024)
     plan = star.plan(spark, sf, star.CARIBBEAN).where(next_year)
     placed = indicators.assign_country(plan, star.hierarchy(spark, sf), "ASIA")
     return placed.select(*SITE, "country", *TRIPLE, "targets")
@@ -488,7 +455,7 @@ def year_change_percent(spark, sf):
 
 @query
 def year_change_other_years(spark, sf):
-    wide = pivot_wider(
+    wide = ops.pivot_wider(
         yearly(spark, sf), ["psnu", "indicator"], "fiscal_year", ["FY22", "FY24"], ["targets"]
     )
     return year_change(wide, "FY22", "FY24", "percent", "diff_fy_24_22", "percent_change_24_22")
@@ -547,7 +514,7 @@ def unmatched_sites(spark, sf):
 
 
 @query
-def compare_dominican_republic(spark, sf):
+def compare_dr(spark, sf):
     return comparison(spark, sf, star.DOMINICAN_REPUBLIC)
 
 

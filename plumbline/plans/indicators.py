@@ -165,8 +165,8 @@ def aggregate_plan_by_country(
 ) -> DataFrame:
     """Planned targets of one year per country, indicator and disaggregate.
 
-    Rows are summed per raw site name before names are cleaned and joined: a site with very many plan
-    rows then joins as few.
+    Rows are summed per raw site name before names are cleaned and joined: a site with very many
+    plan rows then joins as few.
     """
     sites = sum_by(plan_targets(plan, year), ["psnu", "psnuuid", *DETAIL], ["targets"])
     located = drop_columns(assign_country(sites, hierarchy, operatingunit), "operatingunit")

@@ -10,6 +10,12 @@ from plumbline.plans.profiles import Profile
 from plumbline.plans.report import SUBTITLES, both_sections, section_table
 
 
+def save_table(table: DataFrame, path: str, table_format: str) -> None:
+    """Write a table, replacing what is there; text files get a header line."""
+    writer = table.write.format(table_format).mode("overwrite")
+    (writer.option("header", True) if table_format == "csv" else writer).save(path)
+
+
 def save_report(
     comparison: DataFrame, profile: Profile, folder: str, table_format: str = "csv"
 ) -> dict[str, str]:
@@ -18,17 +24,12 @@ def save_report(
     The comparison is computed once, into ``folder/data`` with numbers and plain names, and the
     labelled section tables are made from that small stored copy, so the results are read once.
     """
-    spark = comparison.sparkSession
-    data = f"{folder.rstrip('/')}/data"
+    folder = folder.rstrip("/")
+    paths = {name: f"{folder}/{name}" for name in ("data", *SUBTITLES)}
     sections = both_sections(comparison)
-    sections.write.mode("overwrite").partitionBy("section").parquet(data)
-    stored = spark.read.schema(sections.schema).parquet(data)
-    paths = {"data": data}
+    sections.write.mode("overwrite").partitionBy("section").parquet(paths["data"])
+    stored = comparison.sparkSession.read.schema(sections.schema).parquet(paths["data"])
     for name in SUBTITLES:
         rows = order_rows(stored.where(F.col("section") == name).drop("section"), *profile.ids)
-        table = section_table(rows, profile, name)
-        paths[name] = f"{folder.rstrip('/')}/{name}"
-        writer = table.write.format(table_format).mode("overwrite")
-        (writer.option("header", True) if table_format == "csv" else writer).save(paths[name])
+        save_table(section_table(rows, profile, name), paths[name], table_format)
     return paths
-

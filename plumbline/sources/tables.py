@@ -1,11 +1,13 @@
 """Readers of the input tables.
 
-Columns are taken by name. Those the library uses must exist and get their declared type; others
-pass through untouched and cost nothing until something selects them.
+Columns are taken by name. Those every comparison uses must exist, those only some use may be
+absent; both get their declared type. Others pass through untouched and cost nothing until selected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +36,20 @@ PLAN = _schema(
 MAPPING = _schema(text="indicator numeratordenom standardizeddisaggregate")
 HIERARCHY = _schema(text="operatingunit countryname psnu psnuuid")
 
+# Used only by some profiles or checks, which then say if they miss one.
+OPTIONAL = ("country", "cumulative", "psnu", "psnuuid", "source_name")
+
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 ARCHIVES = (".zip", ".rds", ".xlsx", ".xls")
 
 
-def _read(spark: SparkSession, path: str, file_format: str, schema: T.StructType) -> DataFrame:
+def _read(
+    spark: SparkSession,
+    path: str,
+    file_format: str,
+    schema: T.StructType,
+    optional: Sequence[str] = (),
+) -> DataFrame:
     if path.lower().endswith(ARCHIVES):
         raise ValueError(f"convert {path} to text or Parquet first: Spark would read it as garbage")
     if file_format in SEPARATORS:
@@ -54,31 +65,32 @@ def _read(spark: SparkSession, path: str, file_format: str, schema: T.StructType
         df = spark.read.format(file_format).load(path)
     else:
         raise ValueError(f"unknown format: {file_format}")
-    return conform(df, schema)
+    return conform(df, schema, optional)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Check that the schema's columns exist and cast those of another type.
+def conform(df: DataFrame, schema: T.StructType, optional: Sequence[str] = ()) -> DataFrame:
+    """Check that the schema's columns exist, unless optional, and cast those of another type.
 
     A column already of its type is left alone, so filters on it still reach the scan.
     """
-    require_columns(df, schema.fieldNames())
+    require_columns(df, [name for name in schema.fieldNames() if name not in optional])
+    present = {field.name: field.dataType for field in df.schema}
     casts = {
         field.name: F.col(field.name).cast(field.dataType)
         for field in schema
-        if df.schema[field.name].dataType != field.dataType
+        if present.get(field.name, field.dataType) != field.dataType
     }
     return df.withColumns(casts) if casts else df
 
 
 def read_results(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Long results table. Parquet partitioned by ``fiscal_year`` lets year floors prune."""
-    return _read(spark, path, file_format, RESULTS)
+    return _read(spark, path, file_format, RESULTS, OPTIONAL)
 
 
 def read_plan(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Long plan table."""
-    return _read(spark, path, file_format, PLAN)
+    return _read(spark, path, file_format, PLAN, OPTIONAL)
 
 
 def read_mapping(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

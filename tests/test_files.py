@@ -6,6 +6,7 @@ import pytest
 
 import fixtures
 from plumbline import PROFILES, compare
+from plumbline.__main__ import run
 from plumbline.plans.report import section_table
 from plumbline.sinks import save_report
 from plumbline.sources import latest_file, read_hierarchy, read_mapping, read_plan, read_results
@@ -63,6 +64,13 @@ def test_missing_input_column(spark, tmp_path):
         read_plan(spark, str(tmp_path / "plan.csv"), "csv")
 
 
+def test_optional_columns_may_be_absent(spark, tmp_path):
+    columns = "operatingunit,indicator,numeratordenom,standardizeddisaggregate,fiscal_year,targets"
+    made(tmp_path / "plan.csv", f"{columns}\nRegion,HTS_TST,N,Age/Sex,2024,1\n")
+    df = read_plan(spark, str(tmp_path / "plan.csv"), "csv")
+    assert df.columns == columns.split(",") and df.first().fiscal_year == 2024
+
+
 def test_archives_and_unknown_formats_are_refused(spark):
     with pytest.raises(ValueError, match="convert"):
         read_results(spark, "/data/results.zip", "tsv")
@@ -107,6 +115,22 @@ def test_saved_report(spark, stored, tmp_path, table_format):
         assert sorted(map(str, written.collect())) == sorted(map(str, expected.collect()))
 
 
+def test_command_line(spark, stored, tmp_path):
+    """The same reports as from Python, with the newest of the stored tables."""
+    common = ["--results", f"{tmp_path}/results", "--input-format", "parquet"]
+    tables = ["--plan", str(tmp_path), "--plan-pattern", "^plan$"]
+    tables += ["--mapping", f"{tmp_path}/triples"]
+    fixtures.mapping(spark).write.parquet(f"{tmp_path}/triples")
+    run(spark, ["dominican_republic", *common, *tables, "--output", f"{tmp_path}/report"])
+    found = spark.read.option("header", True).csv(f"{tmp_path}/report/all")
+    assert found.count() == 6 and "targets change_FY24_23" in found.columns
+    run(spark, ["completeness", *common, "--output", f"{tmp_path}/check", "--format", "json"])
+    assert os.path.exists(f"{tmp_path}/check/_SUCCESS")
+    for wrong in (["caribbean_by_country", *tables], ["caribbean"]):
+        with pytest.raises(SystemExit):
+            run(spark, [*wrong, *common, "--output", f"{tmp_path}/none"])
+
+
 def test_saving_again_overwrites(spark, stored, tmp_path):
     profile = PROFILES["dominican_republic"]
     for _ in range(2):

@@ -28,11 +28,7 @@ def _right_keys(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[
 
 
 def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left rows whose keys occur on the right.
-
-    Written above an aggregate on the same keys, Spark moves it below the aggregate exactly when the
-    right side is small enough to broadcast.
-    """
+    """Left rows whose keys occur on the right."""
     require_columns(left, keys)
     right, match, _ = _right_keys(right.select(*keys), keys)
     return left.join(right, match, "left_semi")

@@ -29,8 +29,7 @@ from plumbline.plans.indicators import (
     aggregate_plan,
     aggregate_plan_by_country,
     classify_population,
-    match_mapping,
-    match_or_supplement,
+    match_sums,
     scoped_columns,
 )
 from plumbline.plans.profiles import Profile
@@ -42,15 +41,11 @@ def reported_sums(
     """Scoped result sums per place, indicator, disaggregate and year.
 
     Rows are summed by their raw names before the mapping is joined, which depends on those
-    names alone. However large the results or one of their keys, the join then sees the few sums.
+    names alone. However large the results, the mapping or one key, the join sees the few sums.
     """
     rows = scoped_columns(results, plan_columns, profile)
     raw = sum_by(rows, [*profile.places, *TRIPLE, "fiscal_year"], profile.measures)
-    adjusted = adjust_mapping(mapping)
-    if profile.supplement:
-        matched = match_or_supplement(raw, adjusted, profile.supplement)
-    else:
-        matched = match_mapping(raw, adjusted)
+    matched = match_sums(raw, adjust_mapping(mapping), profile.supplement)
     sums = sum_by(matched, [*profile.places, *DETAIL], profile.measures)
     return refuse_year(sums, profile) if profile.shared_year == "error" else sums
 

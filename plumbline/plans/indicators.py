@@ -77,17 +77,16 @@ def scoped_columns(results: DataFrame, plan_columns: Sequence[str], profile: Pro
     return select_any_of(in_scope(results, profile), plan_columns, must=MUST_EXIST)
 
 
-def match_mapping(rows: DataFrame, adjusted: DataFrame) -> DataFrame:
-    """Keep rows the mapping lists, by raw names, and only then give them their final names."""
-    return restore_prep(clean_indicator(semi_join(rows, adjusted, TRIPLE)))
-
-
 def harmonise_results(
     results: DataFrame, mapping: DataFrame, plan_columns: Sequence[str], profile: Profile
 ) -> DataFrame:
-    """Site-level result rows in scope, named as in the plan."""
+    """Site-level result rows in scope that the mapping lists, named as in the plan.
+
+    The mapping is matched by raw names; only then do rows get their final ones.
+    """
     rows = scoped_columns(results, plan_columns, profile)
-    return match_mapping(rows, broadcast_if_small(adjust_mapping(mapping)))
+    listed = broadcast_if_small(adjust_mapping(mapping))
+    return restore_prep(clean_indicator(semi_join(rows, listed, TRIPLE)))
 
 
 def _is_supplement(supplement: Supplement) -> Column:
@@ -103,23 +102,26 @@ def supplement_rows(rows: DataFrame, supplement: Supplement, measures: Sequence[
     return sum_by(clean_indicator(rows.where(_is_supplement(supplement))), DETAIL, measures)
 
 
-def match_or_supplement(
-    rows: DataFrame, adjusted: DataFrame, supplement: Supplement
+def match_sums(
+    sums: DataFrame, adjusted: DataFrame, supplement: Supplement | None = None
 ) -> DataFrame:
-    """Rows the mapping lists together with the supplement, from one pass over ``rows``.
+    """Sums by raw names that the mapping lists, and those of the supplement, with final names.
 
-    A row that is both comes out twice, as a union of the two would give. A union would
-    read the results a second time.
+    A sum that is both comes out twice, as a union of the two would give, but a union would read the
+    results a second time. The mapping joins as a flag and not as a semi join, which Spark would move
+    below the sums if the mapping is small: probing it per row costs twice what summing all does.
     """
     listed = adjusted.select(*TRIPLE).distinct().withColumn("listed", F.lit(True))
+    flagged = left_join(sums, listed, TRIPLE)
+    if supplement is None:
+        return restore_prep(clean_indicator(flagged.where("listed").drop("listed")))
     routes = F.array_compact(
         F.array(
             F.when(F.col("listed"), F.lit("mapping")),
             F.when(_is_supplement(supplement), F.lit("supplement")),
         )
     )
-    routed = left_join(rows, listed, TRIPLE).withColumn("route", F.explode(routes)).drop("listed")
-    cleaned = clean_indicator(routed)
+    cleaned = clean_indicator(flagged.withColumn("route", F.explode(routes)).drop("listed"))
     restored = F.when(
         F.col("route") == "mapping", _renamed_prep(RESULT_KEY_POPULATION, PLAN_KEY_POPULATION)
     ).otherwise(F.col("standardizeddisaggregate"))

@@ -71,24 +71,22 @@ def test_no_python_and_no_cartesian_product(tables, name):
     assert len(re.findall(r"(?:BroadcastHash|SortMerge|ShuffledHash)Join", plan)) == joins
 
 
-def test_a_small_mapping_filters_before_the_sums(tables):
-    plan = executed(compare(**tables, profile=PROFILES["caribbean"]))
+def sums_below_mapping_join(plan):
+    """Aggregates between the join with the mapping and the scan of the results."""
     lines = plan.splitlines()
-    join = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
-    assert "BroadcastHashJoin" in lines[join]
-    assert "HashAggregate" not in "".join(
-        lines[join : next(i for i, line in enumerate(lines) if "/results]" in line)]
-    )
+    scan = next(i for i, line in enumerate(lines) if "/results]" in line)
+    join = max(i for i, line in enumerate(lines[:scan]) if re.search(r"Join\b", line))
+    return len([line for line in lines[join:scan] if "HashAggregate" in line])
+
+
+@pytest.mark.parametrize("name", sorted(PROFILES))
+def test_the_mapping_meets_only_sums(tables, name):
+    assert sums_below_mapping_join(executed(compare(**tables, profile=PROFILES[name]))) == 2
 
 
 def test_a_large_mapping_meets_only_sums(tables, no_broadcast):
     plan = executed(compare(**tables, profile=PROFILES["caribbean"]))
-    assert "Broadcast" not in plan
-    lines = plan.splitlines()
-    join = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
-    scan = next(i for i, line in enumerate(lines) if "/results]" in line)
-    between = [line for line in lines[join:scan] if "HashAggregate" in line]
-    assert len(between) == 2
+    assert "Broadcast" not in plan and sums_below_mapping_join(plan) == 2
 
 
 def test_same_answers_without_broadcast(tables, no_broadcast):

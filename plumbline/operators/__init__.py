@@ -7,7 +7,13 @@ from plumbline.operators.columns import (
     rename,
     select_any_of,
 )
-from plumbline.operators.joins import broadcast_if_small, left_join, semi_join, unique_lookup
+from plumbline.operators.joins import (
+    broadcast_if_small,
+    is_small,
+    left_join,
+    semi_join,
+    unique_lookup,
+)
 from plumbline.operators.reshape import pivot_wider, unpivot_years
 from plumbline.operators.rows import (
     absent_after_zero,
@@ -28,6 +34,7 @@ __all__ = [
     "exclude_pairs",
     "exclude_within",
     "in_year",
+    "is_small",
     "left_join",
     "order_rows",
     "pivot_wider",

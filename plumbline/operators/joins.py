@@ -1,8 +1,8 @@
 """Joins in which missing keys match missing keys.
 
-The joins carry no broadcast hint. Spark broadcasts a side only when its size, from file statistics
-or measured by adaptive execution, is under its threshold, and otherwise shuffles and splits skewed
-partitions. Null-safe equality is still a hash or sort-merge key.
+The joins themselves carry no broadcast hint. Spark broadcasts a side only when its size, from file
+statistics or measured by adaptive execution, is under its threshold, and otherwise shuffles and
+splits skewed partitions. Null-safe equality is still a hash or sort-merge key.
 """
 
 from __future__ import annotations
@@ -44,22 +44,21 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(right, match, "left").drop(*extra)
 
 
+def is_small(lookup: DataFrame) -> bool:
+    """Whether a lookup may be broadcast, measured by a job that counts its rows and bytes."""
+    lengths = [F.octet_length(F.col(name).cast("string")) for name in lookup.columns]
+    width = reduce(add, [F.coalesce(length, F.lit(0)) for length in lengths])
+    size = lookup.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(width).alias("n_bytes")).first()
+    return size.n_rows <= BROADCAST_ROWS and (size.n_bytes or 0) <= BROADCAST_BYTES
+
+
 def broadcast_if_small(lookup: DataFrame) -> DataFrame:
-    """Hint a broadcast of a lookup whose size, measured here by a small job, is within bounds.
+    """Hint a broadcast of a lookup that is small; leave a larger one to a shuffle join.
 
     For joins of whole tables to a lookup that is computed and so has no file size: without the hint
-    Spark would shuffle the table before it learns how small the lookup is. A larger one
-    is left to a shuffle join.
+    Spark would shuffle the table before it learns how small the lookup is.
     """
-    lengths = [F.octet_length(F.col(name).cast("string")) for name in lookup.columns]
-    width = reduce(add, [F.coalesce(length, F.lit(0)) for length in lengths])
-    size = (
-        lookup.limit(BROADCAST_ROWS + 1)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(width).alias("n_bytes"))
-        .first()
-    )
-    small = size.n_rows <= BROADCAST_ROWS and (size.n_bytes or 0) <= BROADCAST_BYTES
-    return F.broadcast(lookup) if small else lookup
+    return F.broadcast(lookup) if is_small(lookup) else lookup
 
 
 def unique_lookup(

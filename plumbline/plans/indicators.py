@@ -14,6 +14,7 @@ from plumbline.operators import (
     drop_columns,
     exclude_within,
     in_year,
+    is_small,
     left_join,
     select_any_of,
     semi_join,
@@ -108,8 +109,8 @@ def match_sums(
     """Sums by raw names that the mapping lists, and those of the supplement, with final names.
 
     A sum that is both comes out twice, as a union of the two would give, but a union would read the
-    results a second time. The mapping joins as a flag and not as a semi join, which Spark would move
-    below the sums if the mapping is small: probing it per row costs twice what summing all does.
+    results a second time. The mapping joins as a flag and not as a semi join: that, Spark would
+    move below the sums if the mapping is small, and probing it per row costs more than summing.
     """
     listed = adjusted.select(*TRIPLE).distinct().withColumn("listed", F.lit(True))
     flagged = left_join(sums, listed, TRIPLE)
@@ -150,16 +151,32 @@ def clean_site(plan: DataFrame, operatingunit: str) -> DataFrame:
     )
 
 
+def _site_countries(
+    hierarchy: DataFrame, operatingunit: str, duplicates: str = "error"
+) -> tuple[DataFrame, bool]:
+    """The country of each site of one operating unit, and whether they are few.
+
+    Few sites are marked for broadcasting. What is measured are the hierarchy's rows, of which
+    the lookup has at most as many.
+    """
+    sites = hierarchy.where(F.col("operatingunit") == operatingunit).select(*SITE, "countryname")
+    lookup = unique_lookup(sites, SITE, "countryname", duplicates)
+    few = is_small(sites)
+    return (F.broadcast(lookup) if few else lookup), few
+
+
+def _locate(rows: DataFrame, lookup: DataFrame, operatingunit: str) -> DataFrame:
+    located = left_join(clean_site(rows, operatingunit), lookup, SITE)
+    country = F.coalesce(F.col("countryname"), F.col("psnu"))
+    return located.withColumn("country", country).drop("countryname")
+
+
 def assign_country(
     plan: DataFrame, hierarchy: DataFrame, operatingunit: str, duplicates: str = "error"
 ) -> DataFrame:
     """Replace a plan row's country by its site's; an unknown site becomes its own country."""
-    # The plan side holds one operating unit, so other units of the hierarchy cannot match.
-    sites = hierarchy.where(F.col("operatingunit") == operatingunit)
-    lookup = unique_lookup(sites, SITE, "countryname", duplicates)
-    located = left_join(clean_site(plan, operatingunit), lookup, SITE)
-    country = F.coalesce(F.col("countryname"), F.col("psnu"))
-    return located.withColumn("country", country).drop("countryname")
+    lookup, _ = _site_countries(hierarchy, operatingunit, duplicates)
+    return _locate(plan, lookup, operatingunit)
 
 
 def aggregate_plan_by_country(
@@ -167,11 +184,14 @@ def aggregate_plan_by_country(
 ) -> DataFrame:
     """Planned targets of one year per country, indicator and disaggregate.
 
-    Rows are summed per raw site name before names are cleaned and joined: a site with very many
-    plan rows then joins as few.
+    Few sites are broadcast, and plan rows are shuffled only as sums per country. With many sites,
+    rows are first summed per raw site name, so that a site with very many rows joins as few.
     """
-    sites = sum_by(plan_targets(plan, year), ["psnu", "psnuuid", *DETAIL], ["targets"])
-    located = drop_columns(assign_country(sites, hierarchy, operatingunit), "operatingunit")
+    rows = plan_targets(plan, year)
+    lookup, few_sites = _site_countries(hierarchy, operatingunit)
+    if not few_sites:
+        rows = sum_by(rows, ["psnu", "psnuuid", *DETAIL], ["targets"])
+    located = drop_columns(_locate(rows, lookup, operatingunit), "operatingunit")
     return sum_by(located, ["country", *DETAIL], ["targets"])
 
 

@@ -89,9 +89,10 @@ def test_a_large_mapping_meets_only_sums(tables, no_broadcast):
     assert "Broadcast" not in plan and sums_below_mapping_join(plan) == 2
 
 
-def test_same_answers_without_broadcast(tables, no_broadcast):
+def test_same_answers_without_broadcast(tables, no_broadcast, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
     df = compare(**tables, profile=PROFILES["caribbean_by_country"])
-    assert df.count() == 4 and "SortMergeJoin" in executed(df)
+    assert df.count() == 4 and "Broadcast" not in executed(df)
 
 
 def test_checks_and_sections_read_results_once(tables):
@@ -100,14 +101,23 @@ def test_checks_and_sections_read_results_once(tables):
     assert len(scans(executed(both_sections(comparison)), "results")) == 1
 
 
-def test_sites_are_summed_before_they_are_located(tables):
+def sums_below_site_join(tables):
     planned = indicators.aggregate_plan_by_country(
         tables["plan"], tables["hierarchy"], 2024, fixtures.REGION
     )
     lines = executed(planned).splitlines()
     join = next(i for i, line in enumerate(lines) if "LeftOuter" in line)
     scan = next(i for i, line in enumerate(lines) if "/plan]" in line)
-    assert len([line for line in lines[join:scan] if "HashAggregate" in line]) == 2
+    sums = len([line for line in lines[join:scan] if "HashAggregate" in line])
+    return lines[join], sums, sorted(map(tuple, planned.collect()))
+
+
+def test_few_sites_are_broadcast_and_many_joined_to_sums(tables, no_broadcast, monkeypatch):
+    join, sums, found = sums_below_site_join(tables)
+    assert "BroadcastHashJoin" in join and sums == 0
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    join, sums, again = sums_below_site_join(tables)
+    assert "SortMergeJoin" in join and sums == 2 and again == found
 
 
 def test_a_lookup_is_broadcast_only_within_bounds(spark, no_broadcast, monkeypatch):

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
 
 import fixtures
 from plumbline import PROFILES, compare
@@ -58,6 +59,15 @@ def test_text_results_are_read_by_name(spark, tmp_path):
     assert (row.mech_code, row.source_name, row.sitename) == ("00123", None, "Clinic")
 
 
+def test_files_with_other_column_order_are_not_misread(spark, tmp_path):
+    names, values = HEADER.split(), LINE.rstrip("\n").split("\t")
+    made(tmp_path / "a.txt", HEADER + LINE * 3)
+    turned = ["\t".join(reversed(row)) + "\n" for row in (names, values)]
+    made(tmp_path / "b.txt", "".join(turned))
+    with pytest.raises(Py4JJavaError, match="FAILED_READ_FILE"):
+        read_results(spark, str(tmp_path), "tsv").select("country", "targets").collect()
+
+
 def test_missing_input_column(spark, tmp_path):
     made(tmp_path / "plan.csv", "indicator,targets\nHTS_TST,1\n")
     with pytest.raises(ValueError, match="missing columns: operatingunit"):

@@ -71,9 +71,9 @@ plan_all AS (
 ),
 indicators AS (SELECT DISTINCT indicator FROM parts),
 mapping AS (
-  SELECT indicator, numeratordenom, standardizeddisaggregate FROM indicators, (VALUES
-    ('N', 'Age/Sex'), ('D', 'Age/Sex'), ('N', 'KeyPop'), ('D', 'KeyPop')
-  ) AS t(numeratordenom, standardizeddisaggregate)
+  SELECT indicator, unnest(['N', 'D', 'N', 'D']) AS numeratordenom,
+    unnest(['Age/Sex', 'Age/Sex', 'KeyPop', 'KeyPop']) AS standardizeddisaggregate
+  FROM indicators
   UNION ALL SELECT indicator, NULL, 'Age/Sex' FROM indicators WHERE indicator = 'HTS_TST'
   UNION ALL SELECT indicator, 'N', 'Age/Sex/HIVStatus' FROM indicators
     WHERE indicator = 'PrEP_CT'

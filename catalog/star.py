@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.profiles import PROFILES, Profile
 
-# The columns used here, with the types of the given tables: no job is run to infer them.
+# The columns used here, so that no job is run to infer them. Integers of either width fit BIGINT.
 COLUMNS = {
-    "region": "r_regionkey INT, r_name STRING",
-    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "region": "r_regionkey BIGINT, r_name STRING",
+    "nation": "n_nationkey BIGINT, n_name STRING, n_regionkey BIGINT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey BIGINT, c_acctbal DOUBLE, "
     "c_mktsegment STRING",
-    "part": "p_partkey BIGINT, p_brand STRING, p_type STRING, p_size INT",
+    "part": "p_partkey BIGINT, p_brand STRING, p_type STRING, p_size BIGINT",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING",
-    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber BIGINT, "
     "l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
 }
 

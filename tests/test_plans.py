@@ -1,10 +1,13 @@
 """Physical plans: what is read, what is broadcast, what is shuffled."""
 
 import re
+from pathlib import Path
 
 import pytest
 
 import fixtures
+from __spark_entry__ import SMOKE_DIR
+from catalog.queries import QUERIES
 from plumbline import PROFILES, compare
 from plumbline.operators import broadcast_if_small, joins, semi_join
 from plumbline.plans import indicators, quality
@@ -120,6 +123,19 @@ def test_few_sites_are_broadcast_and_many_joined_to_sums(tables, no_broadcast, m
     assert "SortMergeJoin" in join and sums == 2 and again == found
 
 
+def test_star_views_read_what_a_query_uses(spark):
+    if not Path(SMOKE_DIR).exists():
+        pytest.skip("the given tables are not here")
+    plan = executed(QUERIES["compare_caribbean"](spark, SMOKE_DIR))
+    lines = [line for line in plan.splitlines() if "lineitem.parquet" in line]
+    assert len(lines) == 2
+    assert any("LessThan(l_shipdate,1998-01-01T00:00)" in line for line in lines)
+    assert any("GreaterThanOrEqual(l_shipdate,1998-01-01T00:00)" in line for line in lines)
+    assert not any("l_suppkey" in line or "l_linenumber" in line for line in lines)
+    plan = executed(QUERIES["disagg_completeness"](spark, SMOKE_DIR))
+    assert "customer.parquet" not in plan and "nation.parquet" not in plan
+
+
 def test_a_lookup_is_broadcast_only_within_bounds(spark, no_broadcast, monkeypatch):
     rows = spark.range(20).withColumnRenamed("id", "k")
     assert "BroadcastHashJoin" in executed(semi_join(rows, broadcast_if_small(rows), ["k"]))

@@ -141,7 +141,10 @@ def compare(
     profile: Profile,
     hierarchy: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole comparison for one profile, in display order."""
+    """The whole comparison for one profile, in display order.
+
+    Nothing is computed yet, except that a report by country measures the hierarchy.
+    """
     reported = reported_sums(results, plan.columns, mapping, profile)
     planned = planned_sums(plan, hierarchy, profile)
     return order_rows(widen(combine(reported, planned, profile), profile), *profile.ids)

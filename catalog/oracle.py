@@ -538,6 +538,13 @@ ORACLE = {
         """SELECT DISTINCT fiscal_year FROM fact WHERE fiscal_year <= 2024
           INTERSECT SELECT DISTINCT fiscal_year FROM fact WHERE fiscal_year >= 2023"""
     ),
+    "absent_years": with_views(
+        f"""SELECT fiscal_year
+          FROM (SELECT CAST(unnest([2015, 2023, 2024]) AS INTEGER) AS fiscal_year)
+          WHERE fiscal_year NOT IN (
+            SELECT fiscal_year FROM results WHERE {ASIA}
+            UNION SELECT fiscal_year FROM plan_all WHERE {ASIA} AND fiscal_year = 2024)"""
+    ),
     "unmatched_sites": with_views(
         """SELECT operatingunit, psnu, psnuuid, coalesce(sum(targets), 0) AS targets FROM placed p
           WHERE NOT EXISTS (SELECT 1 FROM hierarchy h WHERE p.psnu = h.psnu

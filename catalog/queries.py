@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -504,6 +505,12 @@ def shared_years(spark, sf):
     return quality.shared_years(rows.where(year <= 2024), rows.where(year >= 2023))
 
 
+@query
+def absent_years(spark, sf):
+    profile = replace(star.CARIBBEAN, years=(2015, 2023, 2024))
+    return quality.absent_years(star.results(spark, sf), star.plan(spark, sf, profile), profile)
+
+
 @query
 def unmatched_sites(spark, sf):
     plan = star.plan(spark, sf, star.CARIBBEAN)

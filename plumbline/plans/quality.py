@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import na_sum
-from plumbline.operators import derive, left_join, order_rows, rename, sum_by
-from plumbline.plans.indicators import DETAIL, SITE, clean_site, plan_targets
+from plumbline.operators import derive, in_year, left_join, order_rows, rename, sum_by
+from plumbline.plans.indicators import DETAIL, SITE, clean_site, in_scope, plan_targets
+from plumbline.plans.profiles import Profile
 
 # Names in the results table.
 CHECKED_INDICATORS = ("HTS_SELF", "PrEP_NEW", "GEND_GBV", "OVC_SERV")
@@ -113,6 +114,15 @@ def shared_years(results: DataFrame, plan: DataFrame) -> DataFrame:
     return results.select("fiscal_year").distinct().join(planned, "fiscal_year", "left_semi")
 
 
+def absent_years(results: DataFrame, plan: DataFrame, profile: Profile) -> DataFrame:
+    """Years of a profile without a row on either side, whose columns a report shows as NULL."""
+    reported = in_scope(results, profile).select("fiscal_year")
+    planned = plan.where(in_year(F.col("fiscal_year"), profile.plan_year)).select("fiscal_year")
+    years = [(year,) for year in profile.years]
+    wanted = results.sparkSession.createDataFrame(years, "fiscal_year INT")
+    return wanted.join(reported.union(planned).distinct(), "fiscal_year", "left_anti")
+
+
 def unmatched_sites(
     plan: DataFrame, hierarchy: DataFrame, year: int, operatingunit: str
 ) -> DataFrame:

@@ -165,6 +165,14 @@ def test_plan_year_in_the_results(spark):
     assert rows(compare(*tables, doubled))[0][:4] == ("HTS_TST", "Age/Sex", 240.0, 441.0)
 
 
+def test_years_without_rows(spark):
+    profile = replace(PROFILES["caribbean"], years=(2022, 2023, 2024))
+    tables = (fixtures.regional_results(spark), fixtures.regional_plan(spark))
+    assert rows(quality.absent_years(*tables, profile)) == [(2022,)]
+    report = compare(*tables, fixtures.mapping(spark), profile)
+    assert report.where(F.col("FY22").isNotNull()).count() == 0
+
+
 def test_results_without_the_mandatory_columns(spark):
     results = fixtures.regional_results(spark).drop("mech_code")
     with pytest.raises(ValueError, match="missing columns: mech_code"):

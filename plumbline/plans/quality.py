@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import na_sum
@@ -19,6 +19,10 @@ AGE_AND_SEX = "Age/Sex"
 SOURCE = "DATIM"
 
 
+def _from_source(source: str | None) -> Column:
+    return F.lit(True) if source is None else F.col("source_name") == source
+
+
 def disaggregate_sums(
     results: DataFrame,
     indicators: Sequence[str] = CHECKED_INDICATORS,
@@ -28,9 +32,7 @@ def disaggregate_sums(
     """Target sums of each matching disaggregate from one source (all sources if ``None``)."""
     rows = results.where(
         F.col("indicator").isin(*indicators) & F.col("standardizeddisaggregate").contains(contains)
-    )
-    if source is not None:
-        rows = rows.where(F.col("source_name") == source)
+    ).where(_from_source(source))
     sums = sum_by(rows, ["fiscal_year", "indicator", "standardizeddisaggregate"], ["targets"])
     return rename(sums, age_sex_sum="targets")
 
@@ -51,9 +53,10 @@ def disagg_completeness(
     indicators: Sequence[str] = CHECKED_INDICATORS,
     total: str = TOTAL,
     contains: str = AGE_AND_SEX,
-    source: str = SOURCE,
+    source: str | None = SOURCE,
+    total_source: str | None = None,
 ) -> DataFrame:
-    """Total numerator minus each Age/Sex disaggregate's sum; totals take every source.
+    """Total numerator minus each Age/Sex disaggregate's sum; a source of ``None`` is every source.
 
     The same as joining :func:`disaggregate_sums` to :func:`total_sums`, but both come from
     one pass over the results, and a window over the few sums puts them side by side.
@@ -62,12 +65,11 @@ def disagg_completeness(
         raise ValueError("the total must not itself count as a disaggregate")
     disaggregate = F.col("standardizeddisaggregate")
     is_total = disaggregate == total
-    is_part = disaggregate.contains(contains) & (F.col("source_name") == source)
-    sums = sum_by(
-        results.where(F.col("indicator").isin(*indicators) & (is_total | is_part)),
-        DETAIL,
-        ["targets"],
+    wanted = (is_total & _from_source(total_source)) | (
+        disaggregate.contains(contains) & _from_source(source)
     )
+    rows = results.where(F.col("indicator").isin(*indicators) & wanted)
+    sums = sum_by(rows, DETAIL, ["targets"])
     same_indicator = Window.partitionBy("fiscal_year", "indicator")
     side_by_side = derive(
         sums,
@@ -85,7 +87,7 @@ def list_disaggregates(
     results: DataFrame,
     indicators: Sequence[str] = CHECKED_INDICATORS,
     contains: str = AGE_AND_SEX,
-    source: str = SOURCE,
+    source: str | None = SOURCE,
 ) -> DataFrame:
     """The matching disaggregates in use per year and indicator."""
     keys = ["fiscal_year", "indicator", "standardizeddisaggregate"]

@@ -247,6 +247,13 @@ def test_completeness(spark):
     ]
     assert rows(quality.disagg_completeness(results)) == expected
     assert rows(quality.list_disaggregates(results)) == [row[:3] for row in expected]
+    every_source = quality.disagg_completeness(results, source=None, total_source="DATIM")
+    self_tests = every_source.where(F.col("indicator") == "HTS_SELF")
+    assert [row[3:] for row in rows(self_tests)] == [
+        (90.0, 100.0, 10.0),
+        (1.0, 100.0, 99.0),
+        (60.0, 100.0, 40.0),
+    ]
     with pytest.raises(ValueError, match="total"):
         quality.disagg_completeness(results, total="Age/Sex total")
 

@@ -65,27 +65,33 @@ HIGH_BITS = 40
 
 
 def document_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_id, check) for each row of ``docs``."""
+    """(doc_id, text_hash, n, set_id, check, counts, coarse) for each row of ``docs``: the size of its
+    set, the set's name and a second hash of it, its counts by group and sums of these.
+    """
 
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for s in shingle_sets(batch, settings.width):
                 with np.errstate(over="ignore"):
-                    name = _set_name(s)
                     check = mixed(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-                rows.append((len(s), name, int(np.int64(check))))
-            yield pd.DataFrame(rows, columns=["n", "set_id", "check"])
+                counts = _count_vector(s, settings.groups).astype(np.int32)
+                coarse = counts.reshape(COARSE, -1).sum(axis=1).tolist()
+                rows.append((len(s), _set_name(s), int(np.int64(check)), counts.tobytes(), coarse))
+            yield pd.DataFrame(rows, columns=["n", "set_id", "check", "counts", "coarse"])
 
-    sets = F.pandas_udf(describe, "n BIGINT, set_id BIGINT, check BIGINT")
+    schema = "n BIGINT, set_id BIGINT, check BIGINT, counts BINARY, coarse ARRAY<BIGINT>"
+    sets = F.pandas_udf(describe, schema)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sets("text").alias("s"))
     some = F.col("s.n") > 0
     return rows.select(
         "doc_id",
         "text_hash",
-        F.col("s.n").alias("n_shingles"),
+        "s.n",
         F.when(some, F.col("s.set_id")).alias("set_id"),
         F.when(some, F.col("s.check")).alias("check"),
+        "s.counts",
+        "s.coarse",
     )
 
 
@@ -287,40 +293,68 @@ def _count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
-def points(docs: DataFrame, sets: DataFrame, named: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """(set_id, n, counts, text) of the sets in ``named``: the text of each set's first document."""
+def points(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(point, n, counts, coarse) of the sets that share a prefix shingle with another."""
+    one = sets.where("set_id IS NOT NULL").groupBy("set_id")
+    columns = ("n", "counts", "coarse")
+    known = one.agg(*(F.any_value(c).alias(c) for c in columns))
+    known = known.join(shared.select("set_id").distinct(), "set_id", "left_semi")
+    return stored(known.select(F.col("set_id").alias("point"), *columns), "points")
+
+
+def bounded(pairs: DataFrame, known: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """The pairs (a, b) whose counts leave room for similarity; boxes of one point each come first."""
+
+    def side(name: str) -> DataFrame:
+        return known.select(
+            F.col("point").alias(name),
+            F.col("n").alias(f"{name}_least"),
+            F.col("n").alias(f"{name}_most"),
+            F.col("counts").alias(f"{name}_counts"),
+            *(F.get("coarse", F.lit(i)).alias(f"{name}_hi{i}") for i in range(COARSE)),
+        )
+
+    near = _may_match(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), settings)
+
+    def overlaps(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in frames:
+            x, y = (np.frombuffer(b"".join(c), dtype=np.int32) for c in (x, y))
+            yield pd.Series(np.minimum(x, y).reshape(-1, settings.groups).sum(axis=1))
+
+    overlap = F.pandas_udf(overlaps, "long")("a_counts", "b_counts")
+    needed = settings.percent * (F.col("a_least") + F.col("b_least"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
+    return rows.where((100 + settings.percent) * overlap >= needed).select("a", "b")
+
+
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets in ``pairs``: the text of each set's first document."""
+    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     firsts = (
         sets.where("set_id IS NOT NULL")
         .groupBy("set_id")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
         .join(named, "set_id", "left_semi")
-        .select("first.*")
+        .select("set_id", "first.*")
         .withColumnsRenamed({"doc_id": "first_id", "text_hash": "first_hash"})
     )
+    firsts = stored(firsts, "firsts")
     on = F.col("doc_id").eqNullSafe(F.col("first_id")) & (
         F.xxhash64("text") == F.col("first_hash")
     )
-    texts = docs.select("doc_id", "text").join(firsts, on, "left_semi")
+    texts = docs.select("doc_id", "text").join(firsts, on).select("set_id", "text")
+    return stored(texts.dropDuplicates(["set_id"]), "texts")
 
-    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for s in shingle_sets(batch, settings.width):
-                counts = _count_vector(s, settings.groups).astype(np.int32)
-                rows.append((_set_name(s), len(s), counts.tobytes(), counts.reshape(COARSE, -1).sum(axis=1).tolist()))
-            yield pd.DataFrame(rows, columns=["set_id", "n", "counts", "coarse"])
 
-    point = F.pandas_udf(describe, "set_id BIGINT, n BIGINT, counts BINARY, coarse ARRAY<BIGINT>")
-    return stored(texts.select(point("text").alias("p"), "text").select("p.*", "text"), "points")
-
-
-def verified(pairs: DataFrame, known: DataFrame, settings: JaccardSettings) -> DataFrame:
+def verified(
+    pairs: DataFrame, docs: DataFrame, sets: DataFrame, settings: JaccardSettings
+) -> DataFrame:
     """Those of the pairs (a, b) that are links. The partners of ``a`` stream past its set, in
     salted parts if there are many; a task holds one set beside the one it compares.
     """
     salt = F.pmod(F.xxhash64("b"), F.col("parts"))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / settings.star).alias("parts"))
-    texts = known.select("set_id", "text").dropDuplicates(["set_id"])
+    texts = _texts(docs, sets, pairs)
     partners = (
         pairs.join(sizes, "a")
         .select("a", salt.alias("salt"), "b")
@@ -355,11 +389,6 @@ def verified(pairs: DataFrame, known: DataFrame, settings: JaccardSettings) -> D
     return rows.select("a", "b", "is_partner", "text").mapInPandas(compare, "a BIGINT, b BIGINT")
 
 
-def _overlap_needed(n: Column, m: Column, settings: JaccardSettings) -> Column:
-    """The least overlap of similar sets of these sizes, times 100 + percent."""
-    return settings.percent * (n + m)
-
-
 def _may_match(a: Side, b: Side, settings: JaccardSettings) -> Column:
     """Whether boxes of counts leave room for a pair that is similar."""
     overlap = F.lit(0)
@@ -368,7 +397,7 @@ def _may_match(a: Side, b: Side, settings: JaccardSettings) -> Column:
     sizes = (100 * a("most") >= settings.percent * b("least")) & (
         100 * b("most") >= settings.percent * a("least")
     )
-    needed = _overlap_needed(a("least"), b("least"), settings)
+    needed = settings.percent * (a("least") + b("least"))
     return sizes & ((100 + settings.percent) * overlap >= needed)
 
 
@@ -398,10 +427,7 @@ def tree_pairs(
     members = stored(
         members.join(once, F.col("shingle") == F.col("tree")).drop("shingle"), "members"
     )
-    vectors = known.select(
-        F.col("set_id").alias("point"), "n", "counts", "coarse"
-    ).dropDuplicates(["point"])
-    placed = members.join(vectors, F.col("set_id") == F.col("point"))
+    placed = members.join(known, F.col("set_id") == F.col("point"))
     coarse = [F.get("coarse", F.lit(i)).alias(f"c{i}") for i in range(COARSE)]
     placed = stored(placed.select("tree", "size", "set_id", "root", "n", "counts", *coarse), "placed")
     # Packing: points by size and then by their counts, a leaf's worth of neighbours to a leaf. Large trees
@@ -466,18 +492,19 @@ def jaccard_links(
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = stored(document_sets(docs, settings), "sets")
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    total = sets.agg(F.sum("n")).first()[0] or 0
     common = common_shingles(docs, total, settings)
     shared = stored(shared_prefixes(docs, common, total, settings), "shared")
-    known = points(docs, sets, shared.select("set_id").distinct(), settings)
+    known = points(sets, shared)
     least = shared.groupBy(F.col("shingle").alias("key")).agg(F.min("set_id").alias("a"))
     stars = shared.join(least, F.col("shingle") == F.col("key")).where("a <> set_id")
-    stars = stored(stars.select("a", F.col("set_id").alias("b")).distinct(), "stars")
-    links = stored(verified(stars, known, settings), "links")
+    stars = stars.select("a", F.col("set_id").alias("b")).distinct()
+    stars = stored(bounded(stars, known, settings), "stars")
+    links = stored(verified(stars, docs, sets, settings), "links")
     roots = stored(components(links), "roots")
     more = tree_pairs(shared, known, roots, settings)
     more = stored(more.join(stars, ["a", "b"], "left_anti"), "pairs")
-    rest = stored(verified(more, known, settings), "links")
+    rest = stored(verified(more, docs, sets, settings), "links")
     return sets, links.unionByName(rest)
 
 
@@ -497,7 +524,7 @@ def near_documents(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     classes = classes.select("set_id", "component_id", F.col("root").alias("class_id"))
     # Rows without shingles stay out of the join, so that they do not meet under one key.
     named = salted_join(sets.where("set_id IS NOT NULL"), classes, ["set_id"], F.col("doc_id"))
-    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "class_id"]
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "class_id"]
     alone = sets.where("set_id IS NULL").withColumns(
         {"component_id": F.col("doc_id"), "class_id": F.lit(None).cast("bigint")}
     )

@@ -44,7 +44,7 @@ COARSE = 8  # coordinates of a node's box, each the sum of several groups
 class JaccardSettings:
     """Links have a similarity of ``percent`` or more, over shingles of ``width`` words.
 
-    Efficiency only, results do not depend on these: ``groups`` of the count vectors; shingles in
+    Efficiency only, results do not depend on these: ``groups`` of the count vectors of short texts; shingles in
     more than ``common`` documents go last in the order, at most ``most_common`` of them;
     ``leaf`` points to a leaf; ``range_shingles`` to a range that one task counts; ``star``
     comparisons with the same document in one task.
@@ -55,8 +55,8 @@ class JaccardSettings:
     groups: int = 64
     common: int = 64
     most_common: int = 1 << 20
-    leaf: int = 64
-    range_shingles: int = 1 << 21
+    leaf: int = 32
+    range_shingles: int = 1 << 20
     star: int = 512
 
 
@@ -75,8 +75,8 @@ def document_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
             for s in shingle_sets(batch, settings.width):
                 with np.errstate(over="ignore"):
                     check = mixed(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-                counts = _count_vector(s, settings.groups).astype(np.int32)
-                coarse = counts.reshape(COARSE, -1).sum(axis=1).tolist()
+                counts = count_vector(s, settings.groups)
+                coarse = folded(counts, COARSE).tolist()
                 rows.append((len(s), _set_name(s), int(np.int64(check)), counts.tobytes(), coarse))
             yield pd.DataFrame(rows, columns=["n", "set_id", "check", "counts", "coarse"])
 
@@ -289,8 +289,35 @@ def shared_prefixes(
     return met
 
 
-def _count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+def count_vector(shingles: np.ndarray, least: int) -> np.ndarray:
+    """Counts by group, one byte each. The groups are a power of two, at least half as many as there are
+    shingles, because counts of unrelated sets differ enough only while they are small.
+    """
+    groups = max(least, 1 << max(0, len(shingles) // 2 - 1).bit_length())
+    while True:
+        group = (shingles & np.uint64(groups - 1)).astype(np.int64)
+        counts = np.bincount(group, minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts by fewer groups, along the last axis: each is a sum of finer ones."""
+    shape = (*counts.shape[:-1], -1, groups)
+    return counts.reshape(shape).sum(axis=-2, dtype=np.int64)
+
+
+def overlap_bounds(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """For each pair of vectors the sum of the smaller coordinates, in the groups of the coarser one."""
+    out = np.empty(len(x), dtype=np.int64)
+    for k, (a, b) in enumerate(zip(x, y, strict=True)):
+        if len(a) > len(b):
+            a = folded(a, len(b))
+        elif len(b) > len(a):
+            b = folded(b, len(a))
+        out[k] = np.minimum(a, b).sum(dtype=np.int64)
+    return out
 
 
 def points(sets: DataFrame, shared: DataFrame) -> DataFrame:
@@ -318,8 +345,8 @@ def bounded(pairs: DataFrame, known: DataFrame, settings: JaccardSettings) -> Da
 
     def overlaps(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in frames:
-            x, y = (np.frombuffer(b"".join(c), dtype=np.int32) for c in (x, y))
-            yield pd.Series(np.minimum(x, y).reshape(-1, settings.groups).sum(axis=1))
+            vectors = ([np.frombuffer(c, dtype=np.uint8) for c in side] for side in (x, y))
+            yield pd.Series(overlap_bounds(*vectors))
 
     overlap = F.pandas_udf(overlaps, "long")("a_counts", "b_counts")
     needed = settings.percent * (F.col("a_least") + F.col("b_least"))
@@ -468,15 +495,19 @@ def tree_pairs(
         for frame in frames:
             found = []
             for r in frame.itertuples(index=False):
-                x, y = (np.array([np.frombuffer(c, dtype=np.int32) for c in cs]) for cs in (r.a_counts, r.b_counts))
+                x, y = ([np.frombuffer(c, dtype=np.uint8) for c in cs] for cs in (r.a_counts, r.b_counts))
                 n, m = np.asarray(r.a_n)[:, None], np.asarray(r.b_n)[None, :]
                 apart = np.asarray(r.a_roots)[:, None] != np.asarray(r.b_roots)[None, :]
-                overlap = np.zeros(apart.shape, dtype=np.int64)
-                for g in range(x.shape[1]):
-                    overlap += np.minimum(x[:, g, None], y[None, :, g])
-                fits = apart & ((100 + settings.percent) * overlap >= settings.percent * (n + m))
-                i, j = np.nonzero(fits)
-                u, v = np.asarray(r.a_sets)[i], np.asarray(r.b_sets)[j]
+                needed = settings.percent * (n + m)
+                # First in few groups, all pairs at once; what is left one by one in all groups.
+                u, v = (np.stack([folded(c, settings.groups) for c in cs]) for cs in (x, y))
+                rough = np.zeros(apart.shape, dtype=np.int64)
+                for g in range(settings.groups):
+                    rough += np.minimum(u[:, g, None], v[None, :, g])
+                i, j = np.nonzero(apart & ((100 + settings.percent) * rough >= needed))
+                exact = overlap_bounds([x[k] for k in i], [y[k] for k in j])
+                fits = (100 + settings.percent) * exact >= needed[i, j]
+                u, v = np.asarray(r.a_sets)[i[fits]], np.asarray(r.b_sets)[j[fits]]
                 found.append(np.column_stack([np.minimum(u, v), np.maximum(u, v)]))
             if found:
                 rows = np.unique(np.concatenate(found), axis=0)

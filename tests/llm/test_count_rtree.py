@@ -143,9 +143,12 @@ def test_prefixes_of_similar_sets_meet_under_any_order():
 def test_counts_bound_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(100):
-        a, b = (np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(2))
-        x, y = (cr._count_vector(s, 64) for s in (a, b))
-        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+        a, b = (np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (200, 700))
+        x, y = (cr.count_vector(s, 64) for s in (a, b))
+        assert len(x) < len(y) and x.sum() == len(a) and y.sum() == len(b)
+        assert cr.overlap_bounds([x, y], [y, x]).min() >= len(np.intersect1d(a, b))
+    many = np.arange(1000, dtype=np.uint64) << np.uint64(12)  # all in one group of few
+    assert cr.count_vector(many, 64).max() < 256
 
 
 def test_packed_keys_come_back():

@@ -1,0 +1,182 @@
+"""Mixing and packing: targets, slots and bins against plain loops, and odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+from dataclasses import replace
+
+import pytest
+
+from plumbline.llm import mixing, packing
+
+SMALL = replace(mixing.MixSettings(), block=7, bucket_rows=3, chunk_slots=16)
+
+
+def rows_of(seed, n=80):
+    rng = random.Random(seed)
+    sources = ["b", "a", "é", "Z", None, "", "tiny"]
+    rows = []
+    for i in range(n):
+        source = rng.choices(sources, [30, 3, 5, 5, 5, 2, 1])[0]
+        rows.append((i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 90])), "en", source))
+    return [*rows, rows[0], rows[0], (None, "x y z", "en", "a"), (500, None, "en", "b")]
+
+
+def brute_mix(rows):
+    """Targets by dealing the excess again, and words taken from streams laid out in full."""
+    size = lambda t: len((t or "").split())
+    totals = defaultdict(int)
+    for _, t, _, s in rows:
+        totals[s] += size(t)
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    wanted, full = 1.5 * sum(totals.values()), set()
+    while True:
+        rest = wanted - sum(2 * totals[s] for s in full)
+        share = {s: rest * weight[s] / sum(weight[x] for x in order if x not in full) for s in order if s not in full}
+        over = {s for s in share if 2 * totals[s] < share[s] - 1e-9}
+        if not over:
+            break
+        full |= over
+    target = {s: 2.0 * totals[s] if s in full else share[s] for s in order}
+    taken = Counter()
+    for s in order:
+        key = lambda r: (hashlib.md5(f"{'null' if r[0] is None else r[0]}:mix".encode()).hexdigest(), size(r[1]))
+        own = sorted((r for r in rows if r[3] == s), key=key)
+        words = [r[0] for r in own for _ in range(size(r[1]))] * 2
+        taken.update(Counter(words[: int(target[s] + 1e-9)]))
+    return totals, target, taken
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_taken_words_equal_streams_laid_out(documents, seed):
+    rows = rows_of(seed)
+    totals, target, taken = brute_mix(rows)
+    docs = documents(rows).withColumnRenamed("lang", "size")
+    out = mixing.taken_words(docs, SMALL).collect()
+    assert len(out) == len(rows)
+    source = {r[0]: r[3] for r in rows}
+    got = Counter()
+    for r in out:
+        assert r["taken"] <= 2 * r["size"]
+        assert r["source_size"] == totals[source[r["doc_id"]]]
+        assert r["target"] == pytest.approx(target[source[r["doc_id"]]])
+        got[r["doc_id"]] += r["taken"]
+    assert +got == +taken
+
+
+def test_slots_are_dealt_evenly_and_all_blocks_placed_once(documents):
+    docs = documents(rows_of(3, 300))
+    pieces = mixing.mix(docs, SMALL).where("slot IS NOT NULL").collect()
+    slots = Counter((p["slot"], p["source_id"]) for p in pieces)
+    assert len({s for s, _ in slots}) == len(slots)  # a slot holds one source
+    words = Counter()
+    for p in pieces:
+        words[p["source_id"]] += p["n"]
+        assert 0 < p["n"] <= SMALL.block and 0 <= p["first"] < p["size"]
+    total = sum(words.values())
+    ordered = sorted((slot, source) for slot, source in slots)
+    half = Counter(s for _, s in ordered[: len(ordered) // 2])
+    for source, n in words.items():  # low discrepancy: the first half has half of each
+        assert abs(half[source] - n / total * len(ordered) / 2) <= 6
+
+
+def test_reruns_agree_and_empty_tables(documents):
+    docs = documents(rows_of(4))
+    first, second = (sorted(mixing.taken_words(d, SMALL).collect()) if False else [
+        tuple(r) for r in mixing.taken_words(d, SMALL).orderBy("doc_id", "size").collect()
+    ] for d in (docs, docs.repartition(5)))
+    assert sorted(first, key=str) == sorted(second, key=str)
+    assert mixing.taken_words(documents([]), SMALL).count() == 0
+    nothing = documents([(1, None, None, None), (2, "", "en", "a")])
+    assert {r["taken"] for r in mixing.taken_words(nothing, SMALL).collect()} == {0}
+
+
+def test_mixed_documents_repeat_whole_rows(documents):
+    rows = [(i, " ".join([f"w{i}"] * 20), "en", "small" if i < 5 else "z") for i in range(40)]
+    rows += [rows[0], (99, None, None, None), (98, "", "en", "z")]
+    docs = documents(rows)
+    out = mixing.mixed_documents(docs, SMALL)
+    assert out.columns == docs.columns
+    times = Counter(r["doc_id"] for r in out.collect())
+    assert all(times[i] == 2 for i in range(1, 5)) and times[0] == 4
+    assert 99 not in times and 98 not in times
+    words = sum(n * 20 for n in times.values())
+    assert abs(words - 1.5 * 41 * 20) <= 40
+    assert mixing.mixed_documents(docs.where("false"), SMALL).count() == 0
+
+
+SMALL_BINS = packing.PackSettings(lengths=(8, 16, 40), sequence_cost=2, shard_pieces=50)
+
+
+def check_bins(rows, out, settings):
+    sizes = Counter((r[0], len((r[1] or "").split())) for r in rows)
+    pieces = defaultdict(list)
+    bins = defaultdict(list)
+    for r in out:
+        pieces[r["doc_id"], r["size"]].append((r["first"], r["n"]))
+        if r["n"]:
+            bins[r["bin_id"], r["bin_length"]].append((r["bin_offset"], r["n"]))
+        else:
+            assert r["bin_id"] is None
+    for key, copies in sizes.items():
+        want = Counter()
+        for first in range(0, max(key[1], 1), max(settings.lengths)):
+            want[first, min(max(settings.lengths), key[1] - first)] += copies
+        assert Counter(pieces[key]) == want
+    assert len({b for b, _ in bins}) == len(bins)
+    for (_, length), held in bins.items():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert length == min(c for c in settings.lengths if c >= at)  # downsized
+    return bins
+
+
+def test_every_piece_is_in_one_bin_that_fits(documents):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 7, 9, 20, 40, 41, 95])), "en", "s") for i in range(300)]
+    rows += [rows[0], (None, "a b c", "en", "s"), (400, None, None, None), (401, "w " * 5_000, "en", "s")]
+    out = packing.pack(documents(rows).withColumnRenamed("lang", "bin_id"), SMALL_BINS).collect()
+    bins = check_bins(rows, out, SMALL_BINS)
+    used = sum(n for held in bins.values() for _, n in held)
+    assert used / sum(length for _, length in bins) > 0.9
+    assert packing.pack(documents([]), SMALL_BINS).count() == 0
+
+
+def brute_pack(sizes, lengths, cost):
+    """The same rules with plain lists: best fit, and the least cost per word for a new bin."""
+    bins, left = [], list(sizes)
+    for size in sizes:
+        left.remove(size)
+        open_bins = [b for b in bins if b[0] - b[1] >= size]
+        if open_bins:
+            best = min(open_bins, key=lambda b: b[0] - b[1])
+            best[1] += size
+            continue
+        def price(c):
+            room = c - size
+            for x in sorted(left, reverse=True):
+                if x <= room:
+                    room -= x
+            return (c + cost) / (c - room)
+        able = [c for c in lengths if c >= size]
+        bins.append([min(able, key=lambda c: (price(c), c)), size])
+    return sorted((min(c for c in lengths if c >= used), used) for _, used in bins)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_shard_is_packed_as_plain_lists_are(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(1, 40) for _ in range(rng.randint(0, 60))), reverse=True)
+    bins, offsets, final = packing.pack_shard(sizes, (8, 16, 40), 2)
+    used = Counter()
+    for b, s in zip(bins, sizes, strict=True):
+        used[b] += s
+    got = sorted((final[b], used[b]) for b in range(len(final)))
+    assert sum(c for c, _ in got) == sum(c for c, _ in brute_pack(sizes, (8, 16, 40), 2)) or abs(
+        sum(c for c, _ in got) / max(1, sum(c for c, _ in brute_pack(sizes, (8, 16, 40), 2))) - 1
+    ) < 0.1

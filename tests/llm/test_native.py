@@ -1,0 +1,208 @@
+"""Secrets, quality rules and URL rules: brute force, odd rows, and plans without Python."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from plumbline.llm import quality, secrets, url_rules
+from plumbline.llm.secrets import EntropyLimits
+
+ASSIGN = (
+    r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+)
+PYTHON = re.compile("Python|Pandas|Arrow")
+
+
+def entropy(window):
+    n = len(window)
+    return math.log2(n) - sum(secrets.scaled(c) for c in Counter(window).values()) / 1e6 / n
+
+
+def brute_spans(text, limits=EntropyLimits()):
+    text = text or ""
+    spans = []
+    for m in re.finditer(ASSIGN, text, re.I | re.A):
+        if len(m[2]) >= 8:
+            spans.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 16:
+            spans.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9a-f]+", text):
+        if len(m[0]) >= 32:
+            spans.append((m.start(), 2, m.end()))
+    base = list(spans)
+    w = limits.window
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        run = m[0]
+        if len(run) < w or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+            continue
+        if re.search(limits.allowed.replace("(?i)", ""), run, re.I | re.A):
+            continue
+        bits = limits.hex_bits if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else limits.wide_bits
+        dense = [i for i in range(len(run) - w + 1) if entropy(run[i : i + w]) >= bits]
+        if dense:
+            start, end = m.start() + dense[0], m.start() + dense[-1] + w
+            if not any(s < end and start < e for s, _, e in base):
+                spans.append((start, 3, end))
+    return sorted(spans)
+
+
+def secret_texts():
+    rng = random.Random(4)
+    hexes = "0123456789abcdef"
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    parts = ["password: ", "Token=", "api_key = '", "APIKEY:", "secret\"=", "passwd:x", " ", "é😀", "\n"]
+    parts += ["AKIA" + draw("ABC123", 12), "AKIA12", "AKIAAKIA" + draw("XYZ", 10), "deadbeef", "word"]
+    parts += ["example" + draw(wide, 30), "some-long-words-joined-by-hyphens-12", "a1" * 30, "ſecret=abcdefghi"]
+    texts = []
+    for _ in range(120):
+        made = [
+            rng.choice(parts)
+            if rng.random() < 0.6
+            else draw(rng.choice((hexes, wide)), rng.choice([3, 8, 19, 20, 25, 31, 32, 40, 64, 90]))
+            for _ in range(rng.randint(0, 12))
+        ]
+        texts.append("".join(made))
+    return [*texts, None, "", "x " * 20_000 + "token: abcdefgh", "f" * 5_000, draw(wide, 3_000)]
+
+
+def test_secrets_equal_brute_force(documents):
+    texts = secret_texts()
+    docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s")])
+    rows = secrets.secret_counts(docs.withColumnRenamed("n_chars", "row")).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        want = brute_spans(texts[r["doc_id"]])
+        text = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert r["spans"] == text(want), (texts[r["doc_id"]][:200], r["spans"], text(want))
+        base = [s for s in want if s[1] < 3]
+        assert r["base_sha256"] == hashlib.sha256(text(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [
+            sum(s[1] == k for s in want) for k in range(3)
+        ]
+    assert any(r["n_entropy"] for r in rows)
+    assert secrets.secret_counts(docs.where("false")).count() == 0
+
+
+def brute_quality(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return (
+        len(w),
+        sum(map(len, w)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+def test_counts_equal_brute_force(documents):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(150):
+        parts = ["a", "b", "cé", "#", "$x", "😀", "\n", "\n\n", " ", "\t", " \x0b", "a b c", "line one\n"]
+        texts.append(" ".join(rng.choice(parts) for _ in range(rng.randint(0, 60))))
+    texts += [None, "", " \n\t", "a b", "a a a a", "w " * 40_000, "\x1f\x85\u2003a"]
+    docs = documents([(i, t, "en", f"h{i % 3}") for i, t in enumerate(texts)])
+    rows = quality.quality_rules(docs.withColumnRenamed("lang", "kept")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        counts = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert counts == brute_quality(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+        assert r["kept"] <= (not r["base_failed"])
+
+
+def test_lines_of_many_documents_are_not_a_documents_own(documents):
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = own(70)
+    rows = [(i, f"{own(20)}\n  {shared.upper()} ", "en", "a") for i in range(30)]  # depleted
+    rows += [(100 + i, f"{own(100)}\n{shared}", "en", None) for i in range(30)]  # enough is left
+    rows += [(200 + i, f"{shared}\n{own(5)}", "en", "b") for i in range(5)]  # too few have it there
+    copy = f"{own(60)}\n{own(60)}"
+    rows += [(300 + i, copy, "en", "a") for i in range(60)]  # one text, however often
+    rows += [rows[0]]
+    result = quality.quality_rules(documents(rows)).collect()
+    kept = {r["doc_id"]: r["kept"] for r in result}
+    own_words = {r["doc_id"]: r["own_words"] for r in result}
+    assert not any(kept[i] for i in range(30)) and own_words[0] == 20
+    assert all(kept[100 + i] for i in range(30)) and own_words[100] == 100
+    assert all(kept[200 + i] for i in range(5)) and all(kept[300 + i] for i in range(60))
+    assert len(result) == len(rows)
+    assert quality.quality_rules(documents([])).count() == 0
+
+
+PAGES = "page_id BIGINT, url STRING, html STRING, host STRING"
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    best = None
+    for rule in url_rules.SITE_RULES:
+        h, _, p = rule.name.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            best = max([best, rule], key=lambda r: len(r.name) if r else -1)
+    if best:
+        return host, path, best.name, best.verdict
+    for rule in url_rules.PATTERN_RULES:
+        if re.search(rule.pattern, url):
+            return host, path, None, rule.verdict
+    return host, path, None, "allow"
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    rng = random.Random(8)
+    urls = [None, "", "no scheme", "http://", "x://y://z.com/", "HTTP://WWW.Example.COM/en/x?y#z"]
+    urls += ["http://com/", "http://com", "http://xcom/", "a\nb://q.com/en/", "http://a.net/es/", "http://é.com/"]
+    hosts = ["example.com", "www.example.com", "m.WWW.example.com", "a.net", "net", "b.org", "notexample.com"]
+    paths = ["", "/", "/en/", "/en", "/es/1", "/fr/x.html", "/EN/x", "/ads/1", "/docs/a.html", "/track/click/1"]
+    tails = ["", "?utm_source=feed", "?utm_source=feedx", "#/en/", "?sessionid=0f", "?a=1&utm_source=rss#x"]
+    urls += [f"http://{h}{p}{t}" for h in hosts for p in paths for t in tails]
+    rng.shuffle(urls)
+    rows = [(i, u, None, "clash") for i, u in enumerate(urls)] + [(0, urls[0], None, None)] * 2
+    judged = url_rules.judge_urls(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(judged) == len(rows)
+    for r in judged:
+        want = brute_url(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == want, urls[r["page_id"]]
+    empty = spark.createDataFrame([], PAGES)
+    assert url_rules.judge_urls(empty).count() == 0
+
+
+def test_rules_are_indexed_by_their_rarest_token(spark):
+    rows = [(i, f"http://www.example.com/en/{i}", None, None) for i in range(5)]
+    rows += [(9, "http://net/es/", None, None), (10, "http://b.net/x", None, None)]
+    index = url_rules.index_rules(spark.createDataFrame(rows, PAGES), url_rules.SITE_RULES).collect()
+    keys = {r["name"]: r["rule_token"] for r in index}
+    assert keys["net/es/"] == "es" and keys["net/fr/"] == "fr" and len(index) == 5
+    with pytest.raises(ValueError, match="no literal token"):
+        url_rules.Rule("block", "^.$", ("?",)).tokens()
+
+
+@pytest.mark.parametrize("name", ["secrets", "quality", "urls"])
+def test_native_operators_plan_no_python(spark, documents, name):
+    docs = documents([(1, "token: abcdefgh1234", "en", "s")])
+    pages = docs.selectExpr("doc_id AS page_id", "text AS url")
+    df = {
+        "secrets": lambda: secrets.secret_counts(docs),
+        "quality": lambda: quality.quality_rules(docs),
+        "urls": lambda: url_rules.judge_urls(pages),
+    }[name]()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not PYTHON.search(plan.replace("PythonRDD", ""))

@@ -7,9 +7,9 @@ What survives is verified on the whole shingle sets.
 
 One tree over all points would compare nearly all pairs, as counts of unrelated texts differ little. So there is a
 tree for each shingle, over the documents that have it in their prefix: under one order of all
-shingles, similar documents share one of their first n - ceil(0.75 n) + 1. The order puts shingles of many
-documents last, so that a passage repeated in many documents gathers few of them. Nothing is lost by it:
-any order finds every pair.
+shingles, similar documents share one of their first n - ceil(0.75 n) + 1. The order puts shingles of few
+documents first, so that a passage repeated in many documents gathers hardly any, and a shingle
+that only one document has needs no tree. Nothing is lost by it: any order finds every pair.
 
 Links are only needed between groups that are not connected yet. First every document is compared with the
 least document of each of its trees, which joins large groups of copies in one step for each copy;
@@ -44,25 +44,22 @@ COARSE = 8  # coordinates of a node's box, each the sum of several groups
 class JaccardSettings:
     """Links have a similarity of ``percent`` or more, over shingles of ``width`` words.
 
-    Efficiency only, results do not depend on these: ``groups`` of the count vectors of short texts; shingles in
-    more than ``common`` documents go last in the order, at most ``most_common`` of them;
-    ``leaf`` points to a leaf; ``range_shingles`` to a range that one task counts; ``star``
-    comparisons with the same document in one task.
+    Efficiency only, results do not depend on these: ``groups`` of the count vectors of short texts;
+    2 ** ``table_bits`` entries in the table of frequencies; from 2 ** ``hot_level`` documents on,
+    rows of a shingle are not gathered in one task; ``leaf`` points to a leaf; ``range_shingles`` to a
+    range that one task counts; ``star`` comparisons with the same document in one task.
     """
 
     width: int = 5
     percent: int = 75
     groups: int = 64
-    common: int = 64
-    most_common: int = 1 << 20
+    table_bits: int = 24
+    hot_level: int = 6
     leaf: int = 32
     range_shingles: int = 1 << 20
     star: int = 512
 
 
-# Common shingles are told apart by this many high bits; sharing them costs time, not results.
-HIGH_BITS = 40
-
 
 def document_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
     """(doc_id, text_hash, n, set_id, check, counts, coarse) for each row of ``docs``: the size of its
@@ -111,13 +108,18 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(ranges[a]), slice(a, b)
 
 
-def common_shingles(docs: DataFrame, total: int, settings: JaccardSettings) -> pd.DataFrame:
-    """``high`` (the leading bits) and ``df`` of the shingles that many documents have, at most
-    ``most_common``; the bound rises in powers of two until they fit.
+def frequency_table(
+    docs: DataFrame, total: int, settings: JaccardSettings
+) -> tuple[np.ndarray, bool]:
+    """The table, and whether level 0 means that one document has the shingle. An entry for each value of the leading bits of a shingle: the highest level among its shingles,
+    floor(log2(documents that have it)); where more than half would not be 0, the lowest levels become 0.
 
-    Tasks send sorted parts for each range of hashes, packed as differences.
+    Its size is fixed, whatever the corpus. Tasks send sorted parts for each range of hashes, packed
+    as differences, and get back one row for a range.
     """
-    bits = max(0, int(total / settings.range_shingles)).bit_length()
+    bits = min(settings.table_bits, max(0, int(total / settings.range_shingles)).bit_length())
+    # Bits that are counted: enough for shingles to share one rarely.
+    width = min(60, max(32, settings.table_bits, total.bit_length() + 5))
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -133,35 +135,38 @@ def common_shingles(docs: DataFrame, total: int, settings: JaccardSettings) -> p
 
     def packed(sets: list[np.ndarray]) -> pd.DataFrame:
         keys = np.sort(np.concatenate(sets))
-        parts = list(_split(keys, bits)) if len(keys) else []
+        parts = list(_split(keys, bits))
         return pd.DataFrame(
-            {"part": [p for p, _ in parts], "data": [pack_high(keys[at]) for _, at in parts]}
+            {"part": [p for p, _ in parts], "data": [pack_high(keys[at], width) for _, at in parts]}
         )
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keys = np.sort(np.concatenate([unpack_high(d) for d in frame["data"]]))
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(first, len(keys)))
-        many = n > settings.common
-        return pd.DataFrame({"high": keys[first[many]].astype(np.int64), "df": n[many]})
+        many = n > 1
+        entries = (keys[first[many]] >> np.uint64(width - settings.table_bits)).astype(np.int64)
+        levels = np.zeros(1 << (settings.table_bits - bits), dtype=np.uint8)
+        high = np.minimum(np.floor(np.log2(n[many])), 255).astype(np.uint8)
+        np.maximum.at(levels, entries - (key[0] << (settings.table_bits - bits)), high)
+        return pd.DataFrame({"part": [key[0]], "levels": [zlib.compress(levels.tobytes(), 1)]})
 
     parts = docs.select("text").mapInPandas(collect, "part BIGINT, data BINARY")
-    found = stored(parts.groupBy("part").applyInPandas(count, "high BIGINT, df BIGINT"), "common")
-    # How many there are above each power of two; 64 rows at most.
-    power = F.floor(F.log2("df")).cast("int")
-    rows = found.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()
-    least, n = 64, 0
-    for r in sorted(rows, key=lambda r: -r["p"]):
-        n += r["n"]
-        if n > settings.most_common:
-            break
-        least = r["p"]
-    return found.where(power >= least).toPandas().sort_values("high", ignore_index=True)
-
-
-def pack_high(keys: np.ndarray) -> bytes:
-    """The leading bits of sorted keys, as planes of the bytes of their differences."""
-    high = keys >> np.uint64(64 - HIGH_BITS)
+    rows = parts.groupBy("part").applyInPandas(count, "part BIGINT, levels BINARY")
+    table = np.zeros((1 << bits, 1 << (settings.table_bits - bits)), dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        table[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), dtype=np.uint8)
+    table = table.ravel()
+    exact = True
+    while (table > 0).mean() > 0.5:
+        table[table == table[table > 0].min()] = 0
+        exact = False
+    return table, exact
+
+
+def pack_high(keys: np.ndarray, width: int) -> bytes:
+    """The leading ``width`` bits of sorted keys, as planes of the bytes of their differences."""
+    high = keys >> np.uint64(64 - width)
     steps = np.diff(high, prepend=np.uint64(0))
     planes = steps.view(np.uint8).reshape(-1, 8).T
     used = [i for i in range(8) if planes[i].any()]
@@ -187,56 +192,46 @@ def unpack_high(data: bytes) -> np.ndarray:
 
 
 def prefix(
-    shingles: np.ndarray, high: np.ndarray, df: np.ndarray, percent: int
+    shingles: np.ndarray, table: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles in the order, rare ones by hash and then common ones by frequency: those
-    that are rare and those that are common.
-    """
+    """The first shingles in the order of levels and hashes, and their levels."""
     # A similar document has at least ceil(percent * n / 100) of them.
     size = len(shingles) - -(-percent * len(shingles) // 100) + 1
-    if not len(high):
-        return shingles[:size], shingles[:0]
-    top = shingles >> np.uint64(64 - HIGH_BITS)
-    at = np.minimum(np.searchsorted(high, top), len(high) - 1)
-    is_common = high[at] == top
-    rare = shingles[~is_common][:size]
-    if len(rare) == size:
-        return rare, shingles[:0]
-    common = shingles[is_common]
-    order = np.lexsort((common, df[at][is_common]))
-    return rare, common[order][: size - len(rare)]
+    bits = len(table).bit_length() - 1
+    levels = table[(shingles >> np.uint64(64 - bits)).astype(np.int64)]
+    order = np.lexsort((shingles, levels))[:size]
+    return shingles[order], levels[order]
 
 
 def shared_prefixes(
-    docs: DataFrame, common: pd.DataFrame, total: int, settings: JaccardSettings
+    docs: DataFrame, table: np.ndarray, exact: bool, total: int, settings: JaccardSettings
 ) -> DataFrame:
-    """(shingle, set_id) of the shingles that two sets or more have in their prefixes; of common ones
-    also those that one set has. Rare shingles meet in ranges of hashes, at most ``common`` sets to each;
-    common ones pass through as rows, so that no task gets all of one.
+    """(shingle, set_id) of the shingles that two sets or more have in their prefixes; of hot ones
+    also those that one set has. Others meet in ranges of hashes; hot ones pass through as rows, so
+    that no task gets all of one.
     """
     prefixes = total * (100 - settings.percent) // 100
     bits = max(0, int(prefixes / settings.range_shingles)).bit_length()
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (
-            common["high"].to_numpy().astype(np.uint64),
-            common["df"].to_numpy().astype(np.int64),
-        )
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     schema = "part BIGINT, salt INT, shingles BINARY, sizes BINARY, sets BINARY"
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        high, df = shared.value
+        levels = shared.value
         held: dict[int, list] = {0: [], 1: []}
         size = 0
         for frame in frames:
             for s in shingle_sets(frame["text"], settings.width):
                 if not len(s):
                     continue
-                name = _set_name(s)
-                for kind, part in enumerate(prefix(s, high, df, settings.percent)):
-                    if len(part):
-                        held[kind].append((name, part))
-                        size += len(part)
+                first, level = prefix(s, levels, settings.percent)
+                hot = level >= settings.hot_level
+                # A shingle that one document has meets no other.
+                met = ~hot & (level > 0) if exact else ~hot
+                if met.any():
+                    held[0].append((_set_name(s), np.sort(first[met])))
+                if hot.any():
+                    held[1].append((_set_name(s), first[hot]))
+                size += int(met.sum() + hot.sum())
                 if size >= settings.range_shingles:
                     yield from packed(held)
                     held, size = {0: [], 1: []}, 0
@@ -248,7 +243,7 @@ def shared_prefixes(
         if rare:
             cuts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
             places: dict[int, list] = {}
-            for name, part in rare:  # the parts are sorted
+            for name, part in rare:
                 edges = [0, *np.searchsorted(part, cuts).tolist(), len(part)] if bits else [0, len(part)]
                 for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     if a < b:
@@ -524,8 +519,8 @@ def jaccard_links(
     docs = docs.select("doc_id", "text")
     sets = stored(document_sets(docs, settings), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    common = common_shingles(docs, total, settings)
-    shared = stored(shared_prefixes(docs, common, total, settings), "shared")
+    table, exact = frequency_table(docs, total, settings)
+    shared = stored(shared_prefixes(docs, table, exact, total, settings), "shared")
     known = points(sets, shared)
     least = shared.groupBy(F.col("shingle").alias("key")).agg(F.min("set_id").alias("a"))
     stars = shared.join(least, F.col("shingle") == F.col("key")).where("a <> set_id")

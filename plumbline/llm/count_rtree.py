@@ -11,9 +11,9 @@ shingles, similar documents share one of their first n - ceil(0.75 n) + 1. The o
 documents first, so that a passage repeated in many documents gathers hardly any, and a shingle
 that only one document has needs no tree. Nothing is lost by it: any order finds every pair.
 
-Links are only needed between groups that are not connected yet. First every document is compared with the
-least document of each of its trees, which joins large groups of copies in one step for each copy;
-then the trees are searched for pairs across what is still apart.
+Links are only needed between groups that are not connected yet. In some rounds every document is
+compared with a few leading documents of its trees, others in each round, which joins large groups of copies in a few
+steps for each copy; then the trees are searched for pairs across what is still apart.
 
 Defined cases: a text that is null or without words has no shingles, links with nothing and is its own
 class; repeated rows and equal sets are one class; a missing doc_id counts only where no other is in
@@ -37,6 +37,7 @@ from plumbline.llm.shingles import mixed, shingle_sets
 from plumbline.llm.tables import salted_join, ship, stored
 from plumbline.llm.tree import Side, leaf_pairs
 
+BITMAP_BITS = 24
 COARSE = 8  # coordinates of a node's box, each the sum of several groups
 
 
@@ -47,7 +48,8 @@ class JaccardSettings:
     Efficiency only, results do not depend on these: ``groups`` of the count vectors of short texts;
     2 ** ``table_bits`` entries in the table of frequencies; from 2 ** ``hot_level`` documents on,
     rows of a shingle are not gathered in one task; ``leaf`` points to a leaf; ``range_shingles`` to a
-    range that one task counts; ``star`` comparisons with the same document in one task.
+    range that one task counts; ``star`` comparisons with the same document in one task; ``leaders``
+    of a tree in each round.
     """
 
     width: int = 5
@@ -58,6 +60,7 @@ class JaccardSettings:
     leaf: int = 32
     range_shingles: int = 1 << 20
     star: int = 512
+    leaders: tuple[int, ...] = (1, 8, 8)
 
 
 
@@ -349,34 +352,53 @@ def bounded(pairs: DataFrame, known: DataFrame, settings: JaccardSettings) -> Da
     return rows.where((100 + settings.percent) * overlap >= needed).select("a", "b")
 
 
-def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set_id, text) of the sets in ``pairs``: the text of each set's first document."""
-    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets in ``known``: the text of each set's first document.
+
+    A bitmap of fixed size, of hashes of these documents' ids, keeps most others out of the shuffle.
+    """
     firsts = (
         sets.where("set_id IS NOT NULL")
         .groupBy("set_id")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-        .join(named, "set_id", "left_semi")
+        .join(known.select(F.col("point").alias("set_id")), "set_id", "left_semi")
         .select("set_id", "first.*")
         .withColumnsRenamed({"doc_id": "first_id", "text_hash": "first_hash"})
     )
     firsts = stored(firsts, "firsts")
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    at = spot("first_hash") + 1  # positions count from 1
+    pages = (
+        firsts.groupBy(F.bitmap_bucket_number(at).alias("page"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        .toLocalIterator()
+    )
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+    for r in pages:  # pages are numbered from 1
+        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        bitmap[(r["page"] - 1) * len(part) :][: len(part)] = part
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def listed(spots: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in spots:
+            x = x.to_numpy()
+            yield pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0)
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    some = hashed.where(F.pandas_udf(listed, "boolean")(spot("text_hash")))
     on = F.col("doc_id").eqNullSafe(F.col("first_id")) & (
-        F.xxhash64("text") == F.col("first_hash")
+        F.col("text_hash") == F.col("first_hash")
     )
-    texts = docs.select("doc_id", "text").join(firsts, on).select("set_id", "text")
+    texts = some.join(firsts, on).select("set_id", "text")
     return stored(texts.dropDuplicates(["set_id"]), "texts")
 
 
-def verified(
-    pairs: DataFrame, docs: DataFrame, sets: DataFrame, settings: JaccardSettings
-) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, settings: JaccardSettings) -> DataFrame:
     """Those of the pairs (a, b) that are links. The partners of ``a`` stream past its set, in
     salted parts if there are many; a task holds one set beside the one it compares.
     """
     salt = F.pmod(F.xxhash64("b"), F.col("parts"))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / settings.star).alias("parts"))
-    texts = _texts(docs, sets, pairs)
     partners = (
         pairs.join(sizes, "a")
         .select("a", salt.alias("salt"), "b")
@@ -423,35 +445,55 @@ def _may_match(a: Side, b: Side, settings: JaccardSettings) -> Column:
     return sizes & ((100 + settings.percent) * overlap >= needed)
 
 
+def open_trees(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(shingle, set_id, root) of the trees whose members are not all connected yet."""
+    members = shared.withColumn("root", F.col("set_id"))
+    if roots is not None:
+        named = shared.join(roots, F.col("set_id") == F.col("node"), "left")
+        members = named.select("shingle", "set_id", F.coalesce("root", "set_id").alias("root"))
+    apart = members.groupBy(F.col("shingle").alias("open")).agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1")
+    )
+    apart = apart.where("r0 <> r1").select("open")
+    return members.join(apart, F.col("shingle") == F.col("open")).drop("open")
+
+
+def led_pairs(members: DataFrame, leaders: int, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of a tree's leaders, the least by a hash of the turn, with its members that are
+    not connected with them.
+    """
+    by_hash = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), "set_id", "root")
+    chosen = members.select(F.col("shingle").alias("tree"), by_hash.alias("x")).distinct()
+    # The first few of each tree: ranked in each task before they are dealt.
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("x"))
+    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= leaders)
+    chosen = chosen.select("tree", F.col("x.set_id").alias("a"), F.col("x.root").alias("leading"))
+    on = (F.col("shingle") == F.col("tree")) & (F.col("root") != F.col("leading"))
+    pairs = members.join(chosen, on).select("a", F.col("set_id").alias("b"))
+    return pairs.distinct()
+
+
 def tree_pairs(
     shared: DataFrame, known: DataFrame, roots: DataFrame, settings: JaccardSettings
 ) -> DataFrame:
     """Distinct pairs (a, b) of sets that share a prefix shingle, are not connected yet and pass the bound
     of their counts.
     """
-    root = F.coalesce("root", "set_id")
-    members = (
-        shared.join(roots, F.col("set_id") == F.col("node"), "left")
-        .select("shingle", "set_id", root.alias("root"))
-        .distinct()
-    )
-    apart = members.groupBy("shingle").agg(
-        F.min("root").alias("r0"), F.max("root").alias("r1")
-    )
-    apart = apart.where("r0 <> r1").select(F.col("shingle").alias("open"))
-    members = members.join(apart, F.col("shingle") == F.col("open")).drop("open")
+    members = open_trees(shared, roots).distinct()
     # Trees over the same sets have the same pairs; of those, the one of the least shingle is searched.
     names = members.groupBy("shingle").agg(
         F.count("*").alias("size"),
         F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"),
     )
     once = names.groupBy("size", "same").agg(F.min("shingle").alias("tree"))
-    members = stored(
-        members.join(once, F.col("shingle") == F.col("tree")).drop("shingle"), "members"
-    )
+    members = members.join(once, F.col("shingle") == F.col("tree")).drop("shingle")
+    members = stored(members, "members")
+    # A pair is taken from the least tree that it shares.
+    own = members.groupBy("set_id").agg(F.sort_array(F.collect_list("tree")).alias("trees"))
+    members = members.join(own, "set_id")
     placed = members.join(known, F.col("set_id") == F.col("point"))
     coarse = [F.get("coarse", F.lit(i)).alias(f"c{i}") for i in range(COARSE)]
-    placed = stored(placed.select("tree", "size", "set_id", "root", "n", "counts", *coarse), "placed")
+    placed = stored(placed.select("tree", "size", "set_id", "root", "trees", "n", "counts", *coarse), "placed")
     # Packing: points by size and then by their counts, a leaf's worth of neighbours to a leaf. Large trees
     # are ordered in strips of sizes, so that no task orders a whole tree.
     strip = F.when(F.col("size") > 64 * settings.leaf, F.floor(F.log2("n") * 16)).otherwise(0)
@@ -460,7 +502,7 @@ def tree_pairs(
     slot = F.floor((F.row_number().over(order) - 1) / settings.leaf)
     packed = placed.withColumn("slot", slot)
     sides = {f"hi{i}": F.max(f"c{i}") for i in range(COARSE)}
-    rows = F.collect_list(F.struct("set_id", "root", "n", "counts"))
+    rows = F.collect_list(F.struct("set_id", "root", "trees", "n", "counts"))
     leaves = packed.groupBy("tree", "strip", "slot").agg(
         rows.alias("rows"),
         F.min("n").alias("least"),
@@ -478,6 +520,7 @@ def tree_pairs(
             F.col("leaf").alias(f"{name}_leaf"),
             F.col("rows.set_id").alias(f"{name}_sets"),
             F.col("rows.root").alias(f"{name}_roots"),
+            F.col("rows.trees").alias(f"{name}_trees"),
             F.col("rows.n").alias(f"{name}_n"),
             F.col("rows.counts").alias(f"{name}_counts"),
         )
@@ -501,14 +544,16 @@ def tree_pairs(
                     rough += np.minimum(u[:, g, None], v[None, :, g])
                 i, j = np.nonzero(apart & ((100 + settings.percent) * rough >= needed))
                 exact = overlap_bounds([x[k] for k in i], [y[k] for k in j])
-                fits = (100 + settings.percent) * exact >= needed[i, j]
-                u, v = np.asarray(r.a_sets)[i[fits]], np.asarray(r.b_sets)[j[fits]]
-                found.append(np.column_stack([np.minimum(u, v), np.maximum(u, v)]))
+                fits = np.flatnonzero((100 + settings.percent) * exact >= needed[i, j])
+                own = [[set(t) for t in ts] for ts in (r.a_trees, r.b_trees)]
+                for k in fits.tolist():
+                    a, b = r.a_sets[i[k]], r.b_sets[j[k]]
+                    if min(own[0][i[k]] & own[1][j[k]]) == r.tree and (r.a < r.b or a < b):
+                        found.append((min(a, b), max(a, b)))
             if found:
-                rows = np.unique(np.concatenate(found), axis=0)
-                yield pd.DataFrame(rows, columns=["a", "b"])
+                yield pd.DataFrame(found, columns=["a", "b"])
 
-    return pairs.drop("tree", "a", "b").mapInPandas(survive, "a BIGINT, b BIGINT").distinct()
+    return pairs.mapInPandas(survive, "a BIGINT, b BIGINT")
 
 
 def jaccard_links(
@@ -522,15 +567,21 @@ def jaccard_links(
     table, exact = frequency_table(docs, total, settings)
     shared = stored(shared_prefixes(docs, table, exact, total, settings), "shared")
     known = points(sets, shared)
-    least = shared.groupBy(F.col("shingle").alias("key")).agg(F.min("set_id").alias("a"))
-    stars = shared.join(least, F.col("shingle") == F.col("key")).where("a <> set_id")
-    stars = stars.select("a", F.col("set_id").alias("b")).distinct()
-    stars = stored(bounded(stars, known, settings), "stars")
-    links = stored(verified(stars, docs, sets, settings), "links")
-    roots = stored(components(links), "roots")
+    texts = _texts(docs, sets, known)
+    links, tried, roots = None, None, None
+    for turn, leaders in enumerate(settings.leaders):
+        pairs = bounded(led_pairs(open_trees(shared, roots), leaders, turn), known, settings)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "led")
+        found = stored(verified(pairs, texts, settings), "links")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        roots = stored(components(links), "roots")
     more = tree_pairs(shared, known, roots, settings)
-    more = stored(more.join(stars, ["a", "b"], "left_anti"), "pairs")
-    rest = stored(verified(more, docs, sets, settings), "links")
+    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = stored(more.join(both, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(verified(more, texts, settings), "links")
     return sets, links.unionByName(rest)
 
 

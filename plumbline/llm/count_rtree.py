@@ -60,7 +60,7 @@ class JaccardSettings:
     leaf: int = 32
     range_shingles: int = 1 << 20
     star: int = 512
-    leaders: tuple[int, ...] = (1, 8, 8)
+    leaders: tuple[int, ...] = (1, 8)
 
 
 

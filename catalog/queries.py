@@ -28,8 +28,20 @@ def query(function: Query) -> Query:
 
 
 def unlocated(spark: SparkSession, sf: str) -> DataFrame:
-    """Results without sites: nothing is joined that the query does not use."""
-    return star.results(spark, sf, located=False)
+    """All rows without sites: nothing is joined that the query does not use."""
+    return star.fact(spark, sf, located=False)
+
+
+def everything(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows with their sites."""
+    return star.fact(spark, sf).drop("c_mktsegment")
+
+
+def all_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Every site, also those that the hierarchy does not list."""
+    return star.sites(spark, sf).select(
+        "operatingunit", F.col("country").alias("countryname"), "psnu", "psnuuid"
+    )
 
 
 def adjusted(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,16 +59,20 @@ def comparison(spark: SparkSession, sf: str, profile) -> DataFrame:
 
 
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
-    """Target sums per site, indicator and year from 2022 on: many numbers to round and format."""
-    rows = star.fact(spark, sf, first_year=2022, last_year=2024)
+    """Target sums per site, indicator and year: many numbers to round and format."""
+    rows = star.fact(spark, sf)
     return ops.sum_by(rows, ["psnu", "indicator", "fiscal_year"], ["targets"]).withColumn(
         "fiscal_year", fx.fiscal_label(F.col("fiscal_year"))
     )
 
 
+YEARS = [f"FY{year}" for year in range(21, 28)]
+
+
 def yearly_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """All years side by side; another year would stop the query."""
     return ops.pivot_wider(
-        yearly(spark, sf), ["psnu", "indicator"], "fiscal_year", ["FY23", "FY24"], ["targets"]
+        yearly(spark, sf), ["psnu", "indicator"], "fiscal_year", YEARS, ["targets"]
     )
 
 
@@ -76,40 +92,33 @@ def newest_source(spark, sf):
 @query
 def column_listing(spark, sf):
     plan = star.plan(spark, sf, star.CARIBBEAN)
-    return star.results(spark, sf).select(*[n for n in plan.columns if n != "cumulative"])
+    return everything(spark, sf).select(*[n for n in plan.columns if n != "cumulative"])
 
 
 @query
 def select_any_of(spark, sf):
     wanted = ["country", "sitename", "indicator", "country", "mech_code", "targets"]
-    return ops.select_any_of(star.results(spark, sf), wanted, must=indicators.MUST_EXIST)
+    return ops.select_any_of(everything(spark, sf), wanted, must=indicators.MUST_EXIST)
 
 
 @query
 def strict_select(spark, sf):
-    return star.hierarchy(spark, sf).select("operatingunit", "countryname", "psnu", "psnuuid")
+    return all_sites(spark, sf).select("operatingunit", "countryname", "psnu", "psnuuid")
 
 
 @query
 def drop_columns(spark, sf):
-    return ops.drop_columns(star.plan(spark, sf, star.CARIBBEAN), "operatingunit", "cumulative")
+    return ops.drop_columns(everything(spark, sf), "operatingunit", "cumulative")
 
 
 @query
 def rename(spark, sf):
-    return ops.rename(star.hierarchy(spark, sf), country="countryname", site="psnu")
+    return ops.rename(all_sites(spark, sf), country="countryname", site="psnu")
 
 
 @query
 def relocate(spark, sf):
-    wide = ops.pivot_wider(
-        yearly(spark, sf),
-        ["psnu", "indicator"],
-        "fiscal_year",
-        ["FY24", "FY23"],
-        ["targets"],
-    )
-    return ops.relocate(wide, "FY23", after=2)
+    return ops.relocate(yearly_wide(spark, sf), "FY27", after=2)
 
 
 @query
@@ -127,7 +136,7 @@ def derive(spark, sf):
 @query
 def unpivot_plan(spark, sf):
     wide = yearly_wide(spark, sf)
-    return ops.unpivot_years(wide, {"FY23": 2023, "FY24": 2024}, drop_missing=True)
+    return ops.unpivot_years(wide, {y: 2000 + int(y[2:]) for y in YEARS}, drop_missing=True)
 
 
 # Filters
@@ -145,7 +154,7 @@ def _unscoped(rows):
 
 @query
 def filter_scope(spark, sf):
-    return _scoped(indicators.in_scope(star.results(spark, sf), star.CARIBBEAN))
+    return _scoped(indicators.in_scope(everything(spark, sf), star.CARIBBEAN))
 
 
 @query
@@ -235,7 +244,7 @@ def left_join_totals(spark, sf):
 
 @query
 def na_sum_one(spark, sf):
-    return ops.sum_by(star.results(spark, sf), ["country", *DETAIL], ["targets"])
+    return ops.sum_by(everything(spark, sf), ["country", *DETAIL], ["targets"])
 
 
 @query
@@ -252,7 +261,7 @@ def resum_coarser(spark, sf):
 
 @query
 def distinct_hierarchy(spark, sf):
-    return star.hierarchy(spark, sf).select("operatingunit", "countryname").distinct()
+    return all_sites(spark, sf).select("operatingunit", "countryname").distinct()
 
 
 # Unions
@@ -293,15 +302,28 @@ def pivot_two(spark, sf):
         rows,
         ["indicator", "all_or_KP"],
         "fiscal_year",
-        ["FY22", "FY23"],
+        YEARS,
         ["targets", "cumulative"],
         duplicates="sum",
     )
 
 
+@query
+def pivot_unlisted(spark, sf):
+    """Two of the seven years, the others dropped as asked."""
+    return ops.pivot_wider(
+        yearly(spark, sf),
+        ["psnu", "indicator"],
+        "fiscal_year",
+        ["FY23", "FY24"],
+        ["targets"],
+        unlisted="drop",
+    )
+
+
 @query
 def sort_nulls_last(spark, sf):
-    sums = ops.sum_by(star.results(spark, sf), ["country", *TRIPLE], ["targets"])
+    sums = ops.sum_by(everything(spark, sf), ["country", *TRIPLE], ["targets"])
     return ops.order_rows(sums, "country", *TRIPLE)
 
 
@@ -318,14 +340,14 @@ def case_when_without_default(spark, sf):
 
 @query
 def fiscal_label(spark, sf):
-    rows = star.fact(spark, sf, located=False)
+    rows = star.years(spark, sf)
     label = fx.fiscal_label(F.col("fiscal_year")).alias("label")
     return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
 def replace_first_match(spark, sf):
-    return star.hierarchy(spark, sf).select(
+    return all_sites(spark, sf).select(
         "psnuuid",
         fx.replace_first(F.col("psnu"), "0", "FY").alias("replaced"),
         fx.remove_first(F.col("psnu"), "00").alias("removed"),
@@ -456,9 +478,7 @@ def year_change_percent(spark, sf):
 
 @query
 def year_change_other_years(spark, sf):
-    wide = ops.pivot_wider(
-        yearly(spark, sf), ["psnu", "indicator"], "fiscal_year", ["FY22", "FY24"], ["targets"]
-    )
+    wide = yearly_wide(spark, sf)
     return year_change(wide, "FY22", "FY24", "percent", "diff_fy_24_22", "percent_change_24_22")
 
 
@@ -500,7 +520,7 @@ def hierarchy_conflicts(spark, sf):
 
 @query
 def shared_years(spark, sf):
-    rows = star.fact(spark, sf, located=False)
+    rows = star.years(spark, sf)
     year = F.col("fiscal_year")
     return quality.shared_years(rows.where(year <= 2024), rows.where(year >= 2023))
 
@@ -511,6 +531,12 @@ def absent_years(spark, sf):
     return quality.absent_years(star.results(spark, sf), star.plan(spark, sf, profile), profile)
 
 
+@query
+def unlisted_years(spark, sf):
+    profile = replace(star.CARIBBEAN, years=(2021, 2023))
+    return quality.unlisted_years(star.results(spark, sf), star.plan(spark, sf, profile), profile)
+
+
 @query
 def unmatched_sites(spark, sf):
     plan = star.plan(spark, sf, star.CARIBBEAN)

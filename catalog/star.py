@@ -141,6 +141,11 @@ def fact(
     return joined.selectExpr(*place, *REPORTED_LINE)
 
 
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fiscal year of every order line, from the lines alone."""
+    return table(spark, sf_dir, "lineitem").selectExpr(f"{YEAR} AS fiscal_year")
+
+
 def results(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame:
     """Reported rows: fiscal years up to 2023."""
     return fact(spark, sf_dir, located, last_year=2023).drop("c_mktsegment")

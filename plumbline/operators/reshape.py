@@ -17,17 +17,35 @@ def pivot_wider(
     names: Sequence[str],
     measures: Sequence[str],
     duplicates: str = "error",
+    unlisted: str = "error",
 ) -> DataFrame:
     """One row per id, one column per name (``name``, or ``measure_name`` for several measures).
 
     A name without a row is NULL. Two rows for one id and name stop the query; with
     ``duplicates="sum"`` they are added, ignoring missing values. The names are given, so no job is
-    run to find them, and one aggregate does re-summing, the check and the pivot, where
+    run to find them, and one aggregate does re-summing, the checks and the pivot, where
     ``GroupedData.pivot`` would add a shuffle per step.
+
+    A row whose name is missing or not listed stops the query, naming its id; with
+    ``unlisted="drop"`` only the listed names are kept, and an id without any gives no row.
     """
+    if unlisted not in ("error", "drop"):
+        raise ValueError(f"unknown rule for unlisted names: {unlisted}")
     if duplicates not in ("error", "sum"):
         raise ValueError(f"unknown duplicates rule: {duplicates}")
 
+    is_listed = F.coalesce(F.col(names_from).isin(*names), F.lit(False))
+    if unlisted == "drop":
+        df = df.where(is_listed)
+
+    def checked(value: Column) -> Column:
+        if unlisted == "drop":
+            return value
+        other = F.max(F.when(~is_listed, F.coalesce(F.col(names_from).cast("string"), F.lit("NULL"))))
+        id_text = F.concat_ws(", ", *[F.col(key).cast("string") for key in ids])
+        message = F.concat(F.lit(f"{names_from} "), other, F.lit(" is not listed, for "), id_text)
+        return F.when(other.isNotNull(), F.raise_error(message)).otherwise(value)
+
     def cell(measure: str, name: str) -> Column:
         at_name = F.col(names_from) == name
         value = F.when(at_name, F.col(measure))
@@ -40,7 +58,7 @@ def pivot_wider(
     def column(measure: str, name: str) -> str:
         return name if len(measures) == 1 else f"{measure}_{name}"
 
-    cells = [cell(m, n).alias(column(m, n)) for m in measures for n in names]
+    cells = [checked(cell(m, n)).alias(column(m, n)) for m in measures for n in names]
     return df.groupBy(*ids).agg(*cells)
 
 

@@ -99,7 +99,7 @@ def change_names(profile: Profile) -> tuple[str, str]:
     """Names of the difference and relative change columns."""
     if len(profile.measures) == 1:
         return "diff", "percent_change"
-    before, after = (str(year)[2:] for year in profile.years[-2:])
+    before, after = (str(year)[2:] for year in profile.compared)
     measure = profile.measures[0]
     return f"{measure}_diff_fy_{after}_{before}", f"{measure}_percent_change_{after}_{before}"
 
@@ -117,7 +117,7 @@ def shown_columns(profile: Profile) -> list[str]:
 
 
 def widen(combined: DataFrame, profile: Profile) -> DataFrame:
-    """One row per id with the fiscal years as columns and the change between the last two."""
+    """One row per id with the fiscal years as columns and the change between two of them."""
     years = [year_name(year) for year in profile.years]
     wide = pivot_wider(
         combined.withColumn("fiscal_year", fiscal_label(F.col("fiscal_year"))),
@@ -126,9 +126,10 @@ def widen(combined: DataFrame, profile: Profile) -> DataFrame:
         names=years,
         measures=profile.measures,
         duplicates=profile.duplicates,
+        unlisted=profile.unlisted,
     ).select(*profile.ids, *shown_columns(profile))
     prefix = "" if len(profile.measures) == 1 else f"{profile.measures[0]}_"
-    before, after = (f"{prefix}{year}" for year in years[-2:])
+    before, after = (f"{prefix}{year_name(year)}" for year in profile.compared)
     if profile.drop_zero_and_absent:
         wide = wide.where(~absent_after_zero(F.col(before), F.col(after)))
     return year_change(wide, before, after, profile.change, *change_names(profile))

@@ -45,7 +45,9 @@ CAREGIVERS = Supplement("OVC_SERV", "Age/Sex/ProgramStatusCaregiver", 2022)
 class Profile:
     """Settings of a comparison.
 
-    ``years`` become columns; the last two are compared. ``duplicates`` says what to do with two
+    ``years`` become columns; ``before`` and ``after`` are compared, the last two if not given.
+    ``unlisted`` says what to do with rows of other years from the first on: stop with ``"error"``
+    or ``"drop"`` them. ``duplicates`` says what to do with two
     disaggregates of one indicator, population and year: ``"sum"`` them or stop with ``"error"``.
     ``change`` is ``"fraction"`` (rounded to 2 digits) or ``"percent"`` (whole percent as text).
     ``shared_year`` says what to do with results that already hold the plan year: ``"keep"`` them
@@ -61,6 +63,9 @@ class Profile:
     plan_year: int = 2024
     exclusions: tuple[tuple[str, str], ...] = REGIONAL_EXCLUSIONS
     excluded_indicators: tuple[str, ...] = ()
+    before: int | None = None
+    after: int | None = None
+    unlisted: str = "error"
     duplicates: str = "error"
     change: str = "percent"
     drop_zero_and_absent: bool = True
@@ -78,6 +83,10 @@ class Profile:
             raise ValueError(f"unknown shared year rule: {self.shared_year}")
         if len(self.years) < 2 or list(self.years) != sorted(set(self.years)):
             raise ValueError("years must be two or more, ascending")
+        if self.unlisted not in ("error", "drop"):
+            raise ValueError(f"unknown rule for unlisted years: {self.unlisted}")
+        if not {self.before, self.after} <= {None, *self.years}:
+            raise ValueError("the compared years must be among the years")
         if self.by_country and len(self.measures) > 1:
             raise ValueError("a report by country has one measure")
 
@@ -85,6 +94,12 @@ class Profile:
     def first_year(self) -> int:
         return self.years[0]
 
+    @property
+    def compared(self) -> tuple[int, int]:
+        """The earlier and the later year of the comparison."""
+        before, after = self.years[-2:]
+        return self.before or before, self.after or after
+
     @property
     def places(self) -> tuple[str, ...]:
         return ("country",) if self.by_country else ()
@@ -129,6 +144,7 @@ PROFILES = {
         measures=("targets", "cumulative"),
         years=(2022, 2023, 2024),
         exclusions=COUNTRY_REPORT_EXCLUSIONS,
+        unlisted="drop",
         duplicates="sum",
         change="fraction",
         supplement=CAREGIVERS,

@@ -125,6 +125,15 @@ def absent_years(results: DataFrame, plan: DataFrame, profile: Profile) -> DataF
     return wanted.join(reported.union(planned).distinct(), "fiscal_year", "left_anti")
 
 
+def unlisted_years(results: DataFrame, plan: DataFrame, profile: Profile) -> DataFrame:
+    """Years from the profile's first on that its scope holds and its report has no column for."""
+    years = in_scope(results, profile).select("fiscal_year").unionByName(
+        plan.where(in_year(F.col("fiscal_year"), profile.plan_year)).select("fiscal_year")
+    )
+    year = F.col("fiscal_year")
+    return years.where((year >= profile.first_year) & ~year.isin(*profile.years)).distinct()
+
+
 def unmatched_sites(
     plan: DataFrame, hierarchy: DataFrame, year: int, operatingunit: str
 ) -> DataFrame:

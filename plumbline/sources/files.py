@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 SCHEME_AND_HOST = r"^(?:[^:/]+:)?(?://[^/]*)?"
 
@@ -15,19 +14,39 @@ def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
 
     A directory counts as one file, as new as the newest file in it. Only names and times are read,
     never contents. Empty files do not count; of files equally new, the last by name wins.
+
+    One level is listed; only entries whose names match are looked into, by an iterator that keeps one
+    running maximum, so folders that do not match cost nothing and no listing is held.
     """
     inside = re.sub(SCHEME_AND_HOST, "", folder).rstrip("/")
     if not inside.startswith("/"):
         raise ValueError(f"not an absolute folder: {folder}")
-    entry = rf"{SCHEME_AND_HOST}\Q{inside}\E/([^/]+)"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    named = files.select(
-        "modificationTime",
-        F.regexp_extract("path", entry, 0).alias("path"),
-        F.regexp_extract("path", entry, 1).alias("name"),
-    )
-    newest = F.max(F.struct("modificationTime", "path")).alias("newest")
-    path = named.where(F.col("name").rlike(pattern)).agg(newest).select("newest.path").first().path
-    if path is None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest: tuple[int, str] | None = None
+    entries = fs.listStatusIterator(root)
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if not re.search(pattern, name) or name.startswith(("_", ".")):
+            continue
+        time = _newest_time(fs, entry)
+        if time is not None:
+            found = (time, entry.getPath().toString())
+            newest = found if newest is None else max(newest, found)
+    if newest is None:
         raise FileNotFoundError(f"no file matching {pattern!r} in {folder}")
-    return path
+    return newest[1]
+
+
+def _newest_time(fs, entry) -> int | None:
+    """When the newest file with contents at or below an entry was written."""
+    if entry.isFile():
+        return entry.getModificationTime() if entry.getLen() else None
+    newest = None
+    files = fs.listFiles(entry.getPath(), True)
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() and not file.getPath().getName().startswith(("_", ".")):
+            newest = max(newest or 0, file.getModificationTime())
+    return newest

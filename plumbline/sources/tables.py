@@ -49,7 +49,11 @@ def _read(
     file_format: str,
     schema: T.StructType,
     optional: Sequence[str] = (),
+    quote: str = '"',
 ) -> DataFrame:
+    """A text line with too few or too many fields, or a quote that does not close on its line, stops the
+    query, also where few columns are read. An empty ``quote`` takes quotes as they stand.
+    """
     if path.lower().endswith(ARCHIVES):
         raise ValueError(f"convert {path} to text or Parquet first: Spark would read it as garbage")
     if file_format in SEPARATORS:
@@ -58,6 +62,10 @@ def _read(
             spark.read.option("header", True)
             .option("sep", SEPARATORS[file_format])
             .option("enforceSchema", False)
+            .option("mode", "FAILFAST")
+            .option("quote", quote)
+            # With pruning, a short line passes as long as the columns that are read are there.
+            .option("columnPruning", False)
             .csv(path)
         )
         df = text.select(*[F.nullif(F.col(f"`{n}`"), F.lit("NA")).alias(n) for n in text.columns])
@@ -83,26 +91,36 @@ def conform(df: DataFrame, schema: T.StructType, optional: Sequence[str] = ()) -
     return df.withColumns(casts) if casts else df
 
 
-def read_results(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+def read_results(
+    spark: SparkSession, path: str, file_format: str = "parquet", quote: str = '"'
+) -> DataFrame:
     """Long results table. Parquet partitioned by ``fiscal_year`` lets year floors prune."""
-    return _read(spark, path, file_format, RESULTS, OPTIONAL)
+    return _read(spark, path, file_format, RESULTS, OPTIONAL, quote)
 
 
-def read_plan(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+def read_plan(
+    spark: SparkSession, path: str, file_format: str = "parquet", quote: str = '"'
+) -> DataFrame:
     """Long plan table."""
-    return _read(spark, path, file_format, PLAN, OPTIONAL)
+    return _read(spark, path, file_format, PLAN, OPTIONAL, quote)
 
 
-def read_mapping(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+def read_mapping(
+    spark: SparkSession, path: str, file_format: str = "parquet", quote: str = '"'
+) -> DataFrame:
     """Valid indicator, numeratordenom and disaggregate triples."""
-    return _read(spark, path, file_format, MAPPING)
+    return _read(spark, path, file_format, MAPPING, quote=quote)
 
 
 def read_hierarchy(
-    spark: SparkSession, path: str, file_format: str = "parquet", ou_uid: str | None = None
+    spark: SparkSession,
+    path: str,
+    file_format: str = "parquet",
+    ou_uid: str | None = None,
+    quote: str = '"',
 ) -> DataFrame:
     """Sites with their country; ``ou_uid`` selects one operating unit by ``operatingunituid``."""
-    hierarchy = _read(spark, path, file_format, HIERARCHY)
+    hierarchy = _read(spark, path, file_format, HIERARCHY, quote=quote)
     if ou_uid is None:
         return hierarchy
     require_columns(hierarchy, ["operatingunituid"])

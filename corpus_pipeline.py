@@ -50,7 +50,7 @@ STAGES = [
     ("best_fit_packing", pack_stage),
 ]
 
-# Span classifiers, connected components and packing have no SQL form; tests compare with brute force.
+# Span classifiers and packing have no SQL form; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -46,7 +46,8 @@ class JaccardSettings:
     """Links have a similarity of ``percent`` or more, over shingles of ``width`` words.
 
     Efficiency only, results do not depend on these: ``groups`` of the count vectors of short texts;
-    2 ** ``table_bits`` entries in the table of frequencies; from 2 ** ``hot_level`` documents on,
+    2 ** ``table_bits`` entries in the table of frequencies and 2 ** ``seen_bits`` bits that say which
+    shingles two documents or more have; from 2 ** ``hot_level`` documents on,
     rows of a shingle are not gathered in one task; ``leaf`` points to a leaf; ``range_shingles`` to a
     range that one task counts; ``star`` comparisons with the same document in one task; ``leaders``
     of a tree in each round.
@@ -56,6 +57,7 @@ class JaccardSettings:
     percent: int = 75
     groups: int = 64
     table_bits: int = 24
+    seen_bits: int = 27
     hot_level: int = 6
     leaf: int = 32
     range_shingles: int = 1 << 20
@@ -63,7 +65,6 @@ class JaccardSettings:
     leaders: tuple[int, ...] = (1, 8)
 
 
-
 def document_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
     """(doc_id, text_hash, n, set_id, check, counts, coarse) for each row of ``docs``: the size of its
     set, the set's name and a second hash of it, its counts by group and sums of these.
@@ -111,18 +112,37 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(ranges[a]), slice(a, b)
 
 
-def frequency_table(
-    docs: DataFrame, total: int, settings: JaccardSettings
-) -> tuple[np.ndarray, bool]:
-    """The table, and whether level 0 means that one document has the shingle. An entry for each value of the leading bits of a shingle: the highest level among its shingles,
-    floor(log2(documents that have it)); where more than half would not be 0, the lowest levels become 0.
+@dataclass(frozen=True)
+class Frequencies:
+    """How many documents have a shingle, in two tables of fixed size that leading bits index.
 
-    Its size is fixed, whatever the corpus. Tasks send sorted parts for each range of hashes, packed
-    as differences, and get back one row for a range.
+    ``levels`` has the highest floor(log2(documents)) among an entry's shingles; a bit of ``seen`` is set if two
+    documents or more have one of its shingles. A bit that is not set means one document, so the
+    order of prefixes tells shingles apart that meet nothing, until most bits are set.
+    """
+
+    levels: np.ndarray
+    seen: np.ndarray
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        """Levels of shingles; 0 where one document alone has the shingle."""
+        levels = self.levels[_leading(shingles, len(self.levels).bit_length() - 1)]
+        at = _leading(shingles, len(self.seen).bit_length() + 2)
+        bit = (self.seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return np.where(bit > 0, np.maximum(levels, 1), 0)
+
+
+def _leading(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def frequency_table(docs: DataFrame, total: int, settings: JaccardSettings) -> Frequencies:
+    """The frequencies of all shingles. The size of the tables is fixed, whatever the corpus. Tasks send
+    sorted parts for each range of hashes, packed as differences, and get back one row for a range.
     """
     bits = min(settings.table_bits, max(0, int(total / settings.range_shingles)).bit_length())
     # Bits that are counted: enough for shingles to share one rarely.
-    width = min(60, max(32, settings.table_bits, total.bit_length() + 5))
+    width = min(60, max(32, settings.table_bits, settings.seen_bits, total.bit_length() + 8))
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -148,23 +168,31 @@ def frequency_table(
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(first, len(keys)))
         many = n > 1
-        entries = (keys[first[many]] >> np.uint64(width - settings.table_bits)).astype(np.int64)
+        shared = keys[first[many]]
+
+        def places(leading: int) -> np.ndarray:
+            at = (shared >> np.uint64(width - leading)).astype(np.int64)
+            return at - (key[0] << (leading - bits))
+
         levels = np.zeros(1 << (settings.table_bits - bits), dtype=np.uint8)
         high = np.minimum(np.floor(np.log2(n[many])), 255).astype(np.uint8)
-        np.maximum.at(levels, entries - (key[0] << (settings.table_bits - bits)), high)
-        return pd.DataFrame({"part": [key[0]], "levels": [zlib.compress(levels.tobytes(), 1)]})
+        np.maximum.at(levels, places(settings.table_bits), high)
+        seen = np.zeros(1 << (settings.seen_bits - bits - 3), dtype=np.uint8)
+        if len(shared):
+            at = places(settings.seen_bits)  # ascending
+            own = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+            seen[at[own] >> 3] = np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), own)
+        packed = [zlib.compress(x.tobytes(), 1) for x in (levels, seen)]
+        return pd.DataFrame({"part": [key[0]], "levels": packed[:1], "seen": packed[1:]})
 
     parts = docs.select("text").mapInPandas(collect, "part BIGINT, data BINARY")
-    rows = parts.groupBy("part").applyInPandas(count, "part BIGINT, levels BINARY")
-    table = np.zeros((1 << bits, 1 << (settings.table_bits - bits)), dtype=np.uint8)
+    rows = parts.groupBy("part").applyInPandas(count, "part BIGINT, levels BINARY, seen BINARY")
+    levels = np.zeros((1 << bits, 1 << (settings.table_bits - bits)), dtype=np.uint8)
+    seen = np.zeros((1 << bits, 1 << (settings.seen_bits - bits - 3)), dtype=np.uint8)
     for r in rows.toLocalIterator():
-        table[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), dtype=np.uint8)
-    table = table.ravel()
-    exact = True
-    while (table > 0).mean() > 0.5:
-        table[table == table[table > 0].min()] = 0
-        exact = False
-    return table, exact
+        levels[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), dtype=np.uint8)
+        seen[r["part"]] = np.frombuffer(zlib.decompress(r["seen"]), dtype=np.uint8)
+    return Frequencies(levels.ravel(), seen.ravel())
 
 
 def pack_high(keys: np.ndarray, width: int) -> bytes:
@@ -195,19 +223,18 @@ def unpack_high(data: bytes) -> np.ndarray:
 
 
 def prefix(
-    shingles: np.ndarray, table: np.ndarray, percent: int
+    shingles: np.ndarray, table: Frequencies, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles in the order of levels and hashes, and their levels."""
     # A similar document has at least ceil(percent * n / 100) of them.
     size = len(shingles) - -(-percent * len(shingles) // 100) + 1
-    bits = len(table).bit_length() - 1
-    levels = table[(shingles >> np.uint64(64 - bits)).astype(np.int64)]
+    levels = table.of(shingles)
     order = np.lexsort((shingles, levels))[:size]
     return shingles[order], levels[order]
 
 
 def shared_prefixes(
-    docs: DataFrame, table: np.ndarray, exact: bool, total: int, settings: JaccardSettings
+    docs: DataFrame, table: Frequencies, total: int, settings: JaccardSettings
 ) -> DataFrame:
     """(shingle, set_id) of the shingles that two sets or more have in their prefixes; of hot ones
     also those that one set has. Others meet in ranges of hashes; hot ones pass through as rows, so
@@ -229,7 +256,7 @@ def shared_prefixes(
                 first, level = prefix(s, levels, settings.percent)
                 hot = level >= settings.hot_level
                 # A shingle that one document has meets no other.
-                met = ~hot & (level > 0) if exact else ~hot
+                met = ~hot & (level > 0)
                 if met.any():
                     held[0].append((_set_name(s), np.sort(first[met])))
                 if hot.any():
@@ -564,8 +591,8 @@ def jaccard_links(
     docs = docs.select("doc_id", "text")
     sets = stored(document_sets(docs, settings), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    table, exact = frequency_table(docs, total, settings)
-    shared = stored(shared_prefixes(docs, table, exact, total, settings), "shared")
+    table = frequency_table(docs, total, settings)
+    shared = stored(shared_prefixes(docs, table, total, settings), "shared")
     known = points(sets, shared)
     texts = _texts(docs, sets, known)
     links, tried, roots = None, None, None

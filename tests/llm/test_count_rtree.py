@@ -12,7 +12,15 @@ import pytest
 from plumbline.llm import count_rtree as cr
 from plumbline.llm.shingles import shingle_sets
 
-SMALL = replace(cr.JaccardSettings(), table_bits=10, hot_level=2, leaf=2, range_shingles=300, star=2)
+SMALL = replace(
+    cr.JaccardSettings(),
+    table_bits=10,
+    seen_bits=13,
+    hot_level=2,
+    leaf=2,
+    range_shingles=300,
+    star=2,
+)
 
 
 def shingles(text):
@@ -122,7 +130,8 @@ def test_one_row_of_each_class_stays_with_its_columns(documents):
 def test_prefixes_of_similar_sets_meet_under_any_order():
     rng = np.random.default_rng(1)
     universe = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
-    table = rng.integers(0, 4, 1 << 12).astype(np.uint8)
+    levels = rng.integers(0, 4, 1 << 12).astype(np.uint8)
+    table = cr.Frequencies(levels, rng.integers(0, 256, 1 << 9).astype(np.uint8))
     for _ in range(200):
         n = int(rng.integers(4, 200))
         a = np.sort(rng.choice(universe, n, replace=False))
@@ -170,9 +179,11 @@ def test_the_frequency_table_holds_levels_of_document_counts(documents):
     texts = ["a b c d e"] * 9 + ["f g h i j"] * 2 + ["k l m n o"]
     docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
     settings = replace(cr.JaccardSettings(), range_shingles=4)
-    table, exact = cr.frequency_table(docs, len(texts), settings)
-    assert exact
-    level = lambda t: table[int(next(iter(shingle_sets([t])))[0]) >> (64 - 24)]
-    assert [level(t) for t in ("a b c d e", "f g h i j", "k l m n o")] == [3, 1, 0]
-    crowded, exact = cr.frequency_table(docs, len(texts), replace(settings, table_bits=1))
-    assert not exact and len(crowded) == 2
+    keys = np.array([next(iter(shingle_sets([t])))[0] for t in (texts[0], texts[9], texts[11])])
+    assert cr.frequency_table(docs, len(texts), settings).of(keys).tolist() == [3, 1, 0]
+    # Crowded tables overstate levels and never call a shared shingle one document's.
+    crowded = cr.frequency_table(docs, len(texts), replace(settings, table_bits=1, seen_bits=4))
+    assert len(crowded.levels) == len(crowded.seen) == 2
+    assert (crowded.of(keys) >= [3, 1, 0]).all()
+    alone = cr.frequency_table(docs.where("doc_id > 10"), 1, settings)
+    assert not alone.levels.any() and not alone.seen.any()

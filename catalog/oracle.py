@@ -290,7 +290,7 @@ CENTRAL_AMERICA = regional_views(EUROPE, "EUROPE", False, True)
 CENTRAL_AMERICA_BY_COUNTRY = regional_views(EUROPE, "EUROPE", True, True)
 
 
-def country_table(section: str, title: str, heading: str) -> str:
+def country_table(section: str, title: str, heading: str, percent_text: bool = False) -> str:
     shown = {
         "targets_FY22": "targets_FY22",
         "cumulative_FY22": "results_FY22",
@@ -304,6 +304,8 @@ def country_table(section: str, title: str, heading: str) -> str:
     as_percent = f"""CASE WHEN {change} IS NULL OR isnan({change}) THEN NULL
       WHEN isinf({change}) THEN CASE WHEN {change} > 0 THEN 'Inf%' ELSE '-Inf%' END
       ELSE {whole(f"{change} * 100")} || '%' END"""
+    if percent_text:
+        as_percent = percent_change("targets_FY23", "targets_FY24")
     select = f"""SELECT 'Dominican Republic Target Summary' AS report, '{title}' AS section,
       indicator, {numbers}, {as_percent} AS "{heading}" FROM compared WHERE {section}"""
     return with_views(select, country_views())
@@ -605,6 +607,9 @@ ORACLE = {
     "report_table_key": country_table(
         KEY_SECTION, "Key Populations", "targets % change FY24-FY23"
     ),
+    "report_table_percent_text": country_table(
+        ALL_SECTION, "All Populations", "targets % change FY24_FY23", percent_text=True
+    ),
     "report_table_by_country": with_views(
         f"""SELECT 'Central America Target Summary' AS report, 'All Populations' AS section,
           country, indicator, "FY23", "FY24", diff AS change, percent_change AS "% change"

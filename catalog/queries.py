@@ -601,6 +601,13 @@ def report_table_key(spark, sf):
     return report.section_table(comparison(spark, sf, profile), profile, "key")
 
 
+@query
+def report_table_percent_text(spark, sf):
+    """The country report with its integer formats and the change as whole percent."""
+    profile = replace(star.DOMINICAN_REPUBLIC, change="percent", formatted=True)
+    return report.section_table(comparison(spark, sf, profile), profile, "all")
+
+
 @query
 def report_table_by_country(spark, sf):
     profile = star.CENTRAL_AMERICA_BY_COUNTRY

@@ -36,17 +36,25 @@ from plumbline.plans.profiles import Profile
 
 
 def reported_sums(
-    results: DataFrame, plan_columns: list[str], mapping: DataFrame, profile: Profile
+    results: DataFrame,
+    plan_columns: list[str],
+    mapping: DataFrame,
+    profile: Profile,
+    resum: bool = True,
 ) -> DataFrame:
     """Scoped result sums per place, indicator, disaggregate and year.
 
+    Raw names that become one final name are summed again, unless ``resum`` is false because a later
+    step does so.
+
     Rows are summed by their raw names before the mapping is joined, which depends on those
     names alone. However large the results, the mapping or one key, the join sees the few sums.
     """
     rows = scoped_columns(results, plan_columns, profile)
     raw = sum_by(rows, [*profile.places, *TRIPLE, "fiscal_year"], profile.measures)
     matched = match_sums(raw, adjust_mapping(mapping), profile.supplement)
-    sums = sum_by(matched, [*profile.places, *DETAIL], profile.measures)
+    keys = [*profile.places, *DETAIL]
+    sums = sum_by(matched, keys, profile.measures) if resum else matched.select(*keys, *profile.measures)
     return refuse_year(sums, profile) if profile.shared_year == "error" else sums
 
 
@@ -146,6 +154,8 @@ def compare(
 
     Nothing is computed yet, except that a report by country measures the hierarchy.
     """
-    reported = reported_sums(results, plan.columns, mapping, profile)
+    # The pivot adds what meets in one cell where duplicates are summed.
+    resum = profile.duplicates != "sum"
+    reported = reported_sums(results, plan.columns, mapping, profile, resum)
     planned = planned_sums(plan, hierarchy, profile)
     return order_rows(widen(combine(reported, planned, profile), profile), *profile.ids)

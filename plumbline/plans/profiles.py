@@ -50,6 +50,7 @@ class Profile:
     or ``"drop"`` them. ``duplicates`` says what to do with two
     disaggregates of one indicator, population and year: ``"sum"`` them or stop with ``"error"``.
     ``change`` is ``"fraction"`` (rounded to 2 digits) or ``"percent"`` (whole percent as text).
+    ``formatted`` tables have numbers as text with separators, if not given those with a fraction.
     ``shared_year`` says what to do with results that already hold the plan year: ``"keep"`` them
     beside the plan or stop with ``"error"``.
     """
@@ -68,6 +69,7 @@ class Profile:
     unlisted: str = "error"
     duplicates: str = "error"
     change: str = "percent"
+    formatted: bool | None = None
     drop_zero_and_absent: bool = True
     shared_year: str = "keep"
     supplement: Supplement | None = None

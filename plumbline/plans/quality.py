@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import na_sum
 from plumbline.operators import derive, in_year, left_join, order_rows, rename, sum_by
 from plumbline.plans.indicators import DETAIL, SITE, clean_site, in_scope, plan_targets
 from plumbline.plans.profiles import Profile
@@ -117,7 +116,7 @@ def shared_years(results: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def absent_years(results: DataFrame, plan: DataFrame, profile: Profile) -> DataFrame:
-    """Years of a profile without a row on either side, whose columns a report shows as NULL."""
+    """Years of a profile for which neither side has a row in scope, before mapping and exclusions."""
     reported = in_scope(results, profile).select("fiscal_year")
     planned = plan.where(in_year(F.col("fiscal_year"), profile.plan_year)).select("fiscal_year")
     years = [(year,) for year in profile.years]
@@ -138,8 +137,7 @@ def unmatched_sites(
     plan: DataFrame, hierarchy: DataFrame, year: int, operatingunit: str
 ) -> DataFrame:
     """Plan sites the hierarchy does not know, which become countries of their own."""
-    sites = clean_site(plan_targets(plan, year), operatingunit).groupBy(*SITE).agg(
-        na_sum(F.col("targets")).alias("targets")
-    )
+    raw = sum_by(plan_targets(plan, year), ["psnu", "psnuuid"], ["targets"])
+    sites = sum_by(clean_site(raw, operatingunit), SITE, ["targets"])
     known = hierarchy.select(*SITE, "countryname").distinct()
     return left_join(sites, known, SITE).where(F.col("countryname").isNull()).drop("countryname")

@@ -37,12 +37,15 @@ def both_sections(comparison: DataFrame) -> DataFrame:
 
 
 def format_numbers(rows: DataFrame, profile: Profile) -> DataFrame:
-    """Numbers as text with separators, for reports that give the change as a fraction."""
-    if profile.change != "fraction":
+    """Numbers as text with separators, where the profile asks for them; percent text stays."""
+    is_fraction = profile.change == "fraction"
+    if not (is_fraction if profile.formatted is None else profile.formatted):
         return rows
     diff, relative = change_names(profile)
-    whole = {name: format_integer(F.col(name)) for name in [*shown_columns(profile), diff]}
-    return rows.withColumns({**whole, relative: format_percent(F.col(relative))})
+    shown = {name: format_integer(F.col(name)) for name in [*shown_columns(profile), diff]}
+    if is_fraction:
+        shown[relative] = format_percent(F.col(relative))
+    return rows.withColumns(shown)
 
 
 def label_columns(rows: DataFrame, profile: Profile, name: str) -> DataFrame:

@@ -132,11 +132,15 @@ def test_command_line(spark, stored, tmp_path):
     tables += ["--mapping", f"{tmp_path}/triples"]
     fixtures.mapping(spark).write.parquet(f"{tmp_path}/triples")
     run(spark, ["dominican_republic", *common, *tables, "--output", f"{tmp_path}/report"])
-    found = spark.read.option("header", True).csv(f"{tmp_path}/report/all")
+    found = spark.read.option("header", True).csv(f"{tmp_path}/report/dominican_republic/all")
     assert found.count() == 6 and "targets change_FY24_23" in found.columns
     run(spark, ["completeness", *common, "--output", f"{tmp_path}/check", "--format", "json"])
-    assert os.path.exists(f"{tmp_path}/check/_SUCCESS")
-    for wrong in (["caribbean_by_country", *tables], ["caribbean"]):
+    assert os.path.exists(f"{tmp_path}/check/completeness/_SUCCESS")
+    years = ["absent_years", *common, *tables, "--profile", "dominican_republic"]
+    run(spark, [*years, "--output", f"{tmp_path}/check"])
+    assert os.path.exists(f"{tmp_path}/check/completeness/_SUCCESS")
+    wrong_names = (["caribbean_by_country", *tables], ["caribbean"], ["unlisted_years", *tables])
+    for wrong in wrong_names:
         with pytest.raises(SystemExit):
             run(spark, [*wrong, *common, "--output", f"{tmp_path}/none"])
 

@@ -552,9 +552,13 @@ def tree_pairs(
             F.col("rows.counts").alias(f"{name}_counts"),
         )
 
+    # A pair of leaves is little to read and much to compute, so the number of tasks is told, not sized.
+    tasks = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name in ("a", "b"):
         on = (F.col("tree") == F.col(f"{name}_tree")) & (F.col(name) == F.col(f"{name}_leaf"))
-        pairs = pairs.join(side(name), on).drop(f"{name}_tree", f"{name}_leaf")
+        dealt = side(name).repartition(tasks, f"{name}_tree", f"{name}_leaf")
+        pairs = pairs.repartition(tasks, "tree", name).join(dealt, on)
+        pairs = pairs.drop(f"{name}_tree", f"{name}_leaf")
 
     def survive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

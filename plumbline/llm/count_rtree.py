@@ -515,12 +515,13 @@ def tree_pairs(
     once = names.groupBy("size", "same").agg(F.min("shingle").alias("tree"))
     members = members.join(once, F.col("shingle") == F.col("tree")).drop("shingle")
     members = stored(members, "members")
-    # A pair is taken from the least tree that it shares.
-    own = members.groupBy("set_id").agg(F.sort_array(F.collect_list("tree")).alias("trees"))
+    # A pair is taken from the least tree that it shares: a point knows its trees before each.
+    own = members.groupBy("set_id").agg(F.collect_list("tree").alias("trees"))
     members = members.join(own, "set_id")
+    earlier = F.filter("trees", lambda t: t < F.col("tree")).alias("earlier")
     placed = members.join(known, F.col("set_id") == F.col("point"))
     coarse = [F.get("coarse", F.lit(i)).alias(f"c{i}") for i in range(COARSE)]
-    placed = stored(placed.select("tree", "size", "set_id", "root", "trees", "n", "counts", *coarse), "placed")
+    placed = stored(placed.select("tree", "size", "set_id", "root", earlier, "n", "counts", *coarse), "placed")
     # Packing: points by size and then by their counts, a leaf's worth of neighbours to a leaf. Large trees
     # are ordered in strips of sizes, so that no task orders a whole tree.
     strip = F.when(F.col("size") > 64 * settings.leaf, F.floor(F.log2("n") * 16)).otherwise(0)
@@ -529,7 +530,7 @@ def tree_pairs(
     slot = F.floor((F.row_number().over(order) - 1) / settings.leaf)
     packed = placed.withColumn("slot", slot)
     sides = {f"hi{i}": F.max(f"c{i}") for i in range(COARSE)}
-    rows = F.collect_list(F.struct("set_id", "root", "trees", "n", "counts"))
+    rows = F.collect_list(F.struct("set_id", "root", "earlier", "n", "counts"))
     leaves = packed.groupBy("tree", "strip", "slot").agg(
         rows.alias("rows"),
         F.min("n").alias("least"),
@@ -547,7 +548,7 @@ def tree_pairs(
             F.col("leaf").alias(f"{name}_leaf"),
             F.col("rows.set_id").alias(f"{name}_sets"),
             F.col("rows.root").alias(f"{name}_roots"),
-            F.col("rows.trees").alias(f"{name}_trees"),
+            F.col("rows.earlier").alias(f"{name}_earlier"),
             F.col("rows.n").alias(f"{name}_n"),
             F.col("rows.counts").alias(f"{name}_counts"),
         )
@@ -576,10 +577,10 @@ def tree_pairs(
                 i, j = np.nonzero(apart & ((100 + settings.percent) * rough >= needed))
                 exact = overlap_bounds([x[k] for k in i], [y[k] for k in j])
                 fits = np.flatnonzero((100 + settings.percent) * exact >= needed[i, j])
-                own = [[set(t) for t in ts] for ts in (r.a_trees, r.b_trees)]
+                left = {k: set(r.a_earlier[k]) for k in i[fits].tolist()}
                 for k in fits.tolist():
                     a, b = r.a_sets[i[k]], r.b_sets[j[k]]
-                    if min(own[0][i[k]] & own[1][j[k]]) == r.tree and (r.a < r.b or a < b):
+                    if left[i[k]].isdisjoint(r.b_earlier[j[k]]) and (r.a < r.b or a < b):
                         found.append((min(a, b), max(a, b)))
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])

@@ -14,10 +14,7 @@ from plumbline.llm.tables import stored
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), numbers; the root is the component's least node."""
-    tidy = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    )
-    stars = stored(tidy.distinct(), "edges")
+    stars = stored(_tidy(edges).distinct(), "edges")
     mark = None
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -29,6 +26,20 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def star_steps(edges: DataFrame, steps: int) -> DataFrame:
+    """(a, b), a > b, after some steps: edges between the same components, drawn to their least nodes."""
+    stars = _tidy(edges)
+    for _ in range(steps):
+        stars = stored(_small_star(_large_star(stars)), "edges")
+    return stars.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _tidy(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    )
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node go to the least node around it. Edges are (u, v), u > v."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

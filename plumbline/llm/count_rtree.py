@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components
+from plumbline.llm.components import components, star_steps
 from plumbline.llm.shingles import mixed, shingle_sets
 from plumbline.llm.tables import salted_join, ship, stored
 from plumbline.llm.tree import Side, leaf_pairs
@@ -189,7 +189,8 @@ def frequency_table(docs: DataFrame, total: int, settings: JaccardSettings) -> F
     rows = parts.groupBy("part").applyInPandas(count, "part BIGINT, levels BINARY, seen BINARY")
     levels = np.zeros((1 << bits, 1 << (settings.table_bits - bits)), dtype=np.uint8)
     seen = np.zeros((1 << bits, 1 << (settings.seen_bits - bits - 3)), dtype=np.uint8)
-    for r in rows.toLocalIterator():
+    # Bounded by the tables' fixed size; an iterator would run a job for each partition.
+    for r in rows.collect():
         levels[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), dtype=np.uint8)
         seen[r["part"]] = np.frombuffer(zlib.decompress(r["seen"]), dtype=np.uint8)
     return Frequencies(levels.ravel(), seen.ravel())
@@ -398,7 +399,7 @@ def _texts(docs: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     pages = (
         firsts.groupBy(F.bitmap_bucket_number(at).alias("page"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-        .toLocalIterator()
+        .collect()  # 2 ** BITMAP_BITS bits at most
     )
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
     for r in pages:  # pages are numbered from 1
@@ -600,7 +601,7 @@ def jaccard_links(
     shared = stored(shared_prefixes(docs, table, total, settings), "shared")
     known = points(sets, shared)
     texts = _texts(docs, sets, known)
-    links, tried, roots = None, None, None
+    links, tried, roots, stars = None, None, None, None
     for turn, leaders in enumerate(settings.leaders):
         pairs = bounded(led_pairs(open_trees(shared, roots), leaders, turn), known, settings)
         if tried is not None:
@@ -609,7 +610,9 @@ def jaccard_links(
         found = stored(verified(pairs, texts, settings), "links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = stored(components(links), "roots")
+        # Two steps join nearly all; what they leave apart is compared, not lost.
+        stars = star_steps(found if stars is None else stars.unionByName(found), 2)
+        roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     more = tree_pairs(shared, known, roots, settings)
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = stored(more.join(both, ["a", "b"], "left_anti"), "pairs")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import count_rtree as cr
+from plumbline.llm.components import components, star_steps
 from plumbline.llm.shingles import shingle_sets
 
 SMALL = replace(
@@ -187,3 +188,14 @@ def test_the_frequency_table_holds_levels_of_document_counts(documents):
     assert (crowded.of(keys) >= [3, 1, 0]).all()
     alone = cr.frequency_table(docs.where("doc_id > 10"), 1, settings)
     assert not alone.levels.any() and not alone.seen.any()
+
+
+def test_a_few_star_steps_keep_what_is_connected(spark):
+    path = [(i, i + 1) for i in range(1, 30)]
+    edges = spark.createDataFrame([*path, (2, 1), (7, 7), (50, 40)], "a BIGINT, b BIGINT")
+    stars = star_steps(edges, 2)
+    assert all(r["a"] > r["b"] for r in stars.collect())
+    found = {r["node"]: r["root"] for r in components(stars).collect()}
+    assert found == {**dict.fromkeys(range(1, 31), 1), 40: 40, 50: 40}
+    none = star_steps(edges.limit(0), 2)
+    assert none.collect() == [] and components(none).collect() == []

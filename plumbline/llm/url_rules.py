@@ -62,8 +62,11 @@ SITE_RULES = (
 )
 PATTERN_RULES = (
     Rule("block", r"[?&]utm_source=(?:feed|rss)(?:[&#]|$)", ("utm", "source")),
-    Rule("block", r"/(?:ads|adserver)/", ("ads",)),
-    Rule("block", r"/track(?:ing)?/(?:click|open)/", ("track",)),
+    # An index key must be in every match, so each form of a literal is a rule by itself.
+    Rule("block", r"/ads/", ("ads",)),
+    Rule("block", r"/adserver/", ("adserver",)),
+    Rule("block", r"/track/(?:click|open)/", ("track",)),
+    Rule("block", r"/tracking/(?:click|open)/", ("tracking",)),
     Rule("block", r"[?&]sessionid=[0-9a-f]+", ("sessionid",)),
     Rule("allow", r"/docs/[^?#]*\.html(?:[?#]|$)", ("docs", "html")),
 )

@@ -185,6 +185,27 @@ def test_url_verdicts_equal_brute_force(spark):
     assert url_rules.judge_urls(empty).count() == 0
 
 
+def test_every_alternative_of_a_pattern_rule_is_found(spark):
+    # Written out from the SQL, so that it holds whatever rules there are.
+    block = r"[?&]utm_source=(?:feed|rss)(?:[&#]|$)|/(?:ads|adserver)/|/track(?:ing)?/(?:click|open)/"
+    block = re.compile(block + "|[?&]sessionid=[0-9a-f]+")
+    tails = ["/ads/1", "/adserver/1", "/x/ads/", "/x/adserver/"]
+    tails += [f"/{t}/{a}/1" for t in ("track", "tracking") for a in ("click", "open")]
+    tails += [f"/{s}utm_source={f}{e}" for s in "?&" for f in ("feed", "rss") for e in ("", "&", "#")]
+    tails += [f"/{s}sessionid={d}" for s in "?&" for d in ("0", "f1")]
+    bad = len(tails)
+    tails += ["/adservers/1", "/ad/1", "/trackings/click/", "/tracking/clicks/", "/tracker/open/"]
+    tails += ["/docs/a.html", "/docs/a.html?b", "/docs/a.html#b", "/?utm_source=feeds", "/?sessionid=g"]
+    urls = [f"http://b.org{t}" for t in tails]
+    rows = [(i, u, None, None) for i, u in enumerate(urls)]
+    judged = url_rules.judge_urls(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(judged) == len(rows)
+    for r in judged:
+        url = urls[r["page_id"]]
+        assert (r["verdict"] == "block") == bool(block.search(url)) == (r["page_id"] < bad), url
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_url(url), url
+
+
 def test_rules_are_indexed_by_their_rarest_token(spark):
     rows = [(i, f"http://www.example.com/en/{i}", None, None) for i in range(5)]
     rows += [(9, "http://net/es/", None, None), (10, "http://b.net/x", None, None)]

@@ -38,8 +38,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of the permitted lengths."""
-    return packing.pack(docs)
+    """Pieces of documents, with their texts, in bins of the permitted lengths."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [

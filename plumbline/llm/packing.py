@@ -9,6 +9,8 @@ contents.
 
 Defined cases: a text that is null or without words has one row without a bin; repeated rows are separate
 documents; an empty table gives an empty result; other columns are ignored.
+
+``pack`` tells where the words of a document go; ``pack_texts`` gives the words too.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import n_words, ship, stored
+from plumbline.llm.tables import SPACES, let, n_words, ship, stored, without_spaces
+
+# A word with the spaces before it, and with those behind it at the end of the text.
+TOKEN = rf"(?:{SPACES})?{SPACES.replace('[', '[^')}(?:{SPACES}\z)?"
 
 
 @dataclass(frozen=True)
@@ -104,14 +109,17 @@ def pack_shard(
     return bins, offsets, final
 
 
-def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
-    """(doc_id, size, piece, first, n, bin_id, bin_offset, bin_length): a row for each piece.
+def pack(
+    docs: DataFrame, settings: PackSettings = PackSettings(), carried: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, size, piece, first, n, bin_id, bin_offset, bin_length): a row for each piece, with the
+    small columns of its document that are ``carried`` along.
 
     Bin ids are texts: the shard and the bin's number in it, or "full" and the piece's name.
     """
     ship(docs.sparkSession)
     longest = max(settings.lengths)
-    sized = stored(docs.select("doc_id", n_words(F.col("text")).alias("size")), "sizes")
+    sized = stored(docs.select("doc_id", *carried, n_words(F.col("text")).alias("size")), "sizes")
     whole = F.floor(F.col("size") / longest).cast("int")
     pieces = sized.withColumn(
         "piece",
@@ -120,6 +128,7 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
     first = F.col("piece").cast("long") * longest
     pieces = pieces.select(
         "doc_id",
+        *carried,
         "size",
         "piece",
         first.alias("first"),
@@ -131,6 +140,7 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
     # Numbers of stored rows do not change when a task runs again.
     full = pieces.where("is_full").select(
         "doc_id",
+        *carried,
         "size",
         "piece",
         "first",
@@ -141,6 +151,7 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
     )
     nothing = pieces.where("n = 0").select(
         "doc_id",
+        *carried,
         "size",
         "piece",
         "first",
@@ -153,6 +164,7 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
     shards = max(1, -(-parts.count() // settings.shard_pieces))
     sharded = parts.select(
         "doc_id",
+        *carried,
         "size",
         "piece",
         "first",
@@ -165,7 +177,7 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
         bins, offsets, lengths = pack_shard(
             frame["n"].tolist(), settings.lengths, settings.sequence_cost
         )
-        out = frame[["doc_id", "size", "piece", "first", "n"]].copy()
+        out = frame[["doc_id", *carried, "size", "piece", "first", "n"]].copy()
         out["bin_id"] = [f"{key[0]}-{b}" for b in bins]
         out["bin_offset"] = offsets
         out["bin_length"] = [lengths[b] for b in bins]
@@ -173,3 +185,43 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
 
     best = sharded.groupBy("shard").applyInPandas(packed, schema=full.schema)
     return best.unionByName(full).unionByName(nothing)
+
+
+def _cut(text: Column, longest: int) -> Column:
+    """(piece, text) of each piece of ``longest`` words, with the spaces before them; the last piece has
+    those at the end too. A text without words is one piece.
+    """
+
+    def pieces(tokens: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), (F.ceil(F.size(tokens) / longest) - 1).cast("int")),
+            lambda i: F.struct(
+                i.alias("piece"),
+                F.array_join(F.slice(tokens, i * longest + 1, longest), "").alias("text"),
+            ),
+        )
+
+    whole = F.array(F.struct(F.lit(0).alias("piece"), text.alias("text")))
+    no_words = F.coalesce(without_spaces(text) == "", F.lit(True))
+    return F.when(no_words, whole).otherwise(
+        let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), pieces)
+    )
+
+
+def pack_texts(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
+    """``pack`` with the ``text`` of each piece; the pieces of a document add up to its whole text.
+
+    Only sizes are packed. The pieces then fetch their texts by doc_id, hash of the text and piece, which
+    holds however the rows are read again; copies share one text.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    placed = pack(keyed, settings, ("text_hash",))
+    each = F.inline(_cut(F.col("text"), max(settings.lengths)))
+    cut = keyed.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), each)
+    cut = cut.withColumnRenamed("piece", "_piece").dropDuplicates(["_doc", "_hash", "_piece"])
+    on = (
+        F.col("doc_id").eqNullSafe(F.col("_doc"))
+        & (F.col("text_hash") == F.col("_hash"))
+        & (F.col("piece") == F.col("_piece"))
+    )
+    return placed.join(cut, on, "left").drop("text_hash", "_doc", "_hash", "_piece")

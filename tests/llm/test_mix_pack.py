@@ -9,6 +9,7 @@ from dataclasses import replace
 
 import pytest
 
+import corpus_pipeline
 from plumbline.llm import mixing, packing
 
 SMALL = replace(mixing.MixSettings(), block=7, bucket_rows=3, chunk_slots=16)
@@ -147,6 +148,32 @@ def test_every_piece_is_in_one_bin_that_fits(documents):
     assert packing.pack(documents([]), SMALL_BINS).count() == 0
 
 
+def test_pieces_have_the_texts_of_their_documents(spark, documents):
+    rng = random.Random(10)
+    space = lambda: rng.choice([" ", "\n", "  ", "\t\n ", "\x0b"])
+    made = lambda n: "".join(f"{space()}é{rng.randrange(99)}" for _ in range(n)) + rng.choice(["", "\n "])
+    rows = [(i, made(rng.choice([1, 3, 8, 39, 40, 41, 80, 95])), "en", "s") for i in range(60)]
+    rows += [rows[0], rows[7], (3, "another text", "en", "s"), (None, made(50), "en", "s")]
+    rows += [(100, None, "en", "s"), (101, "", "en", "s"), (102, " \n" * 20_000, "en", "s")]
+    out = packing.pack_texts(documents(rows), SMALL_BINS).collect()
+    check_bins(rows, out, SMALL_BINS)
+    wanted = Counter()
+    for i, text, _, _ in rows:
+        words = (text or "").split()
+        for first in range(0, max(len(words), 1), 40):
+            wanted[i, len(words), first, " ".join(words[first : first + 40])] += 1
+    got = Counter((r["doc_id"], r["size"], r["first"], " ".join((r["text"] or "").split())) for r in out)
+    assert got == wanted
+    whole = defaultdict(str)
+    for r in sorted(out, key=lambda r: r["first"]):
+        whole[r["doc_id"], r["size"]] += r["text"] or ""
+    assert all(whole[i, len((t or "").split())] == (t or "") for i, t, _, _ in rows[1:7])
+    assert whole[102, 0] == " \n" * 20_000 and whole[None, 50] == rows[63][1]
+    assert packing.pack_texts(documents([]), SMALL_BINS).count() == 0
+    redacted = corpus_pipeline.pack_stage(spark, documents([(1, "to [email] now", "en", "s")]), "")
+    assert [r["text"] for r in redacted.collect()] == ["to [email] now"]
+
+
 def brute_pack(sizes, lengths, cost):
     """The same rules with plain lists: best fit, and the least cost per word for a new bin."""
     bins, left = [], list(sizes)

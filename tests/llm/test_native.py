@@ -10,6 +10,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from plumbline.llm import quality, secrets, url_rules
 from plumbline.llm.secrets import EntropyLimits
 
@@ -143,6 +144,17 @@ def test_lines_of_many_documents_are_not_a_documents_own(documents):
     assert quality.quality_rules(documents([])).count() == 0
 
 
+def test_pipeline_rejects_boilerplate_in_hosts_of_any_size(spark, documents):
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, few = own(70), own(70)
+    rows = [(i, f"{own(20)}\n{shared}", "en", "a") for i in range(30)]
+    rows += [(100 + i, f"{own(20)}\n{few}", "en", "a") for i in range(20)]  # 20 are not above the limit
+    rows += [(1000 + i, own(60), "en", "a") for i in range(1950)]
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, documents(rows), "").collect()}
+    assert kept == {r[0] for r in rows[30:]}
+
+
 PAGES = "page_id BIGINT, url STRING, html STRING, host STRING"
 
 

@@ -10,7 +10,11 @@ side as arrays. Texts are parsed whole, in segments of ``segment`` characters; n
 a segment's end.
 
 The labelled text is a bounded sample: for each language, the first ``sample_documents`` documents in
-the order of a hash of doc_id give up to ``sample_chars`` characters. Everything is compared with that.
+the order of a hash of doc_id give up to ``sample_chars`` characters. Each gives twice its even share of them, in
+``slices`` spread over its text; a text within that share is taken whole. Everything is compared with that.
+
+Every letter of the samples is a symbol. An automaton of n characters has at most 3n transitions, so a
+language takes no more than about 1.2 MB, broadcast, however many letters it has.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0, as is every text if nothing is
 labelled; equal counts go to the language first by name; repeated rows each get their result; an empty
@@ -19,6 +23,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -38,20 +43,23 @@ class LanguageSettings:
     sample_documents: int = 128
     sample_chars: int = 32_000
     segment: int = 512
-    symbols: int = 120
+    slices: int = 4
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``codes``: code point to symbol, 0 for all but letters. ``tables[l][state * symbols + symbol]``: the next state,
-    doubled, plus 1 where a new phrase begins. ``bits[l]``: log2 of the labelled text's length.
+    """``codes``: code point to symbol, 0 for all but letters. ``keys[l]``: state * symbols + symbol of each transition,
+    in order; ``tables[l]``: the state it leads to. ``roots[l][symbol]``: the state after a phrase that begins with the
+    symbol. ``bits[l]``: log2 of the labelled text's length.
     """
 
     languages: tuple[str, ...]
     codes: np.ndarray
     letters: np.ndarray
     symbols: int
+    keys: tuple[np.ndarray, ...]
     tables: tuple[np.ndarray, ...]
+    roots: tuple[np.ndarray, ...]
     bits: tuple[float, ...]
 
 
@@ -71,8 +79,8 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _suffix_automaton(symbols: Sequence[int], size: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings; -1 for none."""
+def _suffix_automaton(symbols: Sequence[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the automaton of all substrings: state * size + symbol, in order, and next states."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -98,11 +106,10 @@ def _suffix_automaton(symbols: Sequence[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[current] = clone
         last = current
-    table = np.full((len(nexts), size), -1, dtype=np.int32)
-    for state, out in enumerate(nexts):
-        for s, target in out.items():
-            table[state, s] = target
-    return table
+    keys = np.array([k * size + s for k, out in enumerate(nexts) for s in out], dtype=np.int64)
+    targets = np.array([t for out in nexts for t in out.values()], dtype=np.int32)
+    order = np.argsort(keys)
+    return keys[order], targets[order]
 
 
 def build_model(samples: dict[str, list[str]], settings: LanguageSettings) -> LanguageModel:
@@ -113,26 +120,30 @@ def build_model(samples: dict[str, list[str]], settings: LanguageSettings) -> La
         points = _points(" ".join(texts))
         flat[language] = np.where(letters[points], lower[points], 32)
     joined = np.concatenate([*flat.values(), np.array([], dtype=np.uint32)])
-    used, counts = np.unique(joined[joined != 32], return_counts=True)
-    most = used[np.argsort(-counts, kind="stable")][: settings.symbols - 2]
+    used = np.unique(joined[joined != 32])
     # Symbol 0 is all that is no letter, the last symbol all letters that the samples lack.
-    size = len(most) + 2
-    plain = np.zeros(CODE_POINTS, dtype=np.uint8)
+    size = len(used) + 2
+    plain = np.zeros(CODE_POINTS, dtype=np.int32)
     plain[letters] = size - 1
-    plain[most] = np.arange(1, len(most) + 1)
+    plain[used] = np.arange(1, len(used) + 1)
     codes = plain[lower]
-    languages, tables, bits = [], [], []
+    languages, keys, tables, roots, bits = [], [], [], [], []
     for language in sorted(flat):
         symbols = _squeezed(codes[flat[language]])[: settings.sample_chars]
         if not (symbols > 0).any():
             continue
-        raw = _suffix_automaton(symbols.tolist(), size)
-        root = np.where(raw[0] >= 0, raw[0], 0)
-        packed = np.where(raw >= 0, raw * 2, root[None, :] * 2 + 1).astype(np.int32)
+        places, targets = _suffix_automaton(symbols.tolist(), size)
+        root = np.zeros(size, dtype=np.int32)
+        from_root = places < size
+        root[places[from_root]] = targets[from_root]
         languages.append(language)
-        tables.append(packed.ravel())
+        keys.append(places)
+        tables.append(targets)
+        roots.append(root)
         bits.append(float(np.log2(len(symbols) + 1)))
-    return LanguageModel(tuple(languages), codes, letters, size, tuple(tables), tuple(bits))
+    return LanguageModel(
+        tuple(languages), codes, letters, size, tuple(keys), tuple(tables), tuple(roots), tuple(bits)
+    )
 
 
 def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -157,14 +168,17 @@ def phrase_counts(model: LanguageModel, texts: Sequence[np.ndarray], segment: in
     size = np.minimum(lengths[owner] - number * segment, segment)
     order = np.argsort(-size, kind="stable")
     start, size, owner = start[order], size[order], owner[order]
-    for at, table in enumerate(model.tables):
+    for at, (keys, table, root) in enumerate(zip(model.keys, model.tables, model.roots, strict=True)):
         state = np.zeros(len(start), dtype=np.int64)
         phrases = np.ones(len(start), dtype=np.int64)
         for i in range(int(size[0])):
             active = int(np.searchsorted(-size, -i, side="left"))
-            moved = table[state[:active] * model.symbols + whole[start[:active] + i]]
-            phrases[:active] += moved & 1
-            state[:active] = moved >> 1
+            symbol = whole[start[:active] + i]
+            wanted = state[:active] * model.symbols + symbol
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            goes_on = keys[place] == wanted
+            phrases[:active] += ~goes_on
+            state[:active] = np.where(goes_on, table[place], root[symbol])
         out[:, at] = np.bincount(owner, weights=phrases, minlength=len(texts))
     return out
 
@@ -193,6 +207,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def _spread(text: Column, share: Column, slices: int) -> Column:
+    """The text if it has at most ``share`` characters, else as many in slices from its start to its end."""
+    size = F.floor(share / slices).cast("int")
+    room = F.length(text) - size
+    starts = [F.floor(room * k / max(1, slices - 1)).cast("int") + 1 for k in range(slices)]
+    parts = F.concat_ws(" ", *(F.substring(text, start, size) for start in starts))
+    return F.when(F.length(text) <= share, text).otherwise(parts)
+
+
 def learn_languages(
     docs: DataFrame, settings: LanguageSettings = LanguageSettings()
 ) -> LanguageModel:
@@ -209,12 +232,16 @@ def learn_languages(
         .collect()
     )
     ids = sorted({r["doc_id"] for r in chosen})
+    if not ids:
+        return build_model({}, settings)
     # A document gives twice its even share, so that short ones do not leave the sample short.
-    share = 2 * settings.sample_chars // settings.sample_documents
+    given = Counter(lang for lang, _ in {(r["lang"], r["doc_id"]) for r in chosen})
+    shares = [F.lit(x) for lang, n in given.items() for x in (lang, 2 * settings.sample_chars // n)]
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
     rows = (
         labelled.where(F.col("doc_id").isin(ids))
         .groupBy("lang", "doc_id")
-        .agg(F.min(F.substring("text", 1, share)).alias("text"))
+        .agg(F.min(_spread(F.col("text"), share, settings.slices)).alias("text"))
         .orderBy("lang", F.xxhash64("doc_id"), "doc_id")
         .collect()
     )

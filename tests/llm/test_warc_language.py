@@ -182,3 +182,28 @@ def test_letters_and_automaton_sizes():
     e, big = model.codes[ord("é")], model.codes[ord("É")]
     assert e == big > 0 and model.codes[ord("7")] == 0
     assert all(t.dtype == np.int32 for t in model.tables)
+
+
+def test_scripts_of_many_letters_are_told_apart():
+    rng = random.Random(8)
+    draw = lambda first, n: "".join(chr(first + rng.randrange(400)) for _ in range(n))
+    vocabulary = {"ja": 0x4E00, "zh": 0x5E00, "ko": 0xAC00}
+    made = {k: [draw(first, 2) for _ in range(300)] for k, first in vocabulary.items()}
+    text = lambda k, n: "".join(rng.choice(made[k]) for _ in range(n))
+    model = language.build_model({k: [text(k, 2_000)] for k in made} | {"en": ["the of and " * 900]}, SMALL)
+    letters = {c for words in made.values() for w in words for c in w}
+    assert len({int(model.codes[ord(c)]) for c in letters}) == len(letters) > 500
+    truth = [k for k in made for _ in range(20)]
+    names, _ = language.predict_texts(model, [text(k, 20) for k in truth], SMALL.segment)
+    assert names == truth
+    assert sum(k.nbytes + t.nbytes for k, t in zip(model.keys, model.tables, strict=True)) < 4 * 36 * SMALL.sample_chars
+
+
+def test_one_long_document_gives_a_whole_sample_from_all_of_its_text(documents, monkeypatch):
+    samples = {}
+    monkeypatch.setattr(language, "build_model", lambda s, _: samples.update(s))
+    parts = [c * 30_000 for c in "abcd"]
+    rows = [(1, "".join(parts), "one", "s")] + [(9 + i, f"w{i} " * 2_000, "many", "s") for i in range(200)]
+    language.learn_languages(documents(rows))
+    assert len(samples["one"][0]) >= 64_000 and all(samples["one"][0].count(c) > 5_000 for c in "abcd")
+    assert len(samples["many"]) == 128 and all(len(t) <= 503 for t in samples["many"])

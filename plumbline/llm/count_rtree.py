@@ -23,12 +23,14 @@ the class; an empty table gives an empty result; other columns are ignored. Sets
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,16 +240,18 @@ def shared_prefixes(
     docs: DataFrame, table: Frequencies, total: int, settings: JaccardSettings
 ) -> DataFrame:
     """(shingle, set_id) of the shingles that two sets or more have in their prefixes; of hot ones
-    also those that one set has. Others meet in ranges of hashes; hot ones pass through as rows, so
-    that no task gets all of one.
+    also those that one set has. Others meet in ranges of hashes; hot ones pass through as rows, in
+    groups of at most 512 documents of one flush of one task, so that no task gets all of one.
     """
     prefixes = total * (100 - settings.percent) // 100
     bits = max(0, int(prefixes / settings.range_shingles)).bit_length()
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = "part BIGINT, salt INT, shingles BINARY, sizes BINARY, sets BINARY"
+    schema = "part BIGINT, salt BIGINT, shingles BINARY, sizes BINARY, sets BINARY"
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = shared.value
+        # No other task has these salts, and each flush goes on where the last one ended.
+        salts = itertools.count(TaskContext.get().partitionId() << 32)
         held: dict[int, list] = {0: [], 1: []}
         size = 0
         for frame in frames:
@@ -264,11 +268,11 @@ def shared_prefixes(
                     held[1].append((_set_name(s), first[hot]))
                 size += int(met.sum() + hot.sum())
                 if size >= settings.range_shingles:
-                    yield from packed(held)
+                    yield from packed(held, salts)
                     held, size = {0: [], 1: []}, 0
-        yield from packed(held)
+        yield from packed(held, salts)
 
-    def packed(held: dict[int, list]) -> Iterator[pd.DataFrame]:
+    def packed(held: dict[int, list], salts: Iterator[int]) -> Iterator[pd.DataFrame]:
         rows = []
         rare = held[0]
         if rare:
@@ -280,8 +284,8 @@ def shared_prefixes(
                     if a < b:
                         places.setdefault(p, []).append((name, part[a:b]))
             rows += [(p, 0, *as_bytes(found)) for p, found in places.items()]
-        for salt, at in enumerate(range(0, len(held[1]), 512)):
-            rows.append((-1, salt % 1024, *as_bytes(held[1][at : at + 512])))
+        for at in range(0, len(held[1]), 512):
+            rows.append((-1, next(salts), *as_bytes(held[1][at : at + 512])))
         if rows:
             yield pd.DataFrame(rows, columns=["part", "salt", "shingles", "sizes", "sets"])
 

@@ -190,6 +190,25 @@ def test_the_frequency_table_holds_levels_of_document_counts(documents):
     assert not alone.levels.any() and not alone.seen.any()
 
 
+def test_hot_shingles_of_all_flushes_do_not_meet_in_one_group(documents, monkeypatch):
+    common = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(i, f"{common} x{i} y{i}", "en", "s") for i in range(200)])
+    table = cr.frequency_table(docs, 12_000, SMALL)
+    seen, group = [], type(docs).groupBy
+
+    def spy(df, *cols):
+        seen.append((df, cols))
+        return group(df, *cols)
+
+    monkeypatch.setattr(type(docs), "groupBy", spy)
+    met = cr.shared_prefixes(docs, table, 12_000, SMALL)
+    monkeypatch.undo()
+    dealt = next(df for df, cols in seen if cols == ("part", "salt"))
+    hot = dealt.where("part = -1").groupBy("salt").count().collect()
+    assert len(hot) > 3 and all(r["count"] == 1 for r in hot)
+    assert met.select("set_id").distinct().count() == 200
+
+
 def test_a_few_star_steps_keep_what_is_connected(spark):
     path = [(i, i + 1) for i in range(1, 30)]
     edges = spark.createDataFrame([*path, (2, 1), (7, 7), (50, 40)], "a BIGINT, b BIGINT")

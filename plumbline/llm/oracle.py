@@ -1,7 +1,7 @@
 """SQL for DuckDB that computes the same rows, for operators that SQL can express.
 
 Left out: personal data (its classifier is trained by expectation-maximisation), language
-identification and packing. Tests compare these with brute force.
+identification, packing and the alignment of tokenizers. Tests compare these with brute force.
 """
 
 from __future__ import annotations
@@ -191,6 +191,74 @@ SELECT page_id, host, path, rule, CASE
 FROM site
 """
 
+# The CRC goes over the halves of each byte, lower half first, with the remainders of its polynomial.
+IMPORTANCE_RESAMPLING = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, true AS is_doc FROM documents
+  UNION ALL SELECT row_number() OVER (), NULL, text, false FROM benchmark),
+split AS (
+  SELECT rid, doc_id, is_doc, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+runs AS (
+  SELECT rid, is_doc, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]))) AS f
+  FROM split),
+counted AS (SELECT rid, is_doc, f, count(*) AS n FROM runs GROUP BY rid, is_doc, f),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(length(h)),
+      lambda i: (strpos('0123456789ABCDEF', substr(h, xor(i, 1) + 1, 1)) - 1)::BIGINT)),
+    lambda c, x: xor(c >> 4, ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960,
+      1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896,
+      3183342108]::BIGINT[])[xor(c & 15, x) + 1]))) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted))),
+buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (is_doc), 0)::DOUBLE AS s,
+    coalesce(sum(n) FILTER (NOT is_doc), 0)::DOUBLE AS t
+  FROM counted JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT coalesce(sum(s), 0) FROM buckets) + 10000)
+    / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM buckets) + 10000))))::BIGINT AS gain
+  FROM buckets),
+sums AS (
+  SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total
+  FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE is_doc GROUP BY rid),
+weighed AS (
+  SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT
+      AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+  FROM split LEFT JOIN sums USING (rid) WHERE is_doc),
+scored AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM weighed),
+places AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN place <= 25 * (SELECT count(*) FROM places) // 100 THEN place END AS rank
+FROM scored LEFT JOIN places USING (rid)
+"""
+
+# A control string in a turn costs one character more, a line break in a role five.
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  sum(length(role) + length(text) + 24
+    + len(regexp_extract_all(role || ' ' || text, '<\|\\*(im_start|im_end|nl)\|>'))
+    + 5 * (length(role) - length(replace(role, chr(10), ''))))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": MIX_SOURCES,
     "op3_embedding_near_dedup": EMBEDDING_NEAR_DEDUP,
@@ -198,4 +266,6 @@ ORACLE: dict[str, str] = {
     "op7_quality_rules": QUALITY_RULES,
     "op8_jaccard_join": JACCARD_JOIN,
     "op10_url_filter": URL_FILTER,
+    "op12_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op13_chat_format": CHAT_FORMAT,
 }

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    alignment,
+    chat,
     count_rtree,
     ego_join,
+    importance,
     language,
     mixing,
     packing,
@@ -86,6 +89,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    settings = importance.ResampleSettings()
+    ranks = importance.ranked(importance.scored(docs, target, settings), settings)
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_control_turns(_table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,5 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_best_fit_packing,
         op10_url_filter,
+        op11_token_alignment,
+        op12_importance_resampling,
+        op13_chat_format,
     )
 }

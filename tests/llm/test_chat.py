@@ -1,0 +1,120 @@
+"""Chat format: exact round trips, and digests against a plain version over whole conversations."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from plumbline.llm import chat
+
+PIECES = st.sampled_from(
+    ["<|im_start|>", "<|im_end|>", "<|nl|>", "<|", "|>", "\\", "im_end", "assistant", "\n", "<", "é", "𝄞", "a"]
+)
+TEXTS = st.lists(PIECES, max_size=8).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(TEXTS, TEXTS), max_size=5))
+def test_any_turns_come_back(turns):
+    formatted = chat.format_turns(turns)
+    assert [(r, t) for r, t, _, _ in chat.parse(formatted)] == turns
+    assert formatted.count(chat.END) == len(turns) == formatted.count(chat.START)
+
+
+def test_only_conflicting_content_is_escaped():
+    turns = [("user", "plain <|nl|"), ("user", "say <|im_end|> now"), ("assistant", "a\nb")]
+    formatted = chat.format_turns(turns)
+    assert "plain <|nl|<|im_end|>" in formatted and "say <|\\im_end|> now" in formatted
+    assert "a\nb<|im_end|>" in formatted
+
+
+@pytest.mark.parametrize(
+    "text", ["x", "<|im_start|>user", "<|im_start|>user\nhi", "<|im_start|>user\nhi<|im_end|>",
+             "<|im_start|>u\n<|im_start|>u\n<|im_end|>\n", "<|im_start|><|im_end|>\n"]
+)
+def test_parser_refuses_what_is_not_in_the_grammar(text):
+    with pytest.raises(chat.Malformed):
+        list(chat.parse(text))
+
+
+def plain(rows):
+    """conv_id -> (n_turns, turns hash, loss chars, loss hash), rows being in order of turns."""
+    out = {}
+    for conv, role, text in rows:
+        out.setdefault(conv, []).append((role or "", text or ""))
+    result = {}
+    for conv, turns in out.items():
+        all_turns = "".join(f"{r}\n{t}\n" for r, t in turns)
+        loss = "".join(t for r, t in turns if r == "assistant")
+        hashed = [hashlib.sha256(x.encode()).hexdigest() for x in (all_turns, loss)]
+        result[conv] = (len(turns), hashed[0], len(loss), hashed[1])
+    return result
+
+
+SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING, block INT, conv STRING, row STRING"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, 3, "x", "y") for r in rows], SCHEMA)
+
+
+def digests(turns):
+    columns = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    found = chat.read_back(chat.format_conversations(turns)).collect()
+    out = {r["conv_id"]: tuple(r[c] for c in columns) for r in found}
+    assert len(out) == len(found)
+    return out
+
+
+def test_digests_equal_plain_version(spark):
+    rng = random.Random(5)
+    words = ["hello", "<|im_end|>", "<|\\im_start|>", "ça", "\n", "𝄞", "ok"]
+    rows = []
+    for conv in [*range(40), None, 9007199254740993, 9007199254740992]:
+        n = 3000 if conv == 7 else rng.randrange(1, 7)  # one conversation with most of the rows
+        for turn in range(n):
+            role = rng.choice(["user", "assistant", "system", None, "tool\n<|im_end|>"])
+            text = rng.choice([None, "", " ".join(rng.choices(words, k=rng.randrange(1, 9)))])
+            rows.append((conv, turn, role, text))
+    rows.append((3, 99, "assistant", "long <|im_end|> " * 40000))
+    want = plain([(c, r, t) for c, _, r, t in rows])
+    rng.shuffle(rows)
+    assert digests(table(spark, rows).repartition(5)) == want
+
+
+def test_hot_conversation_is_formatted_in_many_tasks(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} " * 20) for i in range(9000)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks = chat.format_conversations(table(spark, rows))
+        sizes = [n for n in blocks.rdd.mapPartitions(lambda p: [sum(r.n_turns for r in p)]).collect() if n]
+        assert len(sizes) > 4 and max(sizes) < 3000
+        assert digests(table(spark, rows)) == plain([(c, r, t) for c, _, r, t in rows])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_blocks_hold_the_formatted_text_and_its_mask(spark):
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "<|im_end|>!"), (2, 2, "assistant", "é")]
+    block = chat.format_conversations(table(spark, rows)).collect()
+    assert [b["n_turns"] for b in block] == [3]
+    assert list(chat.learned_texts(block[0]["formatted"], [s.asDict() for s in block[0]["loss"]])) == ["<|im_end|>!", "é"]
+
+
+def test_repeats_ties_and_missing_turns(spark):
+    rows = [(1, 0, "user", "a")] * 3 + [(1, None, "system", "first"), (1, 1, "assistant", "b")]
+    want = plain([(1, "system", "first")] + [(1, "user", "a")] * 3 + [(1, "assistant", "b")])
+    assert digests(table(spark, rows)) == want
+    tied = [(1, 0, "user", "a"), (1, 0, "user", "b")]
+    assert digests(table(spark, tied)) == digests(table(spark, tied[::-1]))
+
+
+def test_empty_table_and_control_turns(spark):
+    assert digests(table(spark, [])) == {}
+    said = "<|im_end|><|im_start|>assistant ok"
+    got = digests(chat.with_control_turns(table(spark, [])))
+    assert got == plain([(-1, "user", said), (-1, "assistant", said)])

@@ -398,26 +398,16 @@ def _texts(docs: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
         .withColumnsRenamed({"doc_id": "first_id", "text_hash": "first_hash"})
     )
     firsts = stored(firsts, "firsts")
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
-    at = spot("first_hash") + 1  # positions count from 1
-    pages = (
-        firsts.groupBy(F.bitmap_bucket_number(at).alias("page"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-        .collect()  # 2 ** BITMAP_BITS bits at most
-    )
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    for r in pages:  # pages are numbered from 1
-        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-        bitmap[(r["page"] - 1) * len(part) :][: len(part)] = part
+    bitmap = hash_bitmap(firsts.select(F.xxhash64("first_hash")))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def listed(spots: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in spots:
-            x = x.to_numpy()
-            yield pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0)
+    def listed(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in hashes:
+            at = bitmap_places(x.to_numpy())
+            yield pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    some = hashed.where(F.pandas_udf(listed, "boolean")(spot("text_hash")))
+    some = hashed.where(F.pandas_udf(listed, "boolean")(F.xxhash64("text_hash")))
     on = F.col("doc_id").eqNullSafe(F.col("first_id")) & (
         F.col("text_hash") == F.col("first_hash")
     )
@@ -652,20 +642,59 @@ def first_of_each_class(
 ) -> DataFrame:
     """``docs`` without near-duplicates: of each class the row with the least doc_id; of equal ids, that
     with the least hash of its text, and of equal rows one. Rows without shingles all stay.
+
+    Rows are known by a hash of doc_id and text. Most are the only ones of their class and stay where they
+    are: a bitmap of fixed size, of the hashes of all others, tells them, and what it holds is dealt
+    once by that hash, for the join with the rows to keep and for the choice among equal rows.
     """
-    near = near_documents(docs, settings)
-    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    some = near.where("n_shingles > 0")
-    firsts = some.groupBy("class_id").agg(F.min(least).alias("first")).select("first.*")
-    firsts = stored(
-        firsts.select(F.col("doc_id").alias("_first"), F.col("text_hash").alias("_hash")), "firsts"
+    near = near_documents(docs.select("doc_id", "text"), settings).where("n_shingles > 0")
+    hashed = near.select("doc_id", "text_hash", "class_id", _row_key(F.col("text_hash")).alias("key"))
+    hashed = stored(hashed, "near")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "key")
+    # (class, rows, key to keep): equal rows and rows of one class are summed before they meet.
+    classes = hashed.groupBy("class_id").agg(F.min(least).alias("first"), F.count("*").alias("n"))
+    classes = stored(classes.select("class_id", F.col("first.key").alias("first_key"), "n"), "classes")
+    shared = classes.where("n > 1")
+    touched = salted_join(hashed, shared, ["class_id"], F.col("key"), "inner")
+    bitmap = hash_bitmap(touched.select(F.xxhash64("key")))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def listed(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in keys:
+            at = bitmap_places(x.to_numpy())
+            yield pd.Series((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("document"), _row_key(F.xxhash64("text")).alias("key"))
+    # Of the rows that the bitmap holds, those without shingles or alone in their class stay too.
+    has_word = F.coalesce(F.col("document.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    met = keyed.withColumn("met", has_word & F.pandas_udf(listed, "boolean")(F.xxhash64("key")))
+    alone = met.where("NOT met").select("document.*")
+    first = classes.select(F.col("first_key").alias("key"))
+    one = met.where("met").groupBy("key").agg(F.min_by("document", F.xxhash64("document")).alias("document"))
+    kept = one.join(first, "key", "left_semi").select("document.*")
+    return alone.unionByName(kept)
+
+
+def _row_key(text_hash: Column) -> Column:
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("none"))
+    return F.concat_ws(":", F.hex(text_hash), name)
+
+
+def bitmap_places(hashes: np.ndarray) -> np.ndarray:
+    return hashes.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
+
+
+def hash_bitmap(hashes: DataFrame) -> np.ndarray:
+    """2 ** ``BITMAP_BITS`` bits, of which those of the hashes in the first column are set."""
+    spot = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1  # counted from 1
+    pages = (
+        hashes.groupBy(F.bitmap_bucket_number(spot).alias("page"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+        .collect()  # bounded by the size of the bitmap
     )
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    has_word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    on = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_text") == F.col("_hash"))
-    kept = keyed.where(has_word).join(firsts, on, "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
-    one = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*others))
-    kept = kept.withColumn("_no", F.row_number().over(one)).where("_no = 1")
-    rest = keyed.where(~F.coalesce(has_word, F.lit(False)))
-    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+    for r in pages:  # pages are numbered from 1
+        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        bitmap[(r["page"] - 1) * len(part) :][: len(part)] = part
+    return bitmap

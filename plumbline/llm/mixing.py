@@ -8,8 +8,8 @@ takes block r.
 
 Defined cases: a text that is null or without words has size 0 and gives nothing; a missing source is a
 source of its own, last in order; repeated rows are separate documents; an empty table gives an empty
-result; other columns are ignored. Order within a source follows the MD5 of doc_id and a seed, so
-reruns agree; a missing doc_id counts as the text "null".
+result; other columns are ignored, or go along in ``document``, whatever their names. Order within a
+source follows the MD5 of doc_id and a seed, so reruns agree; a missing doc_id counts as the text "null".
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import n_words, running, salted_join, stored
+from plumbline.llm.tables import SPACES, n_words, running, salted_join, stored
 
 GOLDEN = (5**0.5 - 1) / 2
 # k * GOLDEN loses its fraction in double precision for large k, so k is split at 2**26.
@@ -244,49 +244,57 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """doc_id, size, source_size, target and taken, a row for each document, summed from the mix."""
+    """doc_id, size, source_size, target, taken, first_slot and n_slots, a row for each document, summed
+    from the mix: the words that it takes, the first slot that holds some, and in how many slots they are.
+    """
     one = ["source_id", "ord", "doc_id", "size", "source_size", "target"]
     placed = F.when(F.col("slot").isNotNull(), F.col("n"))
     return (
         mix(docs, settings)
         .groupBy(*one)
-        .agg(F.coalesce(F.sum(placed), F.lit(0)).alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .agg(
+            F.coalesce(F.sum(placed), F.lit(0)).alias("taken"),
+            F.min("slot").alias("first_slot"),
+            F.count("slot").alias("n_slots"),
+        )
+        .select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
     )
 
 
 def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as it is repeated, whole. A pass of which the
-    mix takes half of the words or more counts as one row, a smaller part as none.
+    """(document, slot): ``docs`` as the mix has them, in the order of the first slot of each pass.
+
+    ``document`` holds a row's columns, once for each pass of its source's stream. The pass at which
+    a source has given its words is cut there: its text ends with the last word taken, so every source
+    comes out at its target. Rows that agree in all columns share one text.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64("text", "source"))
-    clean = docs.select(
-        F.struct("doc_id", F.xxhash64("text", "source").alias("hash")).alias("doc_id"),
-        "source",
-        "text",
-    )
-    # The operator sees a document's key as its id: rows that are equal share one.
-    named = clean.withColumn(
-        "doc_id",
-        F.concat_ws(":", F.col("doc_id.doc_id").cast("string"), F.col("doc_id.hash").cast("string")),
-    )
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*columns)
+    missing = F.struct(*(c.isNull() for c in columns))  # a hash passes over what is missing
+    key = F.concat(F.hex(F.xxhash64(row, missing)), F.hex(F.xxhash64(F.lit(settings.seed), row, missing)))
+    keyed = docs.select(key.alias("row_key"), "source", "text", row.alias("document"))
+    named = keyed.select(F.col("row_key").alias("doc_id"), "source", "text")
     passes = (
         mix(named, settings)
         .where("slot IS NOT NULL")
         .groupBy("source_id", "ord", "doc_id", "size", "epoch")
-        .agg(F.sum("n").alias("taken"))
-        .where("2 * taken >= size")
-    )
-    copies = passes.groupBy(F.col("doc_id").alias("_name")).agg(F.count("*").alias("_copies"))
-    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("_hash").cast("string"))
-    rows = keyed.withColumn("_name", name)
-    equal = Window.partitionBy("_name")
-    rows = rows.withColumn("_no", F.row_number().over(equal.orderBy("_hash")))
-    rows = rows.withColumn("_equal", F.count("*").over(equal)).join(copies, "_name")
-    share = F.floor((F.col("_copies") + F.col("_equal") - F.col("_no")) / F.col("_equal"))
-    return (
-        rows.withColumn("_own", share)
-        .where("_own > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int"))))
-        .select(*docs.columns)
+        .agg(F.sum("n").alias("taken"), F.min("slot").alias("slot"))
+        .select(F.col("doc_id").alias("key"), "size", "taken", "slot")
     )
+    passes = stored(passes, "passes")
+    # Equal rows become one in each task before they are dealt, and the join takes them as dealt.
+    texts = keyed.select(F.col("row_key").alias("key"), "document").dropDuplicates(["key"])
+    rows = texts.join(passes, "key")
+    start = _first_words(F.col("document.text"), F.col("taken"))
+    cut = F.when(F.col("taken") < F.col("size"), F.col("document").withField("text", start))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withField("n_chars", F.length(start).cast(kind))
+    ordered = rows.select(F.coalesce(cut, F.col("document")).alias("document"), "slot")
+    return ordered.repartitionByRange("slot").sortWithinPartitions("slot")
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to its ``n``-th word, with the spaces before the words."""
+    word = rf"(?:{SPACES})?{SPACES.replace('[', '[^')}"
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(word), F.lit(0)), 1, n.cast("int")), "")

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Slot k has the point frac(k * 0.618...), with k split at 2**26; blocks have 256 words.
+GOLDEN = (5**0.5 - 1) / 2
+
 MIX_SOURCES = rf"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size
@@ -15,30 +18,63 @@ WITH RECURSIVE sized AS (
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 src AS (
-  SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
-  FROM totals),
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_id FROM totals),
+weighted AS (SELECT *, ([3, 1, 2])[(source_id % 3 + 1)::INT] AS w FROM src),
 level(i, lvl) AS (
-  SELECT 0, 1.5::DOUBLE * sum(source_size)::DOUBLE / sum(w)::DOUBLE FROM src
+  SELECT 0, 1.5::DOUBLE * sum(source_size)::DOUBLE / sum(w)::DOUBLE FROM weighted
   UNION ALL
   SELECT * FROM (
     SELECT i + 1, (any_value(t.total) - 2::DOUBLE * coalesce(
         sum(source_size) FILTER (2::DOUBLE * source_size < w * lvl), 0)::DOUBLE)
       / sum(w) FILTER (NOT 2::DOUBLE * source_size < w * lvl)::DOUBLE AS nxt
-    FROM level, src, (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS total FROM src) t
+    FROM level, weighted, (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS total FROM weighted) t
     GROUP BY i, lvl HAVING nxt > lvl)),
 goal AS (
-  SELECT source, source_size, least(2::DOUBLE * source_size, w * (SELECT max(lvl) FROM level)) AS target
-  FROM src),
+  SELECT *, floor(target)::BIGINT AS whole FROM (
+    SELECT source, source_id, source_size,
+      least(2::DOUBLE * source_size, w * (SELECT max(lvl) FROM level)) AS target FROM weighted)),
 stream AS (
-  SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS whole,
+  SELECT row_number() OVER () AS rid, doc_id, size, g.source_id, source_size, target, whole,
     coalesce(sum(size) OVER (PARTITION BY s.source
       ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':mix'), doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+need AS (
+  SELECT source_id, whole, (whole + 255) // 256 AS slots,
+    coalesce(sum(whole) OVER (ORDER BY source_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low
+  FROM goal),
+points AS (
+  SELECT k AS slot, (y - floor(y)) * (SELECT sum(whole) FROM need)::DOUBLE AS x
+  FROM (SELECT k, (k // 67108864) * {2**26 * GOLDEN % 1.0!r}::DOUBLE
+      + (k % 67108864) * {GOLDEN!r}::DOUBLE AS y
+    FROM (SELECT unnest(range((SELECT sum(slots)::BIGINT FROM need))) AS k))),
+dealt AS (
+  SELECT slot, source_id, row_number() OVER (PARTITION BY source_id ORDER BY slot) - 1 AS block
+  FROM points JOIN need ON whole > 0 AND x >= low AND x < low + whole),
+late AS (
+  SELECT source_id, have, unnest(range(have, slots)) AS block
+  FROM (SELECT source_id, slots, (SELECT count(*) FROM dealt d WHERE d.source_id = n.source_id) AS have
+    FROM need n)),
+schedule AS (
+  SELECT slot, source_id, block FROM dealt JOIN need USING (source_id) WHERE block < slots
+  UNION ALL
+  SELECT (SELECT sum(slots)::BIGINT FROM need) + (block - have) * (SELECT count(*) FROM need) + source_id,
+    source_id, block FROM late),
+passes AS (
+  SELECT rid, source_id, epoch * source_size + start AS a,
+    least(epoch * source_size + start + size, whole) AS b
+  FROM stream, (SELECT unnest([0, 1]) AS epoch)),
+pieces AS (
+  SELECT rid, source_id, unnest(range(a // 256, (b - 1) // 256 + 1)) AS block FROM passes WHERE a < b),
+slotted AS (
+  SELECT rid, min(slot)::BIGINT AS first_slot, count(*)::BIGINT AS n_slots
+  FROM pieces JOIN schedule USING (source_id, block) GROUP BY rid)
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(start + size, whole) - start)
-   + greatest(0, least(source_size + start + size, whole) - source_size - start))::BIGINT AS taken
-FROM stream
+   + greatest(0, least(source_size + start + size, whole) - source_size - start))::BIGINT AS taken,
+  first_slot, coalesce(n_slots, 0) AS n_slots
+FROM stream LEFT JOIN slotted USING (rid)
 """
 
 EMBEDDING_NEAR_DEDUP = """
@@ -114,12 +150,8 @@ plain AS (
   SELECT l.rid, l.source, d.text,
     trim(lower(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'))) AS line
   FROM lines l JOIN docs d USING (rid)),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source),
 often AS (
-  SELECT p.source, line FROM plain p GROUP BY p.source, line
-  HAVING count(DISTINCT text) > 20
-    AND count(DISTINCT text) > 0.05 * (
-      SELECT any_value(n) FROM hosts h WHERE h.source IS NOT DISTINCT FROM p.source)),
+  SELECT p.source, line FROM plain p GROUP BY p.source, line HAVING count(DISTINCT text) > 20),
 removed AS (
   SELECT rid, sum(len(string_split(p.line, ' ')))::BIGINT AS removed
   FROM plain p JOIN often o ON o.line = p.line AND o.source IS NOT DISTINCT FROM p.source

@@ -8,7 +8,8 @@ the pieces that are left. At the end every bin shrinks to the shortest length th
 contents.
 
 Defined cases: a text that is null or without words has one row without a bin; repeated rows are separate
-documents; an empty table gives an empty result; other columns are ignored.
+documents; a missing doc_id is an id like any other; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 
 ``pack`` tells where the words of a document go; ``pack_texts`` gives the words too.
 """
@@ -162,9 +163,9 @@ def pack(
     )
     parts = pieces.where("n > 0 AND NOT is_full")
     shards = max(1, -(-parts.count() // settings.shard_pieces))
+    # Integers beside missing ones would come as doubles and lose digits.
     sharded = parts.select(
-        "doc_id",
-        *carried,
+        *(F.col(c).cast("string").alias(c) for c in ("doc_id", *carried)),
         "size",
         "piece",
         "first",
@@ -183,7 +184,9 @@ def pack(
         out["bin_length"] = [lengths[b] for b in bins]
         return out
 
-    best = sharded.groupBy("shard").applyInPandas(packed, schema=full.schema)
+    kinds = {f.name: "string" if f.name in ("doc_id", *carried) else f.dataType.simpleString() for f in full.schema}
+    best = sharded.groupBy("shard").applyInPandas(packed, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    best = best.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in full.schema))
     return best.unionByName(full).unionByName(nothing)
 
 
@@ -211,17 +214,16 @@ def _cut(text: Column, longest: int) -> Column:
 def pack_texts(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
     """``pack`` with the ``text`` of each piece; the pieces of a document add up to its whole text.
 
-    Only sizes are packed. The pieces then fetch their texts by doc_id, hash of the text and piece, which
-    holds however the rows are read again; copies share one text.
+    Only sizes are packed. The pieces then fetch their texts by document and piece, a document being its
+    doc_id and a hash of its text, which holds however the rows are read again; copies share one text.
+    Equal pieces are made one in each task before they are dealt, and the join takes them as dealt.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    placed = pack(keyed, settings, ("text_hash",))
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("none"))
+    key = F.concat_ws(":", F.hex(F.xxhash64("text")), name)
+    keyed = docs.select("doc_id", "text", key.alias("document"))
+    placed = pack(keyed, settings, ("document",))
     each = F.inline(_cut(F.col("text"), max(settings.lengths)))
-    cut = keyed.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), each)
-    cut = cut.withColumnRenamed("piece", "_piece").dropDuplicates(["_doc", "_hash", "_piece"])
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("_doc"))
-        & (F.col("text_hash") == F.col("_hash"))
-        & (F.col("piece") == F.col("_piece"))
-    )
-    return placed.join(cut, on, "left").drop("text_hash", "_doc", "_hash", "_piece")
+    cut = keyed.select(F.col("document").alias("cut_document"), each)
+    cut = cut.withColumnRenamed("piece", "cut_piece").dropDuplicates(["cut_document", "cut_piece"])
+    on = (F.col("document") == F.col("cut_document")) & (F.col("piece") == F.col("cut_piece"))
+    return placed.join(cut, on, "left").drop("document", "cut_document", "cut_piece")

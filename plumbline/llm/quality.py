@@ -1,36 +1,36 @@
 """Quality rules from counts within a document and from lines that many documents of a host share.
 
 Lines are normalised and hashed; the documents that have a line are counted per host (the source),
-texts that are equal counting once. A line above the limit is boilerplate: its words do not count as
-the document's own. A document of which too little is left is depleted and rejected.
-DataFrame functions only.
+texts that are equal counting once: what is copied whole is for the removal of duplicates, which keeps
+one copy, where this rule would keep none. A line above the limit is boilerplate, whatever the size of the
+host: its words do not count as the document's own. A document of which too little is left is
+depleted and rejected. DataFrame functions only.
 
 Defined cases: a text that is null or without words has no words and fails; a missing source is a host
 of its own; repeated rows each get the same result; an empty table gives an empty result; other columns
-are ignored.
+go along in ``document``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import let, stored, without_spaces, words
+from plumbline.llm.tables import let, salted_join, stored, without_spaces, words
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class QualityLimits:
-    """A line counts as boilerplate in more than ``line_documents`` documents of a host and in more
-    than ``line_share`` of them. A document is depleted with less than ``own_share`` of its words
-    left. The base rules: ``least_words``, and at most ``repeat_percent`` words in repeated windows.
+    """A line counts as boilerplate in more than ``line_documents`` documents of a host. A document is
+    depleted with less than ``own_share`` of its words left. The base rules: ``least_words``, and at most ``repeat_percent`` words in repeated windows.
     """
 
     line_documents: int = 20
-    line_share: float = 0.05
     own_share: float = 0.25
     least_words: int = 50
     repeat_percent: int = 50
@@ -90,32 +90,27 @@ def _counts(text: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, limits: QualityLimits) -> DataFrame:
-    """The documents with the counts of their own text and ``base_failed``."""
-    counted = docs.withColumn("_c", _counts(F.coalesce(F.col("text"), F.lit(""))))
-    n, repeats = F.col("_c.n_words"), F.col("_c.n_repeat_words")
+    """(document, key, counts of its own text, base_failed) of rows with ``document`` and ``key``."""
+    counted = docs.select("document", "key", _counts(F.coalesce(F.col("text"), F.lit(""))).alias("c"))
+    n, repeats = F.col("c.n_words"), F.col("c.n_repeat_words")
     failed = (n < limits.least_words) | (100 * repeats > limits.repeat_percent * n)
-    return counted.select(*docs.columns, "_c.*", failed.alias("base_failed"))
+    return counted.select("document", "key", "c.*", failed.alias("base_failed"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: its document's key and row, its hash and its words."""
+    """A row for each line with a word: its row, its document's key, its hash and its words."""
     flat = F.regexp_replace(
         F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " "
     )
     numbered = docs.select(
-        "doc_id",
-        "source",
-        "text",
-        F.xxhash64("text").alias("text_hash"),
-        F.monotonically_increasing_id().alias("row"),
+        "source", "text", "key", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row")
     )
     each = F.explode(F.split(flat, "\n")).alias("line")
-    keyed = numbered.select("doc_id", "source", "text_hash", "row", each)
-    keyed = keyed.withColumn("line", F.trim("line"))
+    keyed = numbered.select("source", "key", "text_hash", "row", each).withColumn("line", F.trim("line"))
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     return keyed.where("line <> ''").select(
-        "doc_id",
         "source",
+        "key",
         "text_hash",
         "row",
         F.xxhash64("line").alias("line_hash"),
@@ -125,58 +120,48 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, limits: QualityLimits) -> DataFrame:
     """(source, line_hash) of the lines that are boilerplate. All counts are map-side sums."""
-    texts = docs.select("source", F.xxhash64("text").alias("text_hash")).distinct()
-    hosts = texts.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_documents"))
     having = _lines(docs).select("source", "line_hash", "text_hash").distinct()
     counted = having.groupBy("source", "line_hash").agg(F.count("*").alias("documents"))
-    often = counted.where(F.col("documents") > limits.line_documents)
-    above = F.col("documents") > limits.line_share * F.col("host_documents")
-    return (
-        often.join(hosts, F.col("source").eqNullSafe(F.col("host")))
-        .where(above)
-        .select("source", "line_hash")
-    )
+    return counted.where(F.col("documents") > limits.line_documents).select("source", "line_hash")
 
 
 def boilerplate_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc_id, source, text_hash, removed): words in frequent lines, for documents that have some.
+    """(key, removed): words in frequent lines, for documents that have some.
 
     Summed for each row first, so that repeated rows do not add up.
     """
-    host = frequent.select(F.col("source").alias("host"), F.col("line_hash").alias("often"))
-    key = ["doc_id", "source", "text_hash"]
-    on = F.col("source").eqNullSafe(F.col("host")) & (F.col("line_hash") == F.col("often"))
-    rows = _lines(docs).join(host, on).groupBy(*key, "row")
-    return (
-        rows.agg(F.sum("line_words").alias("removed"))
-        .groupBy(*key)
-        .agg(F.max("removed").alias("removed"))
-    )
-
-
-def quality_rules(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """Every row of ``docs`` (doc_id, source, text and others) with the counts of its own text,
-    ``own_words`` left beside boilerplate, ``base_failed`` and ``kept``.
+    # A line may be in a third of all documents: its rows are dealt over salts.
+    found = salted_join(_lines(docs), frequent, ["source", "line_hash"], F.col("row"), "inner")
+    rows = found.groupBy("key", "row").agg(F.sum("line_words").alias("removed"))
+    return rows.groupBy("key").agg(F.max("removed").alias("removed"))
+
+
+def quality_rules(
+    docs: DataFrame,
+    limits: QualityLimits = QualityLimits(),
+    carried: Sequence[str] | None = None,
+) -> DataFrame:
+    """(document, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, own_words, base_failed,
+    kept) for every row of ``docs`` (doc_id, source, text and others): ``document`` holds its columns, or
+    those ``carried``; then come the counts of its own text, and the words left beside boilerplate.
     """
-    docs = docs.drop(*NEW_COLUMNS)
-    frequent = stored(frequent_lines(docs, limits), "lines")
-    removed = boilerplate_words(docs, frequent).select(
-        F.col("doc_id").alias("_doc"),
-        F.col("source").alias("_source"),
-        F.col("text_hash").alias("_hash"),
-        "removed",
-    )
-    removed = stored(removed, "removed")
-    counted = base_counts(docs, limits).withColumn("_text_hash", F.xxhash64("text"))
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("_doc"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_text_hash") == F.col("_hash"))
+    columns = docs.columns if carried is None else carried
+    # Rows that agree in doc_id, source and text have one result.
+    key = F.struct("doc_id", "source", "text", *(F.col(c).isNull() for c in ("doc_id", "source", "text")))
+    docs = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in columns)).alias("document"),
+        "source",
+        "text",
+        F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("plumbline"), key).alias("b")).alias("key"),
     )
+    frequent = stored(frequent_lines(docs, limits), "lines")
+    removed = boilerplate_words(docs, frequent)
+    removed = stored(removed.withColumnRenamed("key", "removed_key"), "removed")
+    counted = base_counts(docs, limits)
     own = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     kept = ~F.col("base_failed") & (own >= limits.own_share * F.col("n_words"))
-    return counted.join(removed, on, "left").select(
-        *docs.columns,
+    return counted.join(removed, F.col("key") == F.col("removed_key"), "left").select(
+        "document",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -186,15 +171,3 @@ def quality_rules(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> D
         "base_failed",
         kept.alias("kept"),
     )
-
-
-NEW_COLUMNS = (
-    "n_words",
-    "word_chars",
-    "n_symbols",
-    "n_dup_lines",
-    "n_repeat_words",
-    "own_words",
-    "base_failed",
-    "kept",
-)

@@ -61,9 +61,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_rules(_table(spark, sf_dir, "documents"))
+    judged = quality.quality_rules(_table(spark, sf_dir, "documents"), carried=["doc_id"])
     return judged.select(
-        "doc_id",
+        "document.doc_id",
         "n_words",
         "word_chars",
         "n_symbols",

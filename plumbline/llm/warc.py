@@ -214,18 +214,24 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stored(exact.mapInPandas(write, "path STRING, bytes BIGINT"), "archives")
 
 
-def read_archives(archives: DataFrame, folder: str, range_bytes: int = 8 << 20) -> DataFrame:
-    """The records of the files in ``archives``, read in ranges of ``range_bytes``."""
+def read_archives(
+    archives: DataFrame, folder: str, range_bytes: int = 8 << 20, task_ranges: int = 8
+) -> DataFrame:
+    """The records of the files in ``archives``, read in ranges of ``range_bytes``.
+
+    A range is a small row and much work, so the number of tasks is told: one for ``task_ranges``
+    ranges, dealt out in turn, and at least as many as there are cores.
+    """
     ship(archives.sparkSession)
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
-    ranges = archives.where("bytes > 0").select(
-        "path",
-        F.explode(starts).alias("start"),
-        F.col("bytes"),
-    )
+    held = archives.where("bytes > 0")
+    ranges = held.select("path", F.explode(starts).alias("start"), F.col("bytes"))
+    n = held.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(cores, -(-n // task_ranges))))
     ranges = ranges.select(
         "path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end")
-    ).repartition("path", "start")
+    ).repartition(tasks)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = _open_fs(folder)

@@ -128,6 +128,16 @@ def test_one_row_of_each_class_stays_with_its_columns(documents):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def test_clashing_columns_stay_as_they_are(spark):
+    schema = "doc_id BIGINT, text STRING, _text STRING, class_id STRING, document INT, key INT, n INT"
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [(2, text, "own", "c", 1, 2, 3), (1, text + " x", "other", "d", 4, 5, 6), (3, "a b", None, None, 7, 8, 9)]
+    rows += [(3, "a b", None, None, 7, 8, 9), (9, None, "n", "n", 0, 0, 0), (9, None, "n", "n", 0, 0, 0)]
+    kept = cr.first_of_each_class(spark.createDataFrame(rows, schema), SMALL)
+    assert kept.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[1], rows[2], rows[4], rows[5]])
+
+
 def test_prefixes_of_similar_sets_meet_under_any_order():
     rng = np.random.default_rng(1)
     universe = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))

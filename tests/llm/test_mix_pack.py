@@ -95,18 +95,43 @@ def test_reruns_agree_and_empty_tables(documents):
     assert {r["taken"] for r in mixing.taken_words(nothing, SMALL).collect()} == {0}
 
 
-def test_mixed_documents_repeat_whole_rows(documents):
-    rows = [(i, " ".join([f"w{i}"] * 20), "en", "small" if i < 5 else "z") for i in range(40)]
-    rows += [rows[0], (99, None, None, None), (98, "", "en", "z")]
-    docs = documents(rows)
-    out = mixing.mixed_documents(docs, SMALL)
-    assert out.columns == docs.columns
-    times = Counter(r["doc_id"] for r in out.collect())
-    assert all(times[i] == 2 for i in range(1, 5)) and times[0] == 4
-    assert 99 not in times and 98 not in times
-    words = sum(n * 20 for n in times.values())
-    assert abs(words - 1.5 * 41 * 20) <= 40
-    assert mixing.mixed_documents(docs.where("false"), SMALL).count() == 0
+def test_mixed_documents_give_each_source_its_target(spark):
+    """Whole documents as often as their source's stream passes them, the last one cut, in slot order."""
+    rng = random.Random(12)
+    made = lambda i: " \n".join(f"w{i}é{k}" for k in range(rng.choice([1, 5, 20, 33]))) + "\n"
+    rows = [(i, made(i), "en", "small" if i < 5 else "z") for i in range(60)]
+    rows += [rows[0], (rows[1][0], rows[1][1], "de", "small"), (99, None, None, None), (98, "", "en", "z")]
+    rows += [(None, "a b c", "en", None), (97, "x y", None, "en"), (97, "x y", "en", None)]
+    clash = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, key INT, slot STRING, _hash INT"
+    full = [(*r, None if r[1] is None else len(r[1]), 1, "s", 2) for r in rows]
+    out = mixing.mixed_documents(spark.createDataFrame(full, clash), SMALL).collect()
+    slots = [r["slot"] for r in out]
+    assert slots == sorted(slots) and len(out) > 60
+    given = {r[:4] for r in rows}
+    words, passes = Counter(), Counter()
+    for r in out:
+        d = r["document"]
+        whole = next(t for i, t, lang, s in given if (i, lang, s) == (d["doc_id"], d["lang"], d["source"]))
+        assert whole.startswith(d["text"]) and d["n_chars"] == len(d["text"]) and d["slot"] == "s"
+        assert whole.split()[: len(d["text"].split())] == d["text"].split()
+        words[d["source"]] += len(d["text"].split())
+        passes[d["source"]] += d["text"] != whole
+    _, target, _ = brute_mix(rows)
+    assert words == Counter({s: int(t + 1e-9) for s, t in target.items() if int(t + 1e-9)})
+    assert max(passes.values()) <= 1
+    times = Counter((r["document"]["doc_id"], r["document"]["lang"]) for r in out)
+    assert times[0, "en"] == 4 and times[1, "en"] == times[1, "de"] == 2 and 99 not in {i for i, _ in times}
+    assert mixing.mixed_documents(spark.createDataFrame([], clash), SMALL).count() == 0
+
+
+def test_slots_of_a_document(documents):
+    docs = documents(rows_of(5))
+    pieces = mixing.mix(docs, SMALL).where("slot IS NOT NULL").collect()
+    want = defaultdict(list)
+    for p in pieces:
+        want[p["doc_id"], p["source_id"], p["ord"]].append(p["slot"])
+    got = Counter((r["doc_id"], r["first_slot"], r["n_slots"]) for r in mixing.taken_words(docs, SMALL).collect() if r["n_slots"])
+    assert got == Counter((i, min(s), len(s)) for (i, _, _), s in want.items())
 
 
 SMALL_BINS = packing.PackSettings(lengths=(8, 16, 40), sequence_cost=2, shard_pieces=50)
@@ -148,6 +173,29 @@ def test_every_piece_is_in_one_bin_that_fits(documents):
     assert packing.pack(documents([]), SMALL_BINS).count() == 0
 
 
+def test_large_ids_beside_missing_ones_stay_exact(spark, documents):
+    ids = [9007199254740993, 9007199254740995, None, -9007199254740993]
+    rows = [(i, f"{'w ' * 45}of {i}", "en", "s") for i in ids]
+    docs = documents(rows)
+    assert {r["doc_id"] for r in packing.pack(docs, SMALL_BINS).collect()} == set(ids)
+    texts = defaultdict(str)
+    for r in sorted(packing.pack_texts(docs, SMALL_BINS).collect(), key=lambda r: r["first"]):
+        texts[r["doc_id"]] += r["text"]
+    assert texts == {r[0]: r[1] for r in rows}
+
+
+def test_the_texts_of_pieces_are_dealt_once(spark, documents):
+    """One exchange of the text: the join takes the pieces as the removal of equal ones dealt them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = packing.pack_texts(documents([(1, "a b", "en", "s")]), SMALL_BINS)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(cut_document" in line]
+    assert len(exchanges) == 1
+
+
 def test_pieces_have_the_texts_of_their_documents(spark, documents):
     rng = random.Random(10)
     space = lambda: rng.choice([" ", "\n", "  ", "\t\n ", "\x0b"])

@@ -119,7 +119,8 @@ def test_counts_equal_brute_force(documents):
     assert len(rows) == len(texts)
     for r in rows:
         counts = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
-        assert counts == brute_quality(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert counts == brute_quality(texts[r["document"]["doc_id"]]), texts[r["document"]["doc_id"]]
+        assert r["document"]["kept"] == "en"
         assert r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
         assert r["kept"] <= (not r["base_failed"])
 
@@ -135,8 +136,8 @@ def test_lines_of_many_documents_are_not_a_documents_own(documents):
     rows += [(300 + i, copy, "en", "a") for i in range(60)]  # one text, however often
     rows += [rows[0]]
     result = quality.quality_rules(documents(rows)).collect()
-    kept = {r["doc_id"]: r["kept"] for r in result}
-    own_words = {r["doc_id"]: r["own_words"] for r in result}
+    kept = {r["document"]["doc_id"]: r["kept"] for r in result}
+    own_words = {r["document"]["doc_id"]: r["own_words"] for r in result}
     assert not any(kept[i] for i in range(30)) and own_words[0] == 20
     assert all(kept[100 + i] for i in range(30)) and own_words[100] == 100
     assert all(kept[200 + i] for i in range(5)) and all(kept[300 + i] for i in range(60))
@@ -144,15 +145,19 @@ def test_lines_of_many_documents_are_not_a_documents_own(documents):
     assert quality.quality_rules(documents([])).count() == 0
 
 
-def test_pipeline_rejects_boilerplate_in_hosts_of_any_size(spark, documents):
+def test_boilerplate_is_told_in_hosts_of_any_size(spark, documents):
+    """One rule for the operator and the pipeline: a line in 30 documents of a host of 30 or of 2,000."""
     rng = random.Random(11)
     own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     shared, few = own(70), own(70)
     rows = [(i, f"{own(20)}\n{shared}", "en", "a") for i in range(30)]
     rows += [(100 + i, f"{own(20)}\n{few}", "en", "a") for i in range(20)]  # 20 are not above the limit
     rows += [(1000 + i, own(60), "en", "a") for i in range(1950)]
-    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, documents(rows), "").collect()}
-    assert kept == {r[0] for r in rows[30:]}
+    for part in (rows, rows[:50]):
+        docs = documents(part)
+        kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
+        judged = quality.quality_rules(docs, carried=["doc_id"]).where("kept").select("document.doc_id")
+        assert kept == {r["doc_id"] for r in judged.collect()} == {r[0] for r in part[30:]}
 
 
 PAGES = "page_id BIGINT, url STRING, html STRING, host STRING"

@@ -48,6 +48,18 @@ def test_stored_members_inside_a_payload_are_not_records():
     assert [r["page_id"] for r in records] == [1] and records[0]["url"] == ""
 
 
+def test_small_range_rows_are_read_in_many_tasks(spark, tmp_path):
+    """A range is one small row and megabytes to read; adaptive execution must not put all in one task."""
+    rows = [(i, f"http://x/{i}", f"page {i} " * 400) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    folder = f"{tmp_path}/warc"
+    archives = warc.write_archives(warc.with_first_of_equal(pages), folder)
+    read = warc.read_archives(archives, folder, range_bytes=512)
+    held = [n for n in read.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert sum(held) == 200 and len(held) >= 8 and max(held) < 100
+    assert warc.read_archives(archives.where("false"), folder).count() == 0
+
+
 def test_headers():
     plain = gzip.decompress(warc.encode_record(5, "http://a b\r\nX: y", b"abc", 2, True))
     head = plain.split(b"\r\n\r\n")[0].decode()

@@ -13,13 +13,9 @@ from plumbline.llm import count_rtree, mixing, packing, pii, quality
 from plumbline.llm.tables import stored
 
 
-# A number of documents alone says what boilerplate is; a share of the host's would grow with the table.
-QUALITY = quality.QualityLimits(line_share=0.0)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
-    return quality.quality_rules(docs, QUALITY).where("kept").select(*docs.columns)
+    return quality.quality_rules(docs).where("kept").select("document.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +33,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources has them."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix of sources has them, in its order."""
+    return mixing.mixed_documents(docs).select("document.*")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

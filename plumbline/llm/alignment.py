@@ -152,8 +152,9 @@ def align(a: Side, b: Side, a_ids: Sequence[int], b_ids: Sequence[int]) -> Align
     left, right = left[together], right[together]
     sides = []
     for last, n in ((left, len(a_ids)), (right, len(b_ids))):
-        cuts = np.unique(last) + 1
-        sides.append(of_sizes(np.diff(np.concatenate([[0], cuts])), np.arange(n), n))
+        # Links are in order; a token that ends several of them ends one group.
+        cuts = last[np.flatnonzero(np.diff(last, prepend=-1))] + 1
+        sides.append(of_sizes(np.diff(cuts, prepend=0), np.arange(n), n))
     return Alignment(a_ids, b_ids, overlaps, (left, right), *sides)
 
 

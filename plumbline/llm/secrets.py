@@ -1,9 +1,14 @@
-"""Secrets in text: fixed patterns, and runs of characters of high entropy.
+"""Secrets in text: fixed patterns, and stretches of characters of high entropy.
 
 Candidate strings are maximal runs of characters that keys are made of, holding a letter and a digit. A
-window slides over each; the counts of its characters change by the one that leaves and the one that
-enters, and so does its entropy. The limit depends on the class of the run: hexadecimal or
-wider. Runs on the allow-list are suppressed. DataFrame functions only.
+window slides over each. Its state carries how often each character is in it, packed into a few numbers: a step
+takes one from the character that leaves and adds one to that which enters, and the entropy follows
+from these two counts. The limit depends on the class of the run: hexadecimal or wider.
+
+Consecutive windows above the limit are one stretch. What the fixed patterns found is cut out of it, and so
+are placeholder words that stand between separators; each part that is left, without separators at its
+ends, is a span if it is still a window long, holds a letter and a digit and is not on the allow-list. Runs
+that are wholly of an allowed form are not looked into. DataFrame functions only.
 
 Entropies are compared as whole numbers of a millionth of a bit, so results do not depend on the order of sums.
 
@@ -30,11 +35,19 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 BASE_KINDS = 3
 
-# Placeholders, words joined by separators, integrity hashes and alphabets written out.
+# Characters of runs, twelve to a number of the window's state, five bits each.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PACKED, BITS = 12, 5
+
+# Words that mark what follows or precedes them as a path or a name, and so end a secret.
+PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme")
+# What makes a stretch a placeholder: such words inside it, alphabets written out, words and a number.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|^sha(?:1|256|384|512)-"
-    r"|0123456789|abcdefgh|^[a-z]+(?:[-_/+=][a-z]+)*[-_/+=]?[0-9]{1,4}$"
+    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh"
+    r"|^[a-z]+(?:[-_/+=][a-z]+)*[-_/+=]?[0-9]{1,4}$"
 )
+# Runs of these forms are no secrets as a whole: integrity hashes, words joined by separators.
+FORMS = r"(?i)^sha(?:1|256|384|512)-|^[a-z]+(?:[-_/+=][a-z]+)*[-_/+=]?[0-9]{1,4}$"
 
 
 @dataclass(frozen=True)
@@ -45,6 +58,11 @@ class EntropyLimits:
     hex_bits: float = 2.9
     wide_bits: float = 3.8
     allowed: str = ALLOWED
+    forms: str = FORMS
+
+    def __post_init__(self) -> None:
+        if not 1 < self.window < 1 << BITS:
+            raise ValueError(f"a window has 2 to {(1 << BITS) - 1} characters, not {self.window}")
 
 
 def scaled(count: int) -> int:
@@ -79,49 +97,134 @@ def _hits(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(shape)
 
 
-def _dense_part(run: Column, limits: EntropyLimits) -> Column:
-    """(first, last): starts of the first and the last window of the run above its limit."""
+def _stretches(run: Column, limits: EntropyLimits) -> Column:
+    """(first, last) of each stretch: starts of its first and its last window above the run's limit."""
     size = limits.window
-    table = F.array(*(F.lit(scaled(c)) for c in range(size + 1)))
+    table = F.array(*(F.lit(scaled(c)) for c in range(size + 2)))
     is_hex = run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     most = F.when(is_hex, most_sum(limits.hex_bits, size)).otherwise(
         most_sum(limits.wide_bits, size)
     )
+    one = F.lit(1).cast("long")
 
-    def scan(chars: Column) -> Column:
-        def count(part: Column, of: Column) -> Column:
-            return F.size(F.filter(part, lambda c: c == of))
+    def place(char: Column) -> Column:
+        """Where a character's count is: the number that holds it, how far up, and one there."""
+        return let(
+            F.instr(F.lit(ALPHABET), char) - 1,
+            lambda code: F.struct(
+                F.floor(code / PACKED).cast("int").alias("word"),
+                (code % PACKED * BITS).alias("shift"),
+                F.call_function("shiftleft", one, code % PACKED * BITS).alias("unit"),
+            ),
+        )
 
-        def step(state: Column, i: Column) -> Column:
-            """Character ``i`` enters the window, and character ``i - size`` leaves."""
-            begin = F.greatest(F.lit(0), i - size)
-            held = F.slice(chars, begin + 1, F.least(i, F.lit(size)))
-            leaves = F.get(chars, i - size)
-            n = count(held, leaves)
-            less = F.when(i >= size, F.get(table, n) - F.get(table, n - 1)).otherwise(0)
-            stays = F.slice(chars, F.greatest(F.lit(0), i - size + 1) + 1, F.least(i, F.lit(size - 1)))
-            m = count(stays, F.get(chars, i))
-            total = state["total"] - less + F.get(table, m + 1) - F.get(table, m)
-            return let(
-                total,
-                lambda t: let(
-                    (i >= size - 1) & (t <= most),
-                    lambda dense: F.struct(
-                        t.alias("total"),
-                        F.when(dense & (state["first"] < 0), i - size + 1)
-                        .otherwise(state["first"])
-                        .alias("first"),
-                        F.when(dense, i - size + 1).otherwise(state["last"]).alias("last"),
-                    ),
-                ),
-            )
+    def count(held: Column, at: Column) -> Column:
+        up = F.call_function("shiftright", F.get(held, at["word"]), at["shift"])
+        return up.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
-        start = F.struct(
-            F.lit(0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
-        )
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step)
+    def changed(held: Column, at: Column, by: int) -> Column:
+        return F.transform(held, lambda h, k: F.when(k == at["word"], h + at["unit"] * by).otherwise(h))
 
-    return let(F.split(run, ""), scan)
+    pair = "struct<first:int,last:int>"
+    state = (
+        f"struct<total:int,held:array<bigint>,open:int,done:array<{pair}>>"
+    )
+
+    def scan(places: Column) -> Column:
+        def left(before: Column, i: Column) -> Column:
+            """The state without the character that the window leaves behind."""
+
+            def without(at: Column) -> Column:
+                return let(
+                    count(before["held"], at),
+                    lambda n: F.struct(
+                        (before["total"] - F.get(table, n) + F.get(table, n - 1)).alias("total"),
+                        changed(before["held"], at, -1).alias("held"),
+                    ),
+                )
+
+            same = F.struct(before["total"].alias("total"), before["held"].alias("held"))
+            return F.when(i >= size, let(F.get(places, i - size), without)).otherwise(same)
+
+        def step(before: Column, i: Column) -> Column:
+            def entered(now: Column) -> Column:
+                def with_it(at: Column) -> Column:
+                    return let(
+                        count(now["held"], at),
+                        lambda m: ended(
+                            now["total"] - F.get(table, m) + F.get(table, m + 1),
+                            changed(now["held"], at, 1),
+                        ),
+                    )
+
+                return let(F.get(places, i), with_it)
+
+            def ended(total: Column, held: Column) -> Column:
+                dense = (i >= size - 1) & (total <= most)
+                start, is_open = i - size + 1, before["open"] >= 0
+                closed = F.array(F.struct(before["open"].alias("first"), (start - 1).alias("last")))
+                return F.struct(
+                    total.alias("total"),
+                    held.alias("held"),
+                    F.when(dense & is_open, before["open"]).when(dense, start).otherwise(-1).alias("open"),
+                    F.when(~dense & is_open, F.concat(before["done"], closed))
+                    .otherwise(before["done"])
+                    .alias("done"),
+                ).cast(state)
+
+            return let(left(before, i), entered)
+
+        words = -(-len(ALPHABET) // PACKED)
+        begin = F.struct(
+            F.lit(0).alias("total"),
+            F.array_repeat(F.lit(0).cast("long"), words).alias("held"),
+            F.lit(-1).alias("open"),
+            F.array().cast(f"array<{pair}>").alias("done"),
+        ).cast(state)
+        last = F.size(places) - size
+
+        def close(end: Column) -> Column:
+            rest = F.array(F.struct(end["open"].alias("first"), last.alias("last")).cast(pair))
+            return F.when(end["open"] >= 0, F.concat(end["done"], rest)).otherwise(end["done"])
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), begin, step, close)
+
+    return let(F.transform(F.split(run, ""), place), scan)
+
+
+def _parts(stretch: Column, base: Column, limits: EntropyLimits) -> Column:
+    """The spans that are left of a stretch (start, end, text) beside the base spans of its text."""
+    crossing = F.filter(base, lambda b: (b["start"] < stretch["end"]) & (stretch["start"] < b["end"]))
+
+    def blank(text: Column, b: Column) -> Column:
+        low, high = F.greatest(b["start"], stretch["start"]), F.least(b["end"], stretch["end"])
+        return F.overlay(text, F.call_function("repeat", F.lit(" "), high - low), low - stretch["start"] + 1, high - low)
+
+    text = F.aggregate(crossing, stretch["text"], blank)
+    for word in PLACEHOLDERS:
+        text = F.regexp_replace(text, f"(?i)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", " " * len(word))
+    part = rf"[A-Za-z0-9][A-Za-z0-9+/_=-]{{{limits.window - 2},}}[A-Za-z0-9+=]"
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    begin = F.struct(stretch["start"].alias("at"), empty.alias("out"))
+
+    def walk(hits: Column, gaps: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            hit, start = F.get(hits, i), state["at"] + F.length(F.get(gaps, i))
+            good = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & ~hit.rlike(limits.allowed)
+            end = start + F.length(hit)
+            span = F.array(F.struct(start.alias("start"), F.lit(BASE_KINDS).alias("kind"), end.alias("end")))
+            return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
+
+        found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda s: s["out"])
+        return F.when(F.size(hits) > 0, found).otherwise(empty)
+
+    return let(
+        text,
+        lambda t: let(
+            F.regexp_extract_all(t, F.lit(part), F.lit(0)),
+            lambda hits: let(F.split(t, part, -1), lambda gaps: walk(hits, gaps)),
+        ),
+    )
 
 
 def joined_spans(spans: Column) -> Column:
@@ -154,7 +257,7 @@ def find_secrets(docs: DataFrame, limits: EntropyLimits = EntropyLimits()) -> Da
     is_candidate = (
         F.col("hit").rlike("[0-9]")
         & F.col("hit").rlike("[A-Za-z]")
-        & ~F.col("hit").rlike(limits.allowed)
+        & ~F.col("hit").rlike(limits.forms)
     )
     kept = (
         F.when(F.col("kind") == 0, F.length(value) >= 8)
@@ -163,37 +266,33 @@ def find_secrets(docs: DataFrame, limits: EntropyLimits = EntropyLimits()) -> Da
     )
     placed = rows.withColumn("end", end).withColumn("kept", kept)
     dense = F.when(
-        F.col("kept") & (F.col("kind") == BASE_KINDS), _dense_part(F.col("hit"), limits)
+        F.col("kept") & (F.col("kind") == BASE_KINDS), _stretches(F.col("hit"), limits)
     )
     placed = placed.select(
-        "doc_id", "row", "kind", "kept", "end", size.alias("size"), dense.alias("dense")
+        "doc_id", "row", "kind", "kept", "end", "hit", size.alias("size"), dense.alias("dense")
     )
     begin = F.col("end") - F.col("size")
     span = F.when(
-        F.col("kind") < BASE_KINDS,
+        F.col("kept") & (F.col("kind") < BASE_KINDS),
         F.struct(begin.alias("start"), F.col("kind"), F.col("end").alias("end")),
-    ).otherwise(
-        F.struct(
-            (begin + F.col("dense.first")).alias("start"),
-            F.col("kind"),
-            (begin + F.col("dense.last") + limits.window).alias("end"),
-        )
-    )
-    good = F.col("kept") & ((F.col("kind") < BASE_KINDS) | (F.col("dense.first") >= 0))
-    grouped = placed.groupBy("row", "doc_id").agg(
-        F.sort_array(F.collect_list(F.when(good, span))).alias("all")
     )
-    base = F.filter("all", lambda s: s["kind"] < BASE_KINDS)
-    # An entropy span is new only where no pattern has found anything.
-    spans = let(
-        base,
-        lambda b: F.filter(
-            "all",
-            lambda s: (s["kind"] < BASE_KINDS)
-            | ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])),
+    stretches = F.transform(
+        "dense",
+        lambda d: F.struct(
+            (begin + d["first"]).cast("int").alias("start"),
+            (begin + d["last"] + limits.window).cast("int").alias("end"),
+            F.substring(F.col("hit"), d["first"] + 1, d["last"] - d["first"] + limits.window).alias("text"),
         ),
     )
-    return grouped.select("doc_id", spans.alias("spans"))
+    shape = "array<struct<start:int,kind:int,end:int>>"
+    spans = placed.select(
+        "row", "doc_id", span.alias("span"), F.when(F.size("dense") > 0, stretches).alias("stretches")
+    )
+    grouped = spans.groupBy("row", "doc_id").agg(
+        F.collect_list("span").cast(shape).alias("base"), F.flatten(F.collect_list("stretches")).alias("dense")
+    )
+    added = F.flatten(F.transform("dense", lambda s: _parts(s, F.col("base"), limits)))
+    return grouped.select("doc_id", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
 def secret_counts(docs: DataFrame, limits: EntropyLimits = EntropyLimits()) -> DataFrame:

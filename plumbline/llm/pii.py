@@ -1,14 +1,17 @@
 """Personal data by weak supervision.
 
 Fixed patterns give the base spans, which always stay. Candidates are looser matches: base matches that fail their check,
-national telephone and identity numbers, bank accounts, and names. For each, labelers vote for or against or not at all: a strict
-form, gazetteers, and the words before it and personal data near it. Expectation-maximisation
-estimates how reliable each labeler is and how likely each pattern of votes; a logistic classifier is
-trained on these likelihoods over all candidates of the corpus, and candidates that it accepts are added
-where they overlap nothing found before.
+national telephone and identity numbers, bank accounts, and as names all runs of capitalised words. For each, labelers vote for or
+against or not at all: a strict form, gazetteers, the nearest cue before it and personal data near it.
+Expectation-maximisation estimates how reliable each labeler is and how likely each pattern of votes; a
+logistic classifier is trained on these likelihoods over all candidates of the corpus, and candidates
+that it accepts are added where they overlap nothing found before.
+
+The gazetteer of given names grows from the corpus: of the names that begin with a word, how many stand behind
+a title or a cue such as "name:". These counts are kept by a hash of the word, in a table of fixed size.
 
 Candidates are reduced to patterns (kind, votes, two features of form), of which there are at most a few
-thousand whatever the corpus; only counts of patterns reach the driver.
+thousand whatever the corpus; only counts of patterns and of the table's entries reach the driver.
 
 Defined cases: a null text is empty; repeated rows each get their result; an empty table, or one without
 candidates, adds nothing; other columns are ignored.
@@ -18,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,7 +48,8 @@ _DIGIT = re.compile(r"[0-9]")
 _TELEPHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _BANK = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])")
-_NAME = re.compile(r"(?<!\w)[A-Z][a-zà-ÿ]+ [A-Z][a-zà-ÿ]+(?!\w)")
+_CAPITALS = re.compile(r"(?<!\w)[A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)+(?!\w)")
+_SENTENCE_ENDS = re.compile(r"(?:^|[.!?:;\n])[\"')\]]*\s*$")
 
 TITLES = frozenset("mr mrs ms dr prof herr frau señor señora monsieur madame mme".split())
 GIVEN_NAMES = frozenset(
@@ -51,6 +57,11 @@ GIVEN_NAMES = frozenset(
     "James Jean John Jose Juan Julia Karl Klaus Laura Linda Louis Lucia Luis Marie Maria Mary "
     "Michael Miguel Paul Pedro Peter Pierre Robert Sarah Sofia Sophie Susan Thomas Wolfgang".split()
 )
+# Capitalised words that are no part of a person's name.
+NOT_NAMES = frozenset(
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July "
+    "August September October November December Street Road Avenue University Company Inc Ltd City Park".split()
+)
 BANK_COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
 CUES = frozenset(
     "account address birth call card contact credit customer email fax iban id identity insurance "
@@ -64,6 +75,8 @@ AGAINST = frozenset(
 _WORD = re.compile(r"\w+")
 BEFORE = 40
 NEAR = 100
+# Places of the gazetteer that grows from the corpus.
+NAME_BUCKETS = 1 << 16
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -116,50 +129,105 @@ def _form(kind: str, found: str) -> int:
     if kind == "telephone":
         return -1 if digits[0] in "01" or digits[3] in "01" else 1
     if kind == "name":
-        return 0
+        return -1 if NOT_NAMES.intersection(found.split(" ")) else 0
     return -1
 
 
-def _gazetteer(kind: str, found: str, before: list[str]) -> int:
+def _gazetteer(kind: str, found: str) -> int:
     if kind == "bank":
         return 1 if found[:2] in BANK_COUNTRIES else -1
-    if kind == "name":
-        return 1 if found.split(" ")[0] in GIVEN_NAMES or before[-1:] and before[-1] in TITLES else -1
+    return 1 if kind == "name" and found.split(" ")[0] in GIVEN_NAMES else 0
+
+
+def _cue(before: list[str]) -> int:
+    """What the nearest cue says; a title counts where it is the last word."""
+    if before and before[-1] in TITLES:
+        return 1
+    for word in reversed(before):
+        if word in CUES:
+            return 1
+        if word in AGAINST:
+            return -1
     return 0
 
 
-def candidates(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, str]]]:
-    """Base spans, and candidates with their patterns."""
+def names(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of two capitalised words or more, without titles before them, and without a
+    first word that may have its capital from the sentence it begins, if two words are left.
+    """
+    for m in _CAPITALS.finditer(text):
+        words, start = m[0].split(" "), m.start()
+        titled = False
+        while words and words[0].lower() in TITLES:
+            start += len(words.pop(0)) + 1
+            titled = True
+        begins = not titled and len(words) > 2 and words[0] not in GIVEN_NAMES
+        if begins and _SENTENCE_ENDS.search(text[max(0, start - BEFORE) : start]):
+            start += len(words.pop(0)) + 1
+        if len(words) > 1:
+            yield start, m.end()
+
+
+def name_bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % NAME_BUCKETS
+
+
+def candidates(text: str) -> tuple[list[tuple[int, str, int]], list[tuple]]:
+    """Base spans, and candidates (start, kind, end, pattern, bucket, trusted): of a name that no list
+    has, ``bucket`` is the place of its first word in the grown gazetteer (-1 otherwise), and ``trusted``
+    says that a title or a cue comes before it.
+    """
     good, failed = base_spans(text)
     found = list(failed)
     if _DIGIT.search(text):
         for kind, pattern in (("bank", _BANK), ("identity", _IDENTITY), ("telephone", _TELEPHONE)):
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
     out = []
-    names = ((m.start(), "name", m.end()) for m in _NAME.finditer(text))
     good_starts = [s for s, _, _ in good]
-    for start, kind, end in sorted([*found, *names]):
+    for start, kind, end in sorted([*found, *((a, "name", b) for a, b in names(text))]):
         before = [w.lower() for w in _WORD.findall(text[max(0, start - BEFORE) : start])]
         part = text[start:end]
-        listed = _gazetteer(kind, part, before)
-        if kind == "name" and listed < 0:
-            continue  # two capitals alone are no candidate
-        cue = 1 if CUES.intersection(before) else -1 if AGAINST.intersection(before) else 0
+        cue = _cue(before)
         at = int(np.searchsorted(good_starts, start - NEAR))
         near = 1 if at < len(good) and good_starts[at] < end + NEAR else 0
+        listed = _gazetteer(kind, part)
         votes = (_form(kind, part), listed, cue, near)
         separators = int(any(not c.isalnum() for c in part))
         pattern = f"{kind}|{','.join(map(str, votes))}|{min(len(part) // 8, 4)}|{separators}"
-        out.append((start, kind, end, pattern))
+        bucket = name_bucket(part.split(" ")[0]) if kind == "name" and not listed else -1
+        out.append((start, kind, end, pattern, bucket, cue > 0))
     return good, out
 
 
+def grown_votes(counts: Iterable[tuple[int, int, int]]) -> np.ndarray:
+    """The vote of each place of the table, from (bucket, names, trusted names)."""
+    votes = np.zeros(NAME_BUCKETS + 1, dtype=np.int8)  # the last is for candidates without a bucket
+    for bucket, n, trusted in counts:
+        if trusted >= 2 and 5 * trusted >= n:
+            votes[bucket] = 1
+        elif n >= 20 and 50 * trusted < n:
+            votes[bucket] = -1
+    return votes
+
+
+def voted(pattern: str, vote: int) -> str:
+    """The pattern of a candidate with the vote of the grown gazetteer, if that has one."""
+    if not vote:
+        return pattern
+    kind, votes, rest = pattern.split("|", 2)
+    form, _, others = votes.split(",", 2)
+    return f"{kind}|{form},{vote},{others}|{rest}"
+
+
 @dataclass(frozen=True)
 class SpanClassifier:
-    """Weights of the trained classifier; ``probability`` of a pattern. Empty: nothing is accepted."""
+    """Weights of the trained classifier; ``probability`` of a pattern. Empty: nothing is accepted.
+    ``names`` has the votes of the grown gazetteer.
+    """
 
     weights: dict[str, float]
     reliability: dict[str, tuple[float, float]]
+    names: np.ndarray | None = None
 
     def probability(self, pattern: str) -> float:
         if not self.weights:
@@ -174,34 +242,48 @@ def features(pattern: str) -> list[str]:
     return ["all", f"kind={kind}", *named, f"length={length}", f"separators={separators}"]
 
 
+def _estimated(
+    n: np.ndarray, votes: np.ndarray, likely: np.ndarray, rounds: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """How likely each pattern of votes is personal data, and by class and labeler the rates of votes
+    against, none and for.
+    """
+    rates = np.zeros((2, len(LABELERS), 3))
+    for _ in range(rounds):
+        share = (n @ likely + 1) / (n.sum() + 4)
+        odds = np.full(len(n), np.log(share / (1 - share)))
+        for j in range(len(LABELERS)):
+            for y, weight in enumerate((n * (1 - likely), n * likely)):
+                seen = np.array([weight[votes[:, j] == v].sum() for v in (-1, 0, 1)])
+                # Prior: a labeler is right more often than not.
+                seen += (1.0, 1.0, 3.0) if y else (3.0, 1.0, 1.0)
+                rates[y, j] = seen / seen.sum()
+            odds += np.log(rates[1, j, votes[:, j] + 1] / rates[0, j, votes[:, j] + 1])
+        likely = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return likely, rates
+
+
 def learn(counts: dict[str, int], rounds: int = 60) -> SpanClassifier:
-    """Expectation-maximisation over the counted patterns, then logistic regression on its result."""
+    """Expectation-maximisation over the counted patterns, then logistic regression on its result.
+
+    How often a labeler votes for, not at all, or against is estimated for each kind by itself, as most
+    labelers know some kinds only: whether they vote would else tell the kinds apart.
+    """
     if not counts:
         return SpanClassifier({}, {})
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], dtype=float)
-    kinds = [p.split("|")[0] for p in patterns]
+    kinds = np.array([p.split("|")[0] for p in patterns])
     votes = np.array([[int(v) for v in p.split("|")[1].split(",")] for p in patterns])
-    # Begin with the majority of the votes, then estimate rates of votes for and against by class.
+    # Begin with the majority of the votes.
     likely = 1 / (1 + np.exp(-votes.sum(axis=1).astype(float) + 0.5))
-    place = {k: np.array([x == k for x in kinds]) for k in set(kinds)}
-    rates = np.zeros((2, len(LABELERS), 3))
-    for _ in range(rounds):
-        for y, weight in enumerate((n * (1 - likely), n * likely)):
-            for j in range(len(LABELERS)):
-                seen = np.array([weight[votes[:, j] == v].sum() for v in (-1, 0, 1)]) + 1.0
-                # Prior: a labeler is right more often than not.
-                seen += np.array([2.0, 0.0, 0.0]) if y == 0 else np.array([0.0, 0.0, 2.0])
-                rates[y, j] = seen / seen.sum()
-        log = np.zeros((2, len(patterns)))
-        for y in (0, 1):
-            for j in range(len(LABELERS)):
-                log[y] += np.log(rates[y, j, votes[:, j] + 1])
-        for mask in place.values():
-            prior = (n[mask] @ likely[mask] + 1) / (n[mask].sum() + 4)
-            log[0, mask] += np.log(1 - prior)
-            log[1, mask] += np.log(prior)
-        likely = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
+    trust = {}
+    for kind in sorted(set(kinds)):
+        own = kinds == kind
+        likely[own], rates = _estimated(n[own], votes[own], likely[own], rounds)
+        trust |= {
+            f"{kind} {name}": (float(rates[1, j, 2]), float(rates[0, j, 0])) for j, name in enumerate(LABELERS)
+        }
     names = sorted({f for p in patterns for f in features(p)})
     column = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(patterns), len(names)))
@@ -217,40 +299,44 @@ def learn(counts: dict[str, int], rounds: int = 60) -> SpanClassifier:
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    trust = {
-        name: (float(rates[1, j, 2]), float(rates[0, j, 0])) for j, name in enumerate(LABELERS)
-    }
     return SpanClassifier({f: round(float(w[i]), 9) for f, i in column.items()}, trust)
 
 
 def _accepted(
     good: list[tuple[int, str, int]],
-    found: list[tuple[int, str, int, str]],
+    found: list[tuple],
     probability: dict[str, float],
+    names: np.ndarray | None,
 ) -> list[tuple[int, str, int]]:
     """Base spans and accepted candidates that overlap nothing accepted before; in order."""
     added: list[tuple[int, str, int]] = []
-    if not any(probability.get(p, 0.0) >= 0.5 for _, _, _, p in found):
+    vote = (lambda bucket: 0) if names is None else (lambda bucket: int(names[bucket]))
+    likely = [probability.get(voted(f[3], vote(f[4])), 0.0) >= 0.5 for f in found]
+    if not any(likely):
         return good
     starts = np.array([s for s, _, _ in good], dtype=np.int64)
     reach = np.maximum.accumulate(np.array([e for _, _, e in good], dtype=np.int64))
     last = -1
-    for start, kind, end, pattern in found:
+    for (start, kind, end, *_), accepted in zip(found, likely, strict=True):
         at = int(np.searchsorted(starts, end))
-        if probability.get(pattern, 0.0) >= 0.5 and start >= last and not (at and reach[at - 1] > start):
+        if accepted and start >= last and not (at and reach[at - 1] > start):
             added.append((start, kind, end))
             last = end
     return sorted([*good, *added], key=lambda s: (s[0], KINDS.index(s[1])))
 
 
 SPAN = "struct<start:int,kind:string,end:int>"
-FOUND = f"struct<good:array<{SPAN}>,found:array<struct<start:int,kind:string,end:int,pattern:string>>>"
+CANDIDATE = ("start", "kind", "end", "pattern", "bucket", "trusted")
+FOUND = (
+    f"struct<good:array<{SPAN}>,found:array<struct<start:int,kind:string,end:int,pattern:string,"
+    "bucket:int,trusted:boolean>>>"
+)
 
 
 def _extract(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         rows = [candidates(t or "") for t in batch]
-        span = lambda s: dict(zip(("start", "kind", "end", "pattern"), s, strict=False))
+        span = lambda s: dict(zip(CANDIDATE, s, strict=False))
         yield pd.DataFrame(
             {"good": [[span(s) for s in g] for g, _ in rows], "found": [[span(s) for s in f] for _, f in rows]}
         )
@@ -272,10 +358,22 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def learn_from(found: DataFrame) -> SpanClassifier:
-    """The classifier of all candidates in column ``x``."""
-    counted = found.select(F.explode("x.found.pattern").alias("pattern")).groupBy("pattern")
-    rows = counted.agg(F.count("*").alias("n")).collect()  # a row for each pattern
-    return learn({r["pattern"]: r["n"] for r in rows})
+    """The classifier of all candidates in column ``x``, with the gazetteer that they grow."""
+    each = found.select(F.explode("x.found").alias("f")).where("f.bucket >= 0")
+    table = each.groupBy("f.bucket").agg(F.count("*").alias("n"), F.count_if("f.trusted").alias("trusted"))
+    votes = grown_votes((r["bucket"], r["n"], r["trusted"]) for r in table.collect())  # NAME_BUCKETS rows
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter[str] = Counter()
+        for frame in frames:
+            for one in frame["found"]:
+                total.update(voted(f["pattern"], int(votes[f["bucket"]])) for f in one)
+        if total:
+            yield pd.DataFrame({"pattern": list(total), "n": list(total.values())})
+
+    counted = found.select("x.found").mapInPandas(count, "pattern STRING, n BIGINT").groupBy("pattern")
+    rows = counted.agg(F.sum("n").alias("n")).collect()  # a row for each pattern
+    return replace(learn({r["pattern"]: r["n"] for r in rows}), names=votes)
 
 
 def _probabilities(model: SpanClassifier) -> dict[str, float]:
@@ -299,13 +397,13 @@ def digest_columns(model: SpanClassifier):
             rows = []
             for g, f in zip(frame["good"], frame["found"], strict=True):
                 good = [(s["start"], s["kind"], s["end"]) for s in g]
-                found = [(s["start"], s["kind"], s["end"], s["pattern"]) for s in f]
+                found = [tuple(s[c] for c in CANDIDATE) for s in f]
                 kinds = [k for _, k, _ in good]
                 rows.append(
                     (
                         *(kinds.count(k) for k in BASE_KINDS),
                         hashlib.sha256(text(good).encode()).hexdigest(),
-                        text(_accepted(good, found, likely)),
+                        text(_accepted(good, found, likely, model.names)),
                     )
                 )
             yield pd.DataFrame(rows, columns=[*names, "base_sha256", "spans"])
@@ -319,14 +417,15 @@ def redacted_text(model: SpanClassifier):
 
     def redact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([None if t is None else redact_one(t, likely) for t in batch], dtype=object)
+            out = [None if t is None else redact_one(t, likely, model.names) for t in batch]
+            yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(redact, "string")
 
 
-def redact_one(text: str, probability: dict[str, float]) -> str:
+def redact_one(text: str, probability: dict[str, float], names: np.ndarray | None = None) -> str:
     out, at = [], 0
-    for start, kind, end in _accepted(*candidates(text), probability):
+    for start, kind, end in _accepted(*candidates(text), probability, names):
         if start >= at:
             out += [text[at:start], f"[{kind.upper()}]"]
             at = end
@@ -337,5 +436,5 @@ def redact_one(text: str, probability: dict[str, float]) -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``, by a classifier trained on all of it."""
-    model = learn_from(extracted(docs))
+    model = learn_from(stored(extracted(docs), "spans"))
     return docs.withColumn("text", redacted_text(model)("text"))

@@ -71,16 +71,19 @@ fact AS (
   )
 ),
 results AS (SELECT * EXCLUDE (c_mktsegment) FROM fact WHERE fiscal_year <= 2023),
-plan_all AS (
-  SELECT operatingunit, country,
+marked AS (
+  SELECT * REPLACE (
     CASE WHEN c_mktsegment = 'MACHINERY' THEN psnu || '_Military'
          WHEN c_mktsegment = 'BUILDING' THEN ' ' || psnu || chr(9)
-         ELSE psnu END AS psnu,
-    psnuuid, indicator, numeratordenom,
+         ELSE psnu END AS psnu)
+  FROM fact
+),
+plan_all AS (
+  SELECT operatingunit, country, psnu, psnuuid, indicator, numeratordenom,
     CASE WHEN standardizeddisaggregate = 'KeyPopAbr' THEN 'KeyPop'
          ELSE standardizeddisaggregate END AS standardizeddisaggregate,
     fiscal_year, targets, cumulative
-  FROM fact
+  FROM marked
   WHERE fiscal_year >= 2024 AND indicator <> 'GEND_GBV'
     AND (standardizeddisaggregate IN ('Age/Sex', 'KeyPop', 'KeyPopAbr')
       OR (indicator = 'PrEP_CT' AND numeratordenom = 'N'
@@ -163,11 +166,11 @@ def no_pairs(pairs) -> str:
     )
 
 
-def matched(scope: str) -> str:
+def matched(scope: str, rows: str = "results") -> str:
     """Result rows in scope that the mapping lists, with their final names."""
     return f"""
 kept AS (
-  SELECT * FROM results r WHERE {scope}
+  SELECT * FROM {rows} r WHERE {scope}
     AND EXISTS (SELECT 1 FROM adjusted a WHERE {SAME_TRIPLE})
 ),
 matched AS (
@@ -290,6 +293,19 @@ CENTRAL_AMERICA = regional_views(EUROPE, "EUROPE", False, True)
 CENTRAL_AMERICA_BY_COUNTRY = regional_views(EUROPE, "EUROPE", True, True)
 
 
+EVERY_YEAR = f"""{matched(f"{ASIA} AND fiscal_year <> 2024", "fact")},{placed(ASIA, "ASIA")},
+sums AS (
+  SELECT indicator, {POPULATION} AS all_or_KP, fiscal_year, coalesce(sum(targets), 0) AS targets
+  FROM (SELECT {DETAIL}, targets FROM matched UNION ALL SELECT {DETAIL}, targets FROM cleaned_plan)
+  WHERE fiscal_year >= 2022 AND {no_pairs(REGIONAL_EXCLUSIONS)} GROUP BY ALL
+),
+pivoted AS (
+  SELECT indicator, all_or_KP,
+    {", ".join(f'max(targets) FILTER (fiscal_year = {y}) AS "FY{y - 2000}"' for y in range(2022, 2028))}
+  FROM sums GROUP BY ALL
+)"""
+
+
 def country_table(section: str, title: str, heading: str, percent_text: bool = False) -> str:
     shown = {
         "targets_FY22": "targets_FY22",
@@ -351,6 +367,22 @@ ORACLE = {
     "newest_source": (
         "SELECT o_orderpriority, count(*) AS n_orders FROM orders GROUP BY o_orderpriority"
     ),
+    "newest_of_several": """SELECT o_orderpriority, count(*) AS n_orders FROM orders
+      WHERE o_orderstatus = 'P' GROUP BY o_orderpriority""",
+    "conform_types": with_views(
+        f"SELECT operatingunit, country, {TRIPLE}, fiscal_year, targets, cumulative, mech_code FROM fact"
+    ),
+    "damaged_lines": """
+WITH lines AS (
+  SELECT CASE WHEN o_orderstatus = 'P' THEN 'too few fields' WHEN o_orderkey % 7 = 0 THEN 'too many fields'
+      WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'open quote' ELSE 'none' END AS reason,
+    length(o_orderpriority) + length(o_orderstatus) + length(CAST(o_orderkey AS VARCHAR)) + 2 AS whole,
+    length(CAST(o_orderkey AS VARCHAR)) AS digits
+  FROM orders)
+SELECT reason, count(*) AS n_lines, CAST(sum(CASE reason WHEN 'too few fields' THEN whole - digits - 1
+  WHEN 'too many fields' THEN whole + 6 WHEN 'open quote' THEN whole + 1 ELSE whole END) AS BIGINT) AS n_chars
+FROM lines GROUP BY reason
+""",
     "column_listing": with_views(
         f"SELECT operatingunit, country, psnu, psnuuid, {TRIPLE}, fiscal_year, targets FROM fact"
     ),
@@ -405,8 +437,7 @@ ORACLE = {
     ),
     "left_join_hierarchy": with_views(
         f"""SELECT p.operatingunit, p.psnu, p.psnuuid, h.countryname, {DETAIL}, targets
-          FROM (SELECT * REPLACE ('ASIA' AS operatingunit, {SITE_NAME} AS psnu)
-                FROM plan_all WHERE {ASIA}) p
+          FROM (SELECT * REPLACE ({SITE_NAME} AS psnu) FROM marked) p
           LEFT JOIN hierarchy h ON p.operatingunit IS NOT DISTINCT FROM h.operatingunit
             AND p.psnu IS NOT DISTINCT FROM h.psnu AND p.psnuuid IS NOT DISTINCT FROM h.psnuuid"""
     ),
@@ -436,6 +467,7 @@ ORACLE = {
         """SELECT psnu, indicator, "FY23", "FY24" FROM wide
           WHERE "FY23" IS NOT NULL OR "FY24" IS NOT NULL"""
     ),
+    "pivot_names_found": with_views("SELECT * FROM wide"),
     "pivot_two": with_views(
         f"SELECT indicator, {POPULATION} AS all_or_KP, {ALL_YEARS} FROM fact GROUP BY ALL"
     ),
@@ -458,7 +490,7 @@ ORACLE = {
     ),
     "trim_site_names": with_views(
         f"""SELECT DISTINCT psnuuid, CAST(length(psnu) AS INTEGER) AS length,
-          {SITE_NAME} AS cleaned FROM plan_all WHERE {EUROPE}"""
+          {SITE_NAME} AS cleaned FROM marked"""
     ),
     "ieee_ratio": with_views(
         """SELECT psnu, indicator, ("FY24" - "FY23") / "FY23" AS change FROM wide
@@ -547,8 +579,8 @@ ORACLE = {
             AND fiscal_year = 2023 GROUP BY {DETAIL}"""
     ),
     "indicator_total_of_plan": with_views(
-        f"""SELECT {DETAIL}, coalesce(sum(targets), 0) AS targets FROM plan_all
-          WHERE {AMERICA} AND indicator = 'HTS_TST' AND standardizeddisaggregate = 'Age/Sex'
+        f"""SELECT {DETAIL}, coalesce(sum(targets), 0) AS targets FROM marked
+          WHERE indicator = 'HTS_TST' AND standardizeddisaggregate = 'Age/Sex'
             AND fiscal_year = 2024 GROUP BY {DETAIL}"""
     ),
     "disagg_completeness": with_views(completeness(CHECKED, "AND source_name = 'DATIM'")),
@@ -589,6 +621,15 @@ ORACLE = {
     ),
     "compare_dr": with_views("SELECT * FROM compared", country_views()),
     "compare_caribbean": with_views("SELECT * FROM compared", CARIBBEAN),
+    "compare_caribbean_from_sums": with_views("SELECT * FROM compared", CARIBBEAN),
+    "completeness_from_sums": with_views(
+        completeness(CHECKED, "AND source_name = 'DATIM'").replace("FROM fact", "FROM results")
+    ),
+    "compare_caribbean_all_years": with_views(
+        f"""SELECT *, "FY23" - "FY22" AS diff, {percent_change('"FY22"', '"FY23"')} AS percent_change
+          FROM pivoted WHERE NOT ("FY22" = 0 AND "FY23" IS NULL)""",
+        EVERY_YEAR,
+    ),
     "compare_caribbean_by_country": with_views("SELECT * FROM compared", CARIBBEAN_BY_COUNTRY),
     "compare_central_america": with_views("SELECT * FROM compared", CENTRAL_AMERICA),
     "compare_central_america_by_country": with_views(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,11 +13,13 @@ from catalog import star
 from plumbline import compare
 from plumbline import functions as fx
 from plumbline import operators as ops
+from plumbline.operators.storage import shared_folder
 from plumbline.plans import indicators, quality, report
 from plumbline.plans.compare import combine, planned_sums, reported_sums, year_change
 from plumbline.plans.indicators import DETAIL, SITE, TRIPLE
 from plumbline.plans.profiles import CAREGIVERS, COUNTRY_REPORT_EXCLUSIONS, TB_STATUS
-from plumbline.sources import latest_file
+from plumbline.sources import fold_in, latest_file, read_summaries, read_with_quarantine
+from plumbline.sources.tables import MAPPING, OPTIONAL, RESULTS, conform
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +89,60 @@ def newest_source(spark, sf):
     return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
+@query
+def newest_of_several(spark, sf):
+    """Three versions of the orders in one folder, of which the one written last is read."""
+    folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    orders = star.table(spark, sf, "orders")
+    for status in "FOP":
+        part = orders.where(F.col("o_orderstatus") == status)
+        part.write.parquet(f"{folder}/ORDERS_{status}.parquet")
+    newest = spark.read.schema(star.COLUMNS["orders"]).parquet(latest_file(spark, folder, "^ORDERS"))
+    return newest.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+@query
+def conform_types(spark, sf):
+    """The numbers of results that come as text, in their declared types again."""
+    rows = everything(spark, sf)
+    as_text = {name: F.col(name).cast("string") for name in ("fiscal_year", "targets", "cumulative")}
+    conformed = conform(rows.withColumns(as_text), RESULTS, OPTIONAL)
+    return conformed.select(*_RESULT_COLUMNS)
+
+
+_RESULT_COLUMNS = ["operatingunit", "country", *TRIPLE, "fiscal_year", "targets", "cumulative", "mech_code"]
+
+
+@query
+def damaged_lines(spark, sf):
+    """Orders as lines of text, some short, long or with an open quote: what can be read and what not."""
+    number, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    # Orders stand in for mapping rows: three texts to a line.
+    fields = F.concat_ws("\t", F.col("o_orderpriority"), status, number.cast("string"))
+    line = (
+        F.when(status == "P", F.concat_ws("\t", F.col("o_orderpriority"), status))
+        .when(number % 7 == 0, F.concat(fields, F.lit("\textra")))
+        .when(number % 11 == 0, F.concat_ws("\t", F.concat(F.lit('"'), "o_orderpriority"), status, number))
+        .when(number % 13 == 0, F.concat_ws("\t", F.col("o_orderpriority"), status, F.concat(F.lit('"'), number)))
+        .otherwise(fields)
+    )
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    written = star.table(spark, sf, "orders").select(line.alias("\t".join(MAPPING.fieldNames())))
+    plain = written.write.option("header", True).option("sep", "\x01").option("quote", "")
+    plain.option("ignoreTrailingWhiteSpace", False).csv(folder)
+    good, bad = read_with_quarantine(spark, folder, "tsv", MAPPING)
+    reasons = bad.select("reason", F.length("line").alias("size"))
+    sizes = good.select(
+        F.lit("none").alias("reason"),
+        sum((F.length(c) for c in MAPPING.fieldNames()), F.lit(2)).alias("size"),
+    )
+    return (
+        reasons.unionByName(sizes)
+        .groupBy("reason")
+        .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("n_chars"))
+    )
+
+
 # Projections
 
 
@@ -217,15 +274,17 @@ def zero_and_absent_filter(spark, sf):
 
 @query
 def semi_join_mapping(spark, sf):
-    listed = ops.broadcast_if_small(adjusted(spark, sf))
-    return _unscoped(ops.semi_join(unlocated(spark, sf), listed, TRIPLE))
+    listed = adjusted(spark, sf).distinct()
+    return _unscoped(ops.lookup_join(unlocated(spark, sf), listed, TRIPLE, "left_semi"))
 
 
 @query
 def left_join_hierarchy(spark, sf):
-    sites = indicators.clean_site(star.plan(spark, sf, star.CARIBBEAN), "ASIA")
+    rows = star.marked(spark, sf)
+    cleaned = fx.trim_whitespace(fx.remove_first(F.col("psnu"), "_Military"))
     lookup = ops.unique_lookup(star.hierarchy(spark, sf), SITE, "countryname")
-    return ops.left_join(sites, lookup, SITE).select(*SITE, "countryname", *DETAIL, "targets")
+    found = ops.lookup_join(rows.withColumn("psnu", cleaned), lookup, SITE)
+    return found.select(*SITE, "countryname", *DETAIL, "targets")
 
 
 @query
@@ -321,6 +380,13 @@ def pivot_unlisted(spark, sf):
     )
 
 
+@query
+def pivot_names_found(spark, sf):
+    """The years are those that the sums have."""
+    sums = yearly(spark, sf)
+    return ops.pivot_wider(sums, ["psnu", "indicator"], "fiscal_year", None, ["targets"])
+
+
 @query
 def sort_nulls_last(spark, sf):
     sums = ops.sum_by(everything(spark, sf), ["country", *TRIPLE], ["targets"])
@@ -356,7 +422,7 @@ def replace_first_match(spark, sf):
 
 @query
 def trim_site_names(spark, sf):
-    sites = star.plan(spark, sf, star.CENTRAL_AMERICA).select("psnuuid", "psnu").distinct()
+    sites = star.marked(spark, sf).select("psnuuid", "psnu").distinct()
     cleaned = fx.trim_whitespace(fx.remove_first(F.col("psnu"), "_Military"))
     return sites.select("psnuuid", F.length("psnu").alias("length"), cleaned.alias("cleaned"))
 
@@ -490,7 +556,7 @@ def indicator_total(spark, sf):
 
 @query
 def indicator_total_of_plan(spark, sf):
-    plan = star.plan(spark, sf, star.DOMINICAN_REPUBLIC)
+    plan = star.marked(spark, sf)
     return indicators.indicator_total(plan, "HTS_TST", "Age/Sex", 2024, "targets")
 
 
@@ -556,6 +622,37 @@ def compare_caribbean(spark, sf):
     return comparison(spark, sf, star.CARIBBEAN)
 
 
+def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Results summed as files came: years up to 2022 first, 2023 in another file, nothing read twice."""
+    folder = f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}"
+    rows = star.results(spark, sf)
+    store = f"{folder}-sums"
+    for mode, part in (("error", rows.where("fiscal_year < 2023")), ("append", rows.where("fiscal_year = 2023"))):
+        part.write.mode(mode).parquet(folder)
+        fold_in(spark, store, [folder])
+    return read_summaries(spark, store)
+
+
+@query
+def compare_caribbean_from_sums(spark, sf):
+    plan = star.plan(spark, sf, star.CARIBBEAN)
+    return compare(_summaries(spark, sf), plan, star.mapping(spark, sf), star.CARIBBEAN)
+
+
+@query
+def completeness_from_sums(spark, sf):
+    return quality.disagg_completeness(_summaries(spark, sf))
+
+
+@query
+def compare_caribbean_all_years(spark, sf):
+    """A regional report over the rows of all years, each of which gets a column; 2024 is planned."""
+    profile = replace(star.CARIBBEAN, unlisted="column", years=(2022, 2023))
+    results = everything(spark, sf).where(F.col("fiscal_year") != profile.plan_year)
+    plan = star.plan(spark, sf, profile)
+    return compare(results, plan, star.mapping(spark, sf), profile)
+
+
 @query
 def compare_caribbean_by_country(spark, sf):
     return comparison(spark, sf, star.CARIBBEAN_BY_COUNTRY)

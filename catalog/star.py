@@ -25,6 +25,8 @@ COLUMNS = {
     "l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
 }
 
+DETAILS = ("indicator", "numeratordenom", "standardizeddisaggregate", "fiscal_year")
+
 # A line shipped in 1997 counts for fiscal year 2023.
 YEARS_AHEAD = 26
 
@@ -151,6 +153,19 @@ def results(spark: SparkSession, sf_dir: str, located: bool = True) -> DataFrame
     return fact(spark, sf_dir, located, last_year=2023).drop("c_mktsegment")
 
 
+MARKED_SITE = """
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN psnu || '_Military'
+       WHEN c_mktsegment = 'BUILDING' THEN ' ' || psnu || '\t' ELSE psnu END AS psnu
+"""
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as a plan would have it: site names not yet clean."""
+    return fact(spark, sf_dir).selectExpr(
+        "operatingunit", "country", MARKED_SITE, "psnuuid", *DETAILS, "targets", "cumulative"
+    )
+
+
 def plan(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
     """Planned rows of one region: from 2024, few disaggregates, and site names not yet clean."""
     rows = fact(spark, sf_dir, first_year=2024).where(
@@ -167,8 +182,7 @@ def plan(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
     return rows.selectExpr(
         "operatingunit",
         "country",
-        """CASE WHEN c_mktsegment = 'MACHINERY' THEN psnu || '_Military'
-                WHEN c_mktsegment = 'BUILDING' THEN ' ' || psnu || '\t' ELSE psnu END AS psnu""",
+        MARKED_SITE,
         "psnuuid",
         "indicator",
         "numeratordenom",

@@ -8,16 +8,14 @@ splits skewed partitions. Null-safe equality is still a hash or sort-merge key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import require_columns
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 32 * 2**20
+# Parts that the rows of one key are dealt over when a whole table meets a lookup.
+SALTS = 16
 
 
 def _right_keys(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[Column], list[str]]:
@@ -44,21 +42,41 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(right, match, "left").drop(*extra)
 
 
-def is_small(lookup: DataFrame) -> bool:
-    """Whether a lookup may be broadcast, measured by a job that counts its rows and bytes."""
-    lengths = [F.octet_length(F.col(name).cast("string")) for name in lookup.columns]
-    width = reduce(add, [F.coalesce(length, F.lit(0)) for length in lengths])
-    size = lookup.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(width).alias("n_bytes")).first()
-    return size.n_rows <= BROADCAST_ROWS and (size.n_bytes or 0) <= BROADCAST_BYTES
-
-
-def broadcast_if_small(lookup: DataFrame) -> DataFrame:
-    """Hint a broadcast of a lookup that is small; leave a larger one to a shuffle join.
+def lookup_join(
+    left: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    salts: int = SALTS,
+) -> DataFrame:
+    """``left_join`` to a lookup that whole tables meet, at every size of either.
 
-    For joins of whole tables to a lookup that is computed and so has no file size: without the hint
-    Spark would shuffle the table before it learns how small the lookup is.
+    The left rows of a key are dealt over ``salts`` parts by a hash of all their columns, and the lookup has a
+    row for each part, so that no task gets all rows of a key that holds much of the table. Should Spark
+    find the lookup small enough to broadcast, the rows do not move at all. ``how="left_semi"`` keeps
+    the left rows whose keys the lookup has.
     """
-    return F.broadcast(lookup) if is_small(lookup) else lookup
+    if how not in ("left", "left_semi"):
+        raise ValueError(f"unknown kind of lookup: {how}")
+    require_columns(left, [*keys])
+    shared = (set(left.columns) & set(lookup.columns) - set(keys)) if how == "left" else set()
+    if shared:
+        raise ValueError(f"columns on both sides: {', '.join(sorted(shared))}")
+    part, other = _unused("part", left, lookup), _unused("other_part", left, lookup)
+    right = lookup if how == "left" else lookup.select(*keys)
+    right, match, extra = _right_keys(right, keys)
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = F.pmod(F.xxhash64(*[left[name] for name in left.columns]), F.lit(salts)).cast("int")
+    joined = left.withColumn(part, spread).join(right, [F.col(part) == F.col(other), *match], how)
+    return joined.drop(part, other, *extra)
+
+
+def _unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {column for table in tables for column in table.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def unique_lookup(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ from plumbline.operators import (
     bind_rows,
     derive,
     exclude_pairs,
+    names_in,
     order_rows,
     pivot_wider,
+    stored,
     sum_by,
 )
 from plumbline.plans.indicators import (
@@ -112,30 +116,41 @@ def change_names(profile: Profile) -> tuple[str, str]:
     return f"{measure}_diff_fy_{after}_{before}", f"{measure}_percent_change_{after}_{before}"
 
 
-def shown_columns(profile: Profile) -> list[str]:
-    """Year columns in display order: by year, and without results for the planned year."""
+def shown_columns(profile: Profile, names: Sequence[str] = ()) -> list[str]:
+    """Year columns in display order: by year, and without results for the planned year.
+
+    ``names`` are the labels of the years, if not those of the profile.
+    """
+    names = names or [year_name(year) for year in profile.years]
     if len(profile.measures) == 1:
-        return [year_name(year) for year in profile.years]
+        return list(names)
     return [
-        f"{measure}_{year_name(year)}"
-        for year in profile.years
+        f"{measure}_{name}"
+        for name in names
         for measure in profile.measures
-        if year != profile.plan_year or measure == "targets"
+        if name != year_name(profile.plan_year) or measure == "targets"
     ]
 
 
 def widen(combined: DataFrame, profile: Profile) -> DataFrame:
-    """One row per id with the fiscal years as columns and the change between two of them."""
-    years = [year_name(year) for year in profile.years]
+    """One row per id with the fiscal years as columns and the change between two of them.
+
+    If every year becomes a column, the combined sums are stored and their years read from there.
+    """
+    names = [year_name(year) for year in profile.years]
+    if profile.unlisted == "column":
+        combined = stored(combined, "combined")
+        label = combined.select(fiscal_label(F.col("fiscal_year")).alias("fiscal_year"))
+        names = sorted({*names, *names_in(label, "fiscal_year")})
     wide = pivot_wider(
         combined.withColumn("fiscal_year", fiscal_label(F.col("fiscal_year"))),
         profile.ids,
         names_from="fiscal_year",
-        names=years,
+        names=names,
         measures=profile.measures,
         duplicates=profile.duplicates,
-        unlisted=profile.unlisted,
-    ).select(*profile.ids, *shown_columns(profile))
+        unlisted="drop" if profile.unlisted == "drop" else "error",
+    ).select(*profile.ids, *shown_columns(profile, names))
     prefix = "" if len(profile.measures) == 1 else f"{profile.measures[0]}_"
     before, after = (f"{prefix}{year_name(year)}" for year in profile.compared)
     if profile.drop_zero_and_absent:
@@ -152,7 +167,7 @@ def compare(
 ) -> DataFrame:
     """The whole comparison for one profile, in display order.
 
-    Nothing is computed yet, except that a report by country measures the hierarchy.
+    Nothing is computed yet, except the sums of a profile that gives every year a column.
     """
     # The pivot adds what meets in one cell where duplicates are summed.
     resum = profile.duplicates != "sum"

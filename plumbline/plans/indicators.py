@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import remove_first, trim_whitespace
 from plumbline.operators import (
-    broadcast_if_small,
     derive,
     drop_columns,
     exclude_within,
     in_year,
-    is_small,
     left_join,
+    lookup_join,
     select_any_of,
-    semi_join,
     sum_by,
     unique_lookup,
 )
@@ -86,8 +84,8 @@ def harmonise_results(
     The mapping is matched by raw names; only then do rows get their final ones.
     """
     rows = scoped_columns(results, plan_columns, profile)
-    listed = broadcast_if_small(adjust_mapping(mapping))
-    return restore_prep(clean_indicator(semi_join(rows, listed, TRIPLE)))
+    listed = lookup_join(rows, adjust_mapping(mapping).distinct(), TRIPLE, "left_semi")
+    return restore_prep(clean_indicator(listed))
 
 
 def _is_supplement(supplement: Supplement) -> Column:
@@ -151,22 +149,13 @@ def clean_site(plan: DataFrame, operatingunit: str) -> DataFrame:
     )
 
 
-def _site_countries(
-    hierarchy: DataFrame, operatingunit: str, duplicates: str = "error"
-) -> tuple[DataFrame, bool]:
-    """The country of each site of one operating unit, and whether they are few.
-
-    Few sites are marked for broadcasting. What is measured are the hierarchy's rows, of which
-    the lookup has at most as many.
-    """
+def site_countries(hierarchy: DataFrame, operatingunit: str, duplicates: str = "error") -> DataFrame:
+    """The country of each site of one operating unit."""
     sites = hierarchy.where(F.col("operatingunit") == operatingunit).select(*SITE, "countryname")
-    lookup = unique_lookup(sites, SITE, "countryname", duplicates)
-    few = is_small(sites)
-    return (F.broadcast(lookup) if few else lookup), few
+    return unique_lookup(sites, SITE, "countryname", duplicates)
 
 
-def _locate(rows: DataFrame, lookup: DataFrame, operatingunit: str) -> DataFrame:
-    located = left_join(clean_site(rows, operatingunit), lookup, SITE)
+def _with_country(located: DataFrame) -> DataFrame:
     country = F.coalesce(F.col("countryname"), F.col("psnu"))
     return located.withColumn("country", country).drop("countryname")
 
@@ -175,8 +164,8 @@ def assign_country(
     plan: DataFrame, hierarchy: DataFrame, operatingunit: str, duplicates: str = "error"
 ) -> DataFrame:
     """Replace a plan row's country by its site's; an unknown site becomes its own country."""
-    lookup, _ = _site_countries(hierarchy, operatingunit, duplicates)
-    return _locate(plan, lookup, operatingunit)
+    lookup = site_countries(hierarchy, operatingunit, duplicates)
+    return _with_country(lookup_join(clean_site(plan, operatingunit), lookup, SITE))
 
 
 def aggregate_plan_by_country(
@@ -184,14 +173,12 @@ def aggregate_plan_by_country(
 ) -> DataFrame:
     """Planned targets of one year per country, indicator and disaggregate.
 
-    Few sites are broadcast, and plan rows are shuffled only as sums per country. With many sites,
-    rows are first summed per raw site name, so that a site with very many rows joins as few.
+    Rows are summed per raw site name, located, and summed again per country. A site that holds much of
+    the plan leaves each task as one row per indicator and disaggregate, and joins as that many.
     """
-    rows = plan_targets(plan, year)
-    lookup, few_sites = _site_countries(hierarchy, operatingunit)
-    if not few_sites:
-        rows = sum_by(rows, ["psnu", "psnuuid", *DETAIL], ["targets"])
-    located = drop_columns(_locate(rows, lookup, operatingunit), "operatingunit")
+    raw = sum_by(plan_targets(plan, year), ["psnu", "psnuuid", *DETAIL], ["targets"])
+    lookup = site_countries(hierarchy, operatingunit)
+    located = _with_country(left_join(clean_site(raw, operatingunit), lookup, SITE))
     return sum_by(located, ["country", *DETAIL], ["targets"])
 
 

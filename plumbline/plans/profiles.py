@@ -46,8 +46,8 @@ class Profile:
     """Settings of a comparison.
 
     ``years`` become columns; ``before`` and ``after`` are compared, the last two if not given.
-    ``unlisted`` says what to do with rows of other years from the first on: stop with ``"error"``
-    or ``"drop"`` them. ``duplicates`` says what to do with two
+    ``unlisted`` says what to do with rows of other years from the first on: stop with ``"error"``,
+    ``"drop"`` them or give each year a ``"column"``. ``duplicates`` says what to do with two
     disaggregates of one indicator, population and year: ``"sum"`` them or stop with ``"error"``.
     ``change`` is ``"fraction"`` (rounded to 2 digits) or ``"percent"`` (whole percent as text).
     ``formatted`` tables have numbers as text with separators, if not given those with a fraction.
@@ -85,7 +85,7 @@ class Profile:
             raise ValueError(f"unknown shared year rule: {self.shared_year}")
         if len(self.years) < 2 or list(self.years) != sorted(set(self.years)):
             raise ValueError("years must be two or more, ascending")
-        if self.unlisted not in ("error", "drop"):
+        if self.unlisted not in ("error", "drop", "column"):
             raise ValueError(f"unknown rule for unlisted years: {self.unlisted}")
         if not {self.before, self.after} <= {None, *self.years}:
             raise ValueError("the compared years must be among the years")

@@ -1,5 +1,5 @@
 """Where reports go."""
 
-from plumbline.sinks.report import save_report
+from plumbline.sinks.report import publish_report, published_report, save_report
 
-__all__ = ["save_report"]
+__all__ = ["publish_report", "published_report", "save_report"]

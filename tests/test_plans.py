@@ -4,12 +4,13 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import fixtures
 from __spark_entry__ import SMOKE_DIR
 from catalog.queries import QUERIES
 from plumbline import PROFILES, compare
-from plumbline.operators import broadcast_if_small, joins, semi_join
+from plumbline.operators import left_join, lookup_join, pivot_wider
 from plumbline.plans import indicators, quality
 from plumbline.plans.report import both_sections
 from plumbline.sources import read_hierarchy, read_mapping, read_plan, read_results
@@ -92,8 +93,7 @@ def test_a_large_mapping_meets_only_sums(tables, no_broadcast):
     assert "Broadcast" not in plan and sums_below_mapping_join(plan) == 2
 
 
-def test_same_answers_without_broadcast(tables, no_broadcast, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+def test_same_answers_without_broadcast(tables, no_broadcast):
     df = compare(**tables, profile=PROFILES["caribbean_by_country"])
     assert df.count() == 4 and "Broadcast" not in executed(df)
 
@@ -104,25 +104,35 @@ def test_checks_and_sections_read_results_once(tables):
     assert len(scans(executed(both_sections(comparison)), "results")) == 1
 
 
-def sums_below_site_join(tables):
-    planned = indicators.aggregate_plan_by_country(
-        tables["plan"], tables["hierarchy"], 2024, fixtures.REGION
-    )
-    lines = executed(planned).splitlines()
-    join = next(i for i, line in enumerate(lines) if "LeftOuter" in line)
-    scan = next(i for i, line in enumerate(lines) if "/plan]" in line)
-    sums = len([line for line in lines[join:scan] if "HashAggregate" in line])
-    return lines[join], sums, sorted(map(tuple, planned.collect()))
+def test_sites_meet_only_sums_at_every_size(tables, spark):
+    def plan_and_rows():
+        planned = indicators.aggregate_plan_by_country(
+            tables["plan"], tables["hierarchy"], 2024, fixtures.REGION
+        )
+        lines = executed(planned).splitlines()
+        join = next(i for i, line in enumerate(lines) if "LeftOuter" in line)
+        scan = next(i for i, line in enumerate(lines) if "/plan]" in line)
+        sums = len([line for line in lines[join:scan] if "HashAggregate" in line])
+        return lines[join], sums, sorted(map(tuple, planned.collect()))
 
-
-def test_few_sites_are_broadcast_and_many_joined_to_sums(tables, no_broadcast, monkeypatch):
-    join, sums, found = sums_below_site_join(tables)
-    assert "BroadcastHashJoin" in join and sums == 0
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
-    join, sums, again = sums_below_site_join(tables)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    join, sums, found = plan_and_rows()
+    assert "BroadcastHashJoin" in join and sums == 2
+    spark.conf.set(key, -1)
+    join, sums, again = plan_and_rows()
+    spark.conf.set(key, before)
     assert "SortMergeJoin" in join and sums == 2 and again == found
 
 
+def test_building_a_plan_by_country_runs_no_job(tables, spark):
+    spark.sparkContext.setJobGroup("built", "")
+    indicators.assign_country(tables["plan"], tables["hierarchy"], fixtures.REGION)
+    compare(**tables, profile=PROFILES["caribbean_by_country"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_star_views_read_what_a_query_uses(spark):
     if not Path(SMOKE_DIR).exists():
         pytest.skip("the given tables are not here")
@@ -136,10 +146,45 @@ def test_star_views_read_what_a_query_uses(spark):
     assert "customer.parquet" not in plan and "nation.parquet" not in plan
 
 
-def test_a_lookup_is_broadcast_only_within_bounds(spark, no_broadcast, monkeypatch):
-    rows = spark.range(20).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in executed(semi_join(rows, broadcast_if_small(rows), ["k"]))
-    for bound, value in (("BROADCAST_ROWS", 19), ("BROADCAST_BYTES", 29)):
-        with monkeypatch.context() as patch:
-            patch.setattr(joins, bound, value)
-            assert "SortMergeJoin" in executed(semi_join(rows, broadcast_if_small(rows), ["k"]))
+def rows_of_tasks(joined):
+    return sorted(n for n in joined.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n)
+
+
+def test_a_hot_key_is_dealt_over_tasks(spark, no_broadcast):
+    """One site with nine tenths of the rows, no broadcast and no splitting by adaptive execution."""
+    hot = F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    left = spark.range(20000).select(hot.alias("site"), F.col("id").alias("x"), F.lit("y").alias("part"))
+    lookup = left.select("site").distinct().withColumn("country", F.concat(F.lit("c"), "site"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup_join(left, lookup, ["site"])
+        assert joined.columns == ["site", "x", "part", "country"]
+        assert max(rows_of_tasks(joined)) < 9000
+        assert max(rows_of_tasks(left_join(left, lookup, ["site"]))) >= 18000
+        assert joined.where("country = concat('c', site)").count() == 20000
+        semi = lookup_join(left, lookup.where("site = 'hot'"), ["site"], "left_semi")
+        assert semi.columns == left.columns and semi.count() == 18000 and max(rows_of_tasks(semi)) < 9000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_lookup_matches_missing_keys_and_repeats(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", 3)], "k STRING, v INT")
+    right = spark.createDataFrame([("a", "x"), (None, "y")], "k STRING, w STRING")
+    found = sorted(map(tuple, lookup_join(left, right, ["k"]).collect()), key=str)
+    assert found == [("a", 1, "x"), ("a", 1, "x"), ("b", 3, None), (None, 2, "y")]
+    assert lookup_join(left, right, ["k"], "left_semi").count() == 3
+    with pytest.raises(ValueError, match="columns on both sides: v"):
+        lookup_join(left, right.withColumn("v", F.lit(1)), ["k"])
+    with pytest.raises(ValueError, match="unknown kind"):
+        lookup_join(left, right, ["k"], "inner")
+
+
+def test_summed_pivot_has_a_narrow_and_a_wide_aggregate(spark):
+    """Raw rows meet one sum per measure; the many columns see one row for each id and name."""
+    rows = spark.createDataFrame([("a", 2020 + i % 5, 1.0, 2.0) for i in range(50)], "k STRING, y INT, m DOUBLE, n DOUBLE")
+    wide = pivot_wider(rows, ["k"], "y", range(2020, 2025), ["m", "n"], duplicates="sum")
+    sums = [line for line in executed(wide).splitlines() if "HashAggregate" in line]
+    assert len(sums) == 4
+    assert len(re.findall("partial_sum", sums[-1])) == 2 and "partial_max" not in sums[-1]
+    assert [tuple(r) for r in wide.collect()] == [("a", *[10.0] * 5, *[20.0] * 5)]

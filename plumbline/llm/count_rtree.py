@@ -11,9 +11,11 @@ shingles, similar documents share one of their first n - ceil(0.75 n) + 1. The o
 documents first, so that a passage repeated in many documents gathers hardly any, and a shingle
 that only one document has needs no tree. Nothing is lost by it: any order finds every pair.
 
-Links are only needed between groups that are not connected yet. In some rounds every document is
-compared with a few leading documents of its trees, others in each round, which joins large groups of copies in a few
-steps for each copy; then the trees are searched for pairs across what is still apart.
+Links are only needed between groups that are not connected yet, and the trees are searched from the leaves
+up. In a few rounds their points are packed, and in each leaf the first point is compared with the others:
+neighbours in the order of counts are the likeliest links, and a group of n copies is joined in n steps
+and not in n * n. Each round packs one point for what is connected already. Then the recursion pairs
+nodes from the root down, for links across what is still apart.
 
 Defined cases: a text that is null or without words has no shingles, links with nothing and is its own
 class; repeated rows and equal sets are one class; a missing doc_id counts only where no other is in
@@ -51,8 +53,8 @@ class JaccardSettings:
     2 ** ``table_bits`` entries in the table of frequencies and 2 ** ``seen_bits`` bits that say which
     shingles two documents or more have; from 2 ** ``hot_level`` documents on,
     rows of a shingle are not gathered in one task; ``leaf`` points to a leaf; ``range_shingles`` to a
-    range that one task counts; ``star`` comparisons with the same document in one task; ``leaders``
-    of a tree in each round.
+    range that one task counts; ``star`` comparisons with the same document in one task; ``rounds`` of
+    comparisons within leaves.
     """
 
     width: int = 5
@@ -64,7 +66,7 @@ class JaccardSettings:
     leaf: int = 32
     range_shingles: int = 1 << 20
     star: int = 512
-    leaders: tuple[int, ...] = (1, 8)
+    rounds: int = 1
 
 
 def document_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
@@ -159,16 +161,24 @@ def frequency_table(docs: DataFrame, total: int, settings: JaccardSettings) -> F
             yield packed(held)
 
     def packed(sets: list[np.ndarray]) -> pd.DataFrame:
-        keys = np.sort(np.concatenate(sets))
+        # A shingle of very many documents leaves a task once for each flush, with its number.
+        keys, n = np.unique(np.concatenate(sets), return_counts=True)
         parts = list(_split(keys, bits))
         return pd.DataFrame(
-            {"part": [p for p, _ in parts], "data": [pack_high(keys[at], width) for _, at in parts]}
+            {
+                "part": [p for p, _ in parts],
+                "data": [pack_high(keys[at], width) for _, at in parts],
+                "counts": [zlib.compress(n[at].astype("<u4").tobytes(), 1) for _, at in parts],
+            }
         )
 
     def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(np.concatenate([unpack_high(d) for d in frame["data"]]))
+        keys = np.concatenate([unpack_high(d) for d in frame["data"]])
+        n = np.concatenate([np.frombuffer(zlib.decompress(c), dtype="<u4") for c in frame["counts"]])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.append(first, len(keys)))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
         many = n > 1
         shared = keys[first[many]]
 
@@ -187,7 +197,7 @@ def frequency_table(docs: DataFrame, total: int, settings: JaccardSettings) -> F
         packed = [zlib.compress(x.tobytes(), 1) for x in (levels, seen)]
         return pd.DataFrame({"part": [key[0]], "levels": packed[:1], "seen": packed[1:]})
 
-    parts = docs.select("text").mapInPandas(collect, "part BIGINT, data BINARY")
+    parts = docs.select("text").mapInPandas(collect, "part BIGINT, data BINARY, counts BINARY")
     rows = parts.groupBy("part").applyInPandas(count, "part BIGINT, levels BINARY, seen BINARY")
     levels = np.zeros((1 << bits, 1 << (settings.table_bits - bits)), dtype=np.uint8)
     seen = np.zeros((1 << bits, 1 << (settings.seen_bits - bits - 3)), dtype=np.uint8)
@@ -480,28 +490,61 @@ def open_trees(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(apart, F.col("shingle") == F.col("open")).drop("open")
 
 
-def led_pairs(members: DataFrame, leaders: int, turn: int) -> DataFrame:
-    """Distinct pairs (a, b) of a tree's leaders, the least by a hash of the turn, with its members that are
-    not connected with them.
+def leaf_stars(members: DataFrame, known: DataFrame, turn: int, settings: JaccardSettings) -> DataFrame:
+    """Distinct pairs (a, b) of the first point of a leaf with its others that are not connected with it.
+
+    Points of a tree are packed in the order of their sizes and counts; what is connected already is one
+    point. Ranges of the order go to tasks, so that no task packs all of a large tree, and each
+    tree begins its first leaf at another place, so that the leaves of trees over the same points overlap.
     """
-    by_hash = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), "set_id", "root")
-    chosen = members.select(F.col("shingle").alias("tree"), by_hash.alias("x")).distinct()
-    # The first few of each tree: ranked in each task before they are dealt.
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("x"))
-    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= leaders)
-    chosen = chosen.select("tree", F.col("x.set_id").alias("a"), F.col("x.root").alias("leading"))
-    on = (F.col("shingle") == F.col("tree")) & (F.col("root") != F.col("leading"))
-    pairs = members.join(chosen, on).select("a", F.col("set_id").alias("b"))
-    return pairs.distinct()
+    if turn:
+        by_hash = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), "set_id"))
+        members = members.groupBy("shingle", "root").agg(by_hash.alias("x"))
+        members = members.select("shingle", F.col("x.set_id").alias("set_id"), "root")
+    # Sizes first, then for each coarse group its share of the set in eighths.
+    place = F.shiftleft("n", 3 * COARSE)
+    for i in range(COARSE):
+        share = F.floor(F.get("coarse", F.lit(i)) * 8 / (F.col("n") + 1)).cast("long")
+        place = place + F.shiftleft(share, 3 * (COARSE - 1 - i))
+    spots = known.select("point", place.alias("place"))
+    order = ["shingle", "place", "set_id"]
+    placed = members.join(spots, F.col("set_id") == F.col("point"))
+    packed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, position, first, first_root = None, 0, 0, 0
+        for frame in frames:
+            trees, sets, roots = (frame[c].to_numpy() for c in ("shingle", "set_id", "root"))
+            n = len(trees)
+            if not n:
+                continue
+            begins = np.ones(n, dtype=bool)
+            begins[1:] = trees[1:] != trees[:-1]
+            begins[0] = trees[0] != tree
+            at = np.arange(n)
+            run = np.maximum.accumulate(np.where(begins, at, -1))  # -1: of the frame before
+            shift = (trees.view(np.uint64) >> np.uint64(17)).astype(np.int64) % settings.leaf
+            slot = np.where(run >= 0, at - run + shift, position + at)
+            leads = begins | (slot % settings.leaf == 0)
+            lead = np.maximum.accumulate(np.where(leads, at, -1))
+            a = np.where(lead >= 0, sets[lead], first)
+            apart = np.where(lead >= 0, roots[lead], first_root) != roots
+            tree, position = trees[-1], slot[-1] + 1
+            if lead[-1] >= 0:
+                first, first_root = sets[lead[-1]], roots[lead[-1]]
+            if apart.any():
+                yield pd.DataFrame({"a": a[apart], "b": sets[apart]})
+
+    return packed.select("shingle", "set_id", "root").mapInPandas(cut, "a BIGINT, b BIGINT").distinct()
 
 
 def tree_pairs(
-    shared: DataFrame, known: DataFrame, roots: DataFrame, settings: JaccardSettings
+    shared: DataFrame, known: DataFrame, roots: DataFrame | None, settings: JaccardSettings
 ) -> DataFrame:
     """Distinct pairs (a, b) of sets that share a prefix shingle, are not connected yet and pass the bound
     of their counts.
     """
-    members = open_trees(shared, roots).distinct()
+    members = open_trees(shared, roots)
     # Trees over the same sets have the same pairs; of those, the one of the least shingle is searched.
     names = members.groupBy("shingle").agg(
         F.count("*").alias("size"),
@@ -583,43 +626,55 @@ def tree_pairs(
     return pairs.mapInPandas(survive, "a BIGINT, b BIGINT")
 
 
-def jaccard_links(
-    docs: DataFrame, settings: JaccardSettings = JaccardSettings()
-) -> tuple[DataFrame, DataFrame]:
-    """The rows' sets, and links (a, b) between sets that connect all that are linked."""
+@dataclass(frozen=True)
+class Links:
+    """The rows' sets, and links (a, b) between sets: those found within leaves of the trees, those found by
+    the join of their nodes, and ``edges`` that connect the same sets as all of them.
+    """
+
+    sets: DataFrame
+    leaf: DataFrame | None
+    join: DataFrame
+    edges: DataFrame
+
+
+def jaccard_links(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> Links:
+    """Links that connect all sets that are linked."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = stored(document_sets(docs, settings), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     table = frequency_table(docs, total, settings)
-    shared = stored(shared_prefixes(docs, table, total, settings), "shared")
+    shared = stored(shared_prefixes(docs, table, total, settings).distinct(), "shared")
     known = points(sets, shared)
     texts = _texts(docs, sets, known)
-    links, tried, roots, stars = None, None, None, None
-    for turn, leaders in enumerate(settings.leaders):
-        pairs = bounded(led_pairs(open_trees(shared, roots), leaders, turn), known, settings)
+    leaf, tried, roots, stars = None, None, None, None
+    for turn in range(settings.rounds):
+        pairs = bounded(leaf_stars(open_trees(shared, roots), known, turn, settings), known, settings)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "led")
+        pairs = stored(pairs, "pairs")
         found = stored(verified(pairs, texts, settings), "links")
-        links = found if links is None else links.unionByName(found)
+        leaf = found if leaf is None else leaf.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         # Two steps join nearly all; what they leave apart is compared, not lost.
         stars = star_steps(found if stars is None else stars.unionByName(found), 2)
         roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     more = tree_pairs(shared, known, roots, settings)
-    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stored(more.join(both, ["a", "b"], "left_anti"), "pairs")
-    rest = stored(verified(more, texts, settings), "links")
-    return sets, links.unionByName(rest)
+    if tried is not None:
+        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = more.join(both, ["a", "b"], "left_anti")
+    join = stored(verified(stored(more, "pairs"), texts, settings), "links")
+    return Links(sets, leaf, join, join if stars is None else stars.unionByName(join))
 
 
 def near_documents(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, class_id): a row for each row of ``docs``. The
     class_id names the class where doc_id is missing; it is missing without shingles.
     """
-    sets, links = jaccard_links(docs, settings)
-    roots = components(links)
+    links = jaccard_links(docs, settings)
+    sets = links.sets
+    roots = components(links.edges)
     firsts = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     placed = firsts.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "first_id", F.coalesce("root", "set_id").alias("root")

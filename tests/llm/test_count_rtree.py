@@ -92,6 +92,41 @@ def test_all_links_of_random_corpora_are_found(documents, seed):
     assert near(documents, rows, SMALL) == classes(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_links_of_either_path_connect_the_classes(spark, documents, rounds):
+    """Without rounds in the leaves the join of the nodes finds all; with them, both find some."""
+    rows = corpus(6, 90)
+    settings = replace(SMALL, leaf=3, rounds=rounds)
+    links = cr.jaccard_links(documents([(i, t, "en", "s") for i, t in rows]), settings)
+    sets = {r["set_id"]: r["doc_id"] for r in links.sets.collect()}
+    texts = dict(rows)
+    found = [] if links.leaf is None else [(r.a, r.b) for r in links.leaf.collect()]
+    joined = [(r.a, r.b) for r in links.join.collect()]
+    assert joined if rounds == 0 else found
+    for a, b in found + joined:
+        x, y = shingles(texts[sets[a]]), shingles(texts[sets[b]])
+        assert 100 * len(x & y) >= 75 * len(x | y)
+    assert near(documents, rows, settings) == classes(rows)
+
+
+def test_leaves_are_cut_the_same_whatever_the_frames(spark, monkeypatch):
+    """Each point but the first of a leaf meets the first, also where a leaf goes on in the next frame."""
+    rng = random.Random(2)
+    members = [(t, s, s % 5) for t in (11, -7, 2**40) for s in rng.sample(range(1000), 23)]
+    members = spark.createDataFrame(members, "shingle BIGINT, set_id BIGINT, root BIGINT").coalesce(1)
+    known = spark.range(1000).selectExpr("id AS point", "id % 9 + 1 AS n", "array(id, id, id, id, id, id, id, id) AS coarse")
+    settings = replace(SMALL, leaf=4)
+    found = []
+    for rows in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        pairs = cr.leaf_stars(members, known, 0, settings)
+        found.append(sorted(map(tuple, pairs.collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] == found[1] and 25 < len(found[0]) <= 3 * 22
+
+
 def test_production_settings_and_odd_rows(documents):
     rows = corpus(3)
     rows += [(None, rows[-1][1]), (900, None), (901, ""), (902, " \t\n"), (3, rows[3][1])]

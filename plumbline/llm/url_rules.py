@@ -1,8 +1,8 @@
 """URL verdicts from rules that are found by their rarest literal token.
 
-Each rule has a regular expression and the tokens that every matching URL must contain. Token
-frequencies over all URLs choose, for each rule, the rarest of its tokens as its index key. The tokens of a URL fetch
-the rules with that key, and only those run their expressions. DataFrame functions only.
+The tokens that every match of a rule's regular expression must contain are read from the expression itself.
+Token frequencies over all URLs choose, for each rule, the rarest of its tokens as its index key. The
+tokens of a URL fetch the rules with that key, and only those run their expressions. DataFrame functions only.
 
 Defined cases: a URL that is null or without ``://`` has an empty host and path, fits no rule and gets
 the default verdict; repeated rows each get their result; an empty table gives an empty result; other
@@ -12,8 +12,9 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,31 +27,83 @@ NOT_TOKEN = "[^a-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``verdict`` for what ``pattern`` matches in host and path together (``site``) or in the URL.
-
-    ``literals`` are texts that each match contains with a character that is no letter or digit, or
-    an end, on both sides. Rules with a ``name`` are site rules; they go before pattern rules, longer
-    names first.
+    """``verdict`` for what ``pattern`` matches in host and path together (with a ``name``: a site rule) or in
+    the URL. Site rules go before pattern rules, longer names first.
     """
 
     verdict: str
     pattern: str
-    literals: tuple[str, ...]
     name: str | None = None
 
     def tokens(self) -> list[str]:
-        found = [t for x in self.literals for t in re.split(NOT_TOKEN, x.lower()) if t]
+        found = mandatory_tokens(self.pattern)
         if not found:
             raise ValueError(f"no literal token to index the rule {self.pattern!r} by")
-        return sorted(set(found))
+        return found
+
+
+# What an expression's parts come to: a character, what is no letter or digit, anything, or what may be left
+# out and else ends with what is no letter or digit.
+EDGE, ANY, KEEP = object(), object(), object()
+
+
+def mandatory_tokens(pattern: str) -> list[str]:
+    """The tokens that every match contains: letters and digits that the expression spells out, with
+    what is no letter or digit, or an end of the text, on both sides of them.
+
+    Alternatives and repetitions count only as edges. Upper case would meet tokens in lower case, so
+    tokens are given in lower case, as those of a URL are.
+    """
+    found, token = set(), ""
+    open_left = True  # whether a token that begins here may have begun before
+    for part in [*_parts(parser.parse(pattern)), ANY]:
+        if isinstance(part, str):
+            token += part
+            continue
+        if part is EDGE and token and not open_left:
+            found.add(token.lower())
+        open_left = part is ANY or (part is KEEP and (open_left or bool(token)))
+        token = ""
+    return sorted(found)
+
+
+def _is_edge(code: int) -> bool:
+    return code < 128 and not chr(code).isalnum()
+
+
+def _parts(tree: Iterable[tuple]) -> Iterator[str | object]:
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            # Letters beyond ASCII are no part of a token.
+            yield chr(value) if value < 128 and chr(value).isalnum() else EDGE
+        elif name == "AT":
+            yield EDGE if str(value) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END", "AT_END_STRING") else ANY
+        elif name == "IN":
+            only = all(str(k) == "LITERAL" and _is_edge(v) for k, v in value)
+            yield EDGE if only else ANY
+        elif name == "SUBPATTERN":
+            yield from _parts(value[-1])
+        elif name == "BRANCH":
+            ways = [list(_parts(way)) for way in value[1]]
+            yield EDGE if all(way and way[0] is EDGE for way in ways) else ANY
+            yield EDGE if all(way and way[-1] is EDGE for way in ways) else ANY
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            least, _, inner = value
+            way = list(_parts(inner))
+            if not least:
+                yield KEEP if way and way[-1] is EDGE else ANY
+                continue
+            yield EDGE if way and way[0] is EDGE else ANY
+            yield EDGE if way and way[-1] is EDGE else ANY
+        else:
+            yield ANY
 
 
 def site_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule for a host with its subdomains and for paths that start with ``path``."""
-    # What follows the last separator of the path may be the start of a longer token.
-    whole = re.sub(r"[A-Za-z0-9]+$", "", path)
     quoted = re.sub(r"([^A-Za-z0-9/])", r"\\\1", host + path)
-    return Rule(verdict, rf"^(?:[^/]*\.)?{quoted}", (host, whole), host + path)
+    return Rule(verdict, rf"^(?:[^/]*\.)?{quoted}", host + path)
 
 
 SITE_RULES = (
@@ -61,14 +114,14 @@ SITE_RULES = (
     site_rule("block", "net", "/fr/"),
 )
 PATTERN_RULES = (
-    Rule("block", r"[?&]utm_source=(?:feed|rss)(?:[&#]|$)", ("utm", "source")),
+    Rule("block", r"[?&]utm_source=(?:feed|rss)(?:[&#]|$)"),
     # An index key must be in every match, so each form of a literal is a rule by itself.
-    Rule("block", r"/ads/", ("ads",)),
-    Rule("block", r"/adserver/", ("adserver",)),
-    Rule("block", r"/track/(?:click|open)/", ("track",)),
-    Rule("block", r"/tracking/(?:click|open)/", ("tracking",)),
-    Rule("block", r"[?&]sessionid=[0-9a-f]+", ("sessionid",)),
-    Rule("allow", r"/docs/[^?#]*\.html(?:[?#]|$)", ("docs", "html")),
+    Rule("block", r"/ads/"),
+    Rule("block", r"/adserver/"),
+    Rule("block", r"/track/(?:click|open)/"),
+    Rule("block", r"/tracking/(?:click|open)/"),
+    Rule("block", r"[?&]sessionid=[0-9a-f]+"),
+    Rule("allow", r"/docs/[^?#]*\.html(?:[?#]|$)"),
 )
 
 

@@ -290,8 +290,48 @@ def test_rules_are_indexed_by_their_rarest_token(spark):
     index = url_rules.index_rules(spark.createDataFrame(rows, PAGES), url_rules.SITE_RULES).collect()
     keys = {r["name"]: r["rule_token"] for r in index}
     assert keys["net/es/"] == "es" and keys["net/fr/"] == "fr" and len(index) == 5
-    with pytest.raises(ValueError, match="no literal token"):
-        url_rules.Rule("block", "^.$", ("?",)).tokens()
+
+
+@pytest.mark.parametrize(
+    ("pattern", "tokens"),
+    [
+        (r"[?&]utm_source=(?:feed|rss)(?:[&#]|$)", ["source", "utm"]),
+        (r"/track(?:ing)?/(?:click|open)/", []),
+        (r"/(?:ads|adserver)/", []),
+        (r"/docs/[^?#]*\.html(?:[?#]|$)", ["docs", "html"]),
+        (r"/docs/[^?#]*\.html(?:[?#]|x)", ["docs"]),
+        (r"ads/", []),
+        (r"^Ads/x+/y", ["ads"]),
+        (r"/a/+b/", ["a", "b"]),
+        (r"/a/?b/", []),
+        (r"/(?:é)b/", ["b"]),
+        (r"\bads\b", []),
+        (r"^(?:[^/]*\.)?net/es/", ["es", "net"]),
+        (r"^a(?:[^/]*\.)?net/", []),
+    ],
+)
+def test_mandatory_tokens_are_read_from_the_expression(pattern, tokens):
+    assert url_rules.mandatory_tokens(pattern) == tokens
+    if not tokens:
+        with pytest.raises(ValueError, match="no literal token"):
+            url_rules.Rule("block", pattern).tokens()
+
+
+def test_every_match_has_the_tokens_of_its_rule():
+    rng = random.Random(3)
+    pieces = ["/", "ads", "adserver", "track", "ing", "click", "?", "&", "utm_source=", "feed", "#", "docs", ".html", "x"]
+    pieces += ["sessionid=", "0f", "en", "es", "net", "com", ".", "example", "www", "A", "/track/click", "/tracking/open"]
+    pieces += ["example.com/en/", "www.", "net/es/", "net/fr/", "/docs/a.html", "?utm_source=feed", "/ads/", "/adserver/"]
+    rules = [*url_rules.SITE_RULES, *url_rules.PATTERN_RULES]
+    matched = Counter()
+    for _ in range(60_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 8)))
+        tokens = set(re.split("[^a-z0-9]+", text.lower()))
+        for rule in rules:
+            if re.search(rule.pattern, text):
+                matched[rule.pattern] += 1
+                assert set(rule.tokens()) <= tokens, (rule, text)
+    assert len(matched) >= len(rules) - 3
 
 
 @pytest.mark.parametrize("name", ["secrets", "quality", "urls"])

@@ -12,10 +12,10 @@ documents first, so that a passage repeated in many documents gathers hardly any
 that only one document has needs no tree. Nothing is lost by it: any order finds every pair.
 
 Links are only needed between groups that are not connected yet, and the trees are searched from the leaves
-up. In a few rounds their points are packed, and in each leaf the first point is compared with the others:
-neighbours in the order of counts are the likeliest links, and a group of n copies is joined in n steps
-and not in n * n. Each round packs one point for what is connected already. Then the recursion pairs
-nodes from the root down, for links across what is still apart.
+up. Their points are packed, and in each leaf, then in each node above the leaves, a few points are compared with
+the others that are not connected with them: neighbours in the order of counts are the likeliest links, and a
+group of n copies is joined in some n steps and not in n * n. Then the recursion pairs nodes from the root
+down, for links across what is still apart.
 
 Defined cases: a text that is null or without words has no shingles, links with nothing and is its own
 class; repeated rows and equal sets are one class; a missing doc_id counts only where no other is in
@@ -36,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components, star_steps
+from plumbline.llm.components import components
 from plumbline.llm.shingles import mixed, shingle_sets
 from plumbline.llm.tables import salted_join, ship, stored
-from plumbline.llm.tree import Side, leaf_pairs
+from plumbline.llm.tree import FANOUT, Side, leaf_pairs
 
 BITMAP_BITS = 24
 COARSE = 8  # coordinates of a node's box, each the sum of several groups
@@ -53,8 +53,8 @@ class JaccardSettings:
     2 ** ``table_bits`` entries in the table of frequencies and 2 ** ``seen_bits`` bits that say which
     shingles two documents or more have; from 2 ** ``hot_level`` documents on,
     rows of a shingle are not gathered in one task; ``leaf`` points to a leaf; ``range_shingles`` to a
-    range that one task counts; ``star`` comparisons with the same document in one task; ``rounds`` of
-    comparisons within leaves.
+    range that one task counts; ``star`` comparisons with the same document in one task; ``stars`` points of
+    each node, by level from the leaves, that are compared with its others before the join.
     """
 
     width: int = 5
@@ -66,7 +66,7 @@ class JaccardSettings:
     leaf: int = 32
     range_shingles: int = 1 << 20
     star: int = 512
-    rounds: int = 1
+    stars: tuple[int, ...] = (1, 8)
 
 
 def document_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
@@ -490,17 +490,15 @@ def open_trees(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(apart, F.col("shingle") == F.col("open")).drop("open")
 
 
-def leaf_stars(members: DataFrame, known: DataFrame, turn: int, settings: JaccardSettings) -> DataFrame:
-    """Distinct pairs (a, b) of the first point of a leaf with its others that are not connected with it.
+def node_stars(members: DataFrame, known: DataFrame, turn: int, settings: JaccardSettings) -> DataFrame:
+    """Distinct pairs (a, b) of a few points of a node with its others that are not connected with them.
 
-    Points of a tree are packed in the order of their sizes and counts; what is connected already is one
-    point. Ranges of the order go to tasks, so that no task packs all of a large tree, and each
-    tree begins its first leaf at another place, so that the leaves of trees over the same points overlap.
+    Points of a tree are packed in the order of their sizes and counts. The nodes are the leaves in the first turn,
+    with their first point, and those ``turn`` levels higher after it, with as many points as ``stars`` says, evenly
+    from the node. Ranges of the order go to tasks, so that no task packs all of a large tree, and each
+    tree begins its first node at another place, so that nodes of trees over the same points overlap.
     """
-    if turn:
-        by_hash = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), "set_id"))
-        members = members.groupBy("shingle", "root").agg(by_hash.alias("x"))
-        members = members.select("shingle", F.col("x.set_id").alias("set_id"), "root")
+    size, stars = settings.leaf * FANOUT**turn, settings.stars[turn]
     # Sizes first, then for each coarse group its share of the set in eighths.
     place = F.shiftleft("n", 3 * COARSE)
     for i in range(COARSE):
@@ -510,32 +508,43 @@ def leaf_stars(members: DataFrame, known: DataFrame, turn: int, settings: Jaccar
     order = ["shingle", "place", "set_id"]
     placed = members.join(spots, F.col("set_id") == F.col("point"))
     packed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    names = ["shingle", "set_id", "root"]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, position, first, first_root = None, 0, 0, 0
-        for frame in frames:
-            trees, sets, roots = (frame[c].to_numpy() for c in ("shingle", "set_id", "root"))
-            n = len(trees)
-            if not n:
+        held, position = np.empty((0, 3), dtype=np.int64), 0
+        for frame in itertools.chain(frames, [None]):
+            rows = held if frame is None else np.concatenate([held, frame[names].to_numpy()])
+            if not len(rows):
                 continue
-            begins = np.ones(n, dtype=bool)
+            trees, at = rows[:, 0], np.arange(len(rows))
+            begins = np.ones(len(rows), dtype=bool)
             begins[1:] = trees[1:] != trees[:-1]
-            begins[0] = trees[0] != tree
-            at = np.arange(n)
-            run = np.maximum.accumulate(np.where(begins, at, -1))  # -1: of the frame before
-            shift = (trees.view(np.uint64) >> np.uint64(17)).astype(np.int64) % settings.leaf
-            slot = np.where(run >= 0, at - run + shift, position + at)
-            leads = begins | (slot % settings.leaf == 0)
-            lead = np.maximum.accumulate(np.where(leads, at, -1))
-            a = np.where(lead >= 0, sets[lead], first)
-            apart = np.where(lead >= 0, roots[lead], first_root) != roots
-            tree, position = trees[-1], slot[-1] + 1
-            if lead[-1] >= 0:
-                first, first_root = sets[lead[-1]], roots[lead[-1]]
-            if apart.any():
-                yield pd.DataFrame({"a": a[apart], "b": sets[apart]})
-
-    return packed.select("shingle", "set_id", "root").mapInPandas(cut, "a BIGINT, b BIGINT").distinct()
+            run = np.maximum.accumulate(np.where(begins, at, 0))
+            shift = (trees.view(np.uint64) >> np.uint64(17)).astype(np.int64) % size
+            # The first tree may go on from the frame before, where a node of it ended.
+            slot = np.where((run == 0) & (position > 0), position + at, at - run + shift)
+            node = np.cumsum(begins | (slot % size == 0)) - 1
+            whole = len(rows) if frame is None else int(np.searchsorted(node, node[-1]))
+            held, position = rows[whole:], int(slot[whole]) if whole < len(rows) else 0
+            yield from _star_pairs(rows[:whole], node[:whole], stars)
+
+    return packed.select(*names).mapInPandas(cut, "a BIGINT, b BIGINT").distinct()
+
+
+def _star_pairs(rows: np.ndarray, node: np.ndarray, stars: int) -> Iterator[pd.DataFrame]:
+    """Pairs of ``stars`` rows of each node, evenly from it, with those of its rows that have other roots."""
+    if not len(rows):
+        return
+    first = np.searchsorted(node, np.arange(node[-1] + 1))
+    sizes = np.diff(first, append=len(rows))
+    for k in range(stars):
+        # A node of fewer rows than stars has each row once.
+        star = first + (k * sizes // stars if stars > 1 else 0)
+        again = (k * sizes // stars == (k - 1) * sizes // stars) & (k > 0)
+        a = rows[star[node]]
+        apart = (a[:, 2] != rows[:, 2]) & ~again[node]
+        if apart.any():
+            yield pd.DataFrame({"a": a[apart, 1], "b": rows[apart, 1]})
 
 
 def tree_pairs(
@@ -628,12 +637,12 @@ def tree_pairs(
 
 @dataclass(frozen=True)
 class Links:
-    """The rows' sets, and links (a, b) between sets: those found within leaves of the trees, those found by
+    """The rows' sets, and links (a, b) between sets: those found within nodes of the trees, those found by
     the join of their nodes, and ``edges`` that connect the same sets as all of them.
     """
 
     sets: DataFrame
-    leaf: DataFrame | None
+    within: DataFrame | None
     join: DataFrame
     edges: DataFrame
 
@@ -648,24 +657,22 @@ def jaccard_links(docs: DataFrame, settings: JaccardSettings = JaccardSettings()
     shared = stored(shared_prefixes(docs, table, total, settings).distinct(), "shared")
     known = points(sets, shared)
     texts = _texts(docs, sets, known)
-    leaf, tried, roots, stars = None, None, None, None
-    for turn in range(settings.rounds):
-        pairs = bounded(leaf_stars(open_trees(shared, roots), known, turn, settings), known, settings)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    within, tried, roots, stars = None, None, None, None
+    for turn in range(len(settings.stars)):
+        pairs = bounded(node_stars(open_trees(shared, roots), known, turn, settings), known, settings)
         pairs = stored(pairs, "pairs")
         found = stored(verified(pairs, texts, settings), "links")
-        leaf = found if leaf is None else leaf.unionByName(found)
+        within = found if within is None else within.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        # Two steps join nearly all; what they leave apart is compared, not lost.
-        stars = star_steps(found if stars is None else stars.unionByName(found), 2)
-        roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        # Chains of leaves are long, so they are followed to their ends.
+        roots = stored(components(found if stars is None else stars.unionByName(found)), "roots")
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     more = tree_pairs(shared, known, roots, settings)
     if tried is not None:
         both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = more.join(both, ["a", "b"], "left_anti")
     join = stored(verified(stored(more, "pairs"), texts, settings), "links")
-    return Links(sets, leaf, join, join if stars is None else stars.unionByName(join))
+    return Links(sets, within, join, join if stars is None else stars.unionByName(join))
 
 
 def near_documents(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> DataFrame:

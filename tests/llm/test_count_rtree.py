@@ -92,39 +92,49 @@ def test_all_links_of_random_corpora_are_found(documents, seed):
     assert near(documents, rows, SMALL) == classes(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_links_of_either_path_connect_the_classes(spark, documents, rounds):
-    """Without rounds in the leaves the join of the nodes finds all; with them, both find some."""
+@pytest.mark.parametrize("stars", [(), (1,), (1, 3)])
+def test_links_of_either_path_connect_the_classes(spark, documents, stars):
+    """Without comparisons within nodes the join of the nodes finds all; with them, both find some."""
     rows = corpus(6, 90)
-    settings = replace(SMALL, leaf=3, rounds=rounds)
+    settings = replace(SMALL, leaf=3, stars=stars)
     links = cr.jaccard_links(documents([(i, t, "en", "s") for i, t in rows]), settings)
     sets = {r["set_id"]: r["doc_id"] for r in links.sets.collect()}
     texts = dict(rows)
-    found = [] if links.leaf is None else [(r.a, r.b) for r in links.leaf.collect()]
+    found = [] if links.within is None else [(r.a, r.b) for r in links.within.collect()]
     joined = [(r.a, r.b) for r in links.join.collect()]
-    assert joined if rounds == 0 else found
+    assert found if stars else joined
     for a, b in found + joined:
         x, y = shingles(texts[sets[a]]), shingles(texts[sets[b]])
         assert 100 * len(x & y) >= 75 * len(x | y)
     assert near(documents, rows, settings) == classes(rows)
 
 
-def test_leaves_are_cut_the_same_whatever_the_frames(spark, monkeypatch):
-    """Each point but the first of a leaf meets the first, also where a leaf goes on in the next frame."""
+@pytest.mark.parametrize("turn", [0, 1])
+def test_nodes_are_cut_the_same_whatever_the_frames(spark, turn):
+    """The points of a node that are compared meet all others, also where a node goes on in the next frame."""
     rng = random.Random(2)
-    members = [(t, s, s % 5) for t in (11, -7, 2**40) for s in rng.sample(range(1000), 23)]
-    members = spark.createDataFrame(members, "shingle BIGINT, set_id BIGINT, root BIGINT").coalesce(1)
-    known = spark.range(1000).selectExpr("id AS point", "id % 9 + 1 AS n", "array(id, id, id, id, id, id, id, id) AS coarse")
-    settings = replace(SMALL, leaf=4)
+    rows = [(t, s, s % 5) for t in (11, -7, 2**40) for s in rng.sample(range(1000), 90)]
+    members = spark.createDataFrame(rows, "shingle BIGINT, set_id BIGINT, root BIGINT").coalesce(1)
+    known = spark.range(1000).selectExpr("id AS point", "id % 9 + 1 AS n", "array_repeat(id, 8) AS coarse")
+    settings = replace(SMALL, leaf=4, stars=(1, 3))
     found = []
-    for rows in ("3", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        spark.conf.set("spark.sql.shuffle.partitions", "1")
-        pairs = cr.leaf_stars(members, known, 0, settings)
-        found.append(sorted(map(tuple, pairs.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    for batch in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found.append(sorted(map(tuple, cr.node_stars(members, known, turn, settings).collect())))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert found[0] == found[1] and 25 < len(found[0]) <= 3 * 22
+    size, stars = ((4, 1), (64, 3))[turn]
+    want = set()
+    for tree in {t for t, _, _ in rows}:
+        place = lambda s: ((s % 9 + 1) << 24) + sum((s * 8 // (s % 9 + 2)) << 3 * k for k in range(8))
+        own = sorted(((place(s), s, r) for t, s, r in rows if t == tree))
+        shift = ((tree % 2**64) >> 17) % size
+        for low in range(-shift, len(own), size):
+            node = own[max(low, 0) : low + size]
+            for star in {k * len(node) // stars for k in range(stars)} if node else ():
+                want |= {(node[star][1], s) for _, s, r in node if r != node[star][2]}
+    assert found[0] == found[1] == found[2] == sorted(want)
 
 
 def test_production_settings_and_odd_rows(documents):

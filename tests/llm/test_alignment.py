@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -46,6 +47,41 @@ def test_row_products_equal_dense_products(monkeypatch):
             assert (dense(transposed(a)) == dense(a).T).all()
 
 
+def test_ranks_give_the_tokens_of_the_file(sides, monkeypatch):
+    side, rng = sides[0], random.Random(5)
+    assert side.ranked is not None
+    odd = ["", " ", "  a", "it's  we'LL\n\n x ", "<|endoftext|>", "\u00a0\u2003a\u0301\u200b", "9²½ ٣"]
+    runs = [c * n for c in ("a", " ", "\n", "漢", ".") for n in (999, alignment.LONG - 1, alignment.LONG + 7)]
+    letters = [*map(chr, range(0x250)), *"漢字ßあ𝔸🙂 \n\t"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(200)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and rng.random() < 0.02]
+    texts += ["".join(f"x{c}1{c}.{c} {c}x\n{c}{c}  {c}" for c in points[at : at + 99]) for at in range(0, len(points), 99)]
+    texts += odd + runs
+    by_file = [list(x) for x in side._encode_by_file([f" {t}" for t in texts])]
+    assert [list(x) for x in side.encode(texts)] == by_file
+
+
+@pytest.mark.parametrize("what", ["merges", "entry", "split", "normalizer"])
+def test_files_whose_ranks_may_differ_are_taken_as_they_are(tmp_path, what):
+    with open(FILES.byte_bpe, encoding="utf-8") as f:
+        file = json.load(f)
+    model = file["model"]
+    if what == "merges":
+        model["merges"][:2] = model["merges"][1::-1]
+    elif what == "entry":
+        model["merges"].pop()  # its entry can no longer be reached
+    elif what == "split":
+        file["pre_tokenizer"]["use_regex"] = False
+    else:
+        file["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    side = alignment.ByteSide(str(path))
+    assert side.ranked is None
+    text = "The Other  way, isn't it"
+    assert list(side.encode([text])[0]) == side.tokenizer.encode(f" {text}", add_special_tokens=False).ids
+
+
 def plain_spans(side, ids):
     at, out = 0, []
     for i in ids:

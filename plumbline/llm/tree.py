@@ -2,7 +2,9 @@
 
 Leaves are numbered in the order of a sequence; ``FANOUT`` neighbours have one parent, whose box holds
 theirs. The recursion pairs a node with itself and with later nodes, and each step replaces the pairs
-that may hold a match with the pairs of their children. A level is one join, whatever its size.
+that may hold a match with the pairs of their children. A level is one join, whatever its size. Levels
+and their pairs are stored, as a plan over all of them has its levels many times over, and the driver
+plans, describes and keeps it anew with each of its stages.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.tables import stored
+
 FANOUT = 16
 
 Side = Callable[[str], Column]
@@ -35,11 +39,12 @@ def leaf_pairs(
     while last >= 1:
         last //= FANOUT
         parent = F.floor(F.col("node") / FANOUT).alias("node")
-        levels.append(
+        above = (
             levels[-1]
             .groupBy(*space, parent)
             .agg(*(combine(F.col(c)).alias(c) for c, combine in box.items()))
         )
+        levels.append(stored(above, "level"))
     top = levels.pop()
     pairs = top.select(*space, F.col("node").alias("a"), F.col("node").alias("b"))
 
@@ -68,5 +73,7 @@ def leaf_pairs(
             .where(near)
             .select(*space, F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         )
+        if levels:
+            pairs = stored(pairs, "node-pairs")
     return pairs
 

@@ -9,9 +9,12 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import count_rtree as cr
 from plumbline.llm.components import components, star_steps
 from plumbline.llm.shingles import shingle_sets
+from plumbline.llm.tree import leaf_pairs
 
 SMALL = replace(
     cr.JaccardSettings(),
@@ -156,6 +159,28 @@ def test_a_large_group_of_variants_is_one_class(documents):
     assert found == classes(rows) and {c for _, _, c in found} == {0}
 
 
+def test_the_plan_of_leaf_pairs_does_not_grow_with_the_levels(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.tree.FANOUT", 2)
+    rng = random.Random(8)
+    joins = []
+    for n in (5, 70):
+        rows = [(t, i, x := rng.randrange(100), x + rng.randrange(9)) for t in (1, 2) for i in range(n // t)]
+        leaves = spark.createDataFrame(rows, "tree LONG, leaf LONG, lo LONG, hi LONG")
+
+        def meet(a, b):
+            return (a("lo") <= b("hi")) & (b("lo") <= a("hi"))
+
+        pairs = leaf_pairs(leaves, ["tree"], {"lo": F.min, "hi": F.max}, meet)
+        assert sorted(map(tuple, pairs.collect())) == sorted(
+            (t, i, j)
+            for t, i, lo, hi in rows
+            for u, j, low, high in rows
+            if t == u and i <= j and lo <= high and low <= hi
+        )
+        joins.append(pairs._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+    assert joins == [2, 2]
+
+
 def test_empty_table(documents):
     assert near(documents, [], SMALL) == []
 

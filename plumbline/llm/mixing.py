@@ -240,7 +240,8 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
         F.col("source_id").alias("slot_source"), F.col("rank"), "slot"
     )
     on = (F.col("source_id") == F.col("slot_source")) & (F.col("piece") == F.col("rank"))
-    return pieces.join(slots, on, "left").drop("slot_source", "rank", "piece")
+    # There are as many slots as pieces, but their file is a small part of their size in a broadcast.
+    return pieces.join(slots.hint("merge"), on, "left").drop("slot_source", "rank", "piece")
 
 
 def taken_words(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:

@@ -255,3 +255,10 @@ def test_a_shard_is_packed_as_plain_lists_are(seed):
     assert sum(c for c, _ in got) == sum(c for c, _ in brute_pack(sizes, (8, 16, 40), 2)) or abs(
         sum(c for c, _ in got) / max(1, sum(c for c, _ in brute_pack(sizes, (8, 16, 40), 2))) - 1
     ) < 0.1
+
+
+def test_slots_are_not_broadcast(documents):
+    docs = documents([(i, "a b c", "en", f"s{i % 2}") for i in range(40)])
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    (join,) = [x for x in plan.splitlines() if "Join" in x and "piece#" in x and "slot_source#" in x]
+    assert "SortMergeJoin" in join
